@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, repair
+from . import media, packing, repair
 from .common import read
 
 
@@ -14,11 +14,16 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect(media.encode(read(spark, sf_dir, "documents")))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"))
+
+
 def op5_repair_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(read(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repair_token_output": op5_repair_token_output,
     "op6_media_columns": op6_media_columns,
 }
