@@ -5,15 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import media, packing, repair
-from .common import read
+from . import media, mixing, packing, repair
+from .common import read, word_count
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.inspect(media.encode(read(spark, sf_dir, "documents")))
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return mixing.mix(sized, F.array("source"), F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -23,6 +30,7 @@ def op5_repair_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mix_sources": op1_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repair_token_output": op5_repair_token_output,
     "op6_media_columns": op6_media_columns,
