@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, repair
+from . import media, mixing, packing, repair, simhash
 from .common import read, word_count
 
 
@@ -29,11 +29,16 @@ def op5_repair_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_shards(repair.write_shards(read(spark, sf_dir, "documents")))
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repair_token_output": op5_repair_token_output,
     "op6_media_columns": op6_media_columns,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
