@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, repair, simhash
+from . import media, mixing, packing, quantise, repair, simhash
 from .common import read, word_count
 
 
@@ -21,6 +21,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, F.array("source"), F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return quantise.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_additive_quantisation": op3_additive_quantisation,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repair_token_output": op5_repair_token_output,
     "op6_media_columns": op6_media_columns,
