@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 #: Cut where so many low bits of the hash are zero: one cut in 2**CUT_BITS bytes on average.
-CUT_BITS = 5
-LEAST_BYTES, MOST_BYTES = 16, 256
-#: A run of repeated chunks is a passage from so many bytes on.
-PASSAGE_BYTES = 128
+CUT_BITS = 4
+LEAST_BYTES, MOST_BYTES = 12, 256
+#: A run of repeated chunks is a passage from so many words on. Up to a chunk is lost at either end of what
+#: two texts share, so this finds shared passages of 50 words.
+PASSAGE_WORDS = 34
 _WIDTH = 32
 
 
@@ -61,7 +62,7 @@ def cuts(data: bytes) -> list[int]:
 
 
 def chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, key, digest, begin, bytes): the chunks of every text; null and empty texts have none.
+    """(row, key, digest, begin, bytes, words): the chunks of every text; null and empty texts have none.
 
     ``row`` numbers the rows of ``df``, so that rows with equal keys stay apart.
     """
@@ -73,7 +74,7 @@ def chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            at, digest, begin, size = [], [], [], []
+            at, digest, begin, size, words = [], [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 data = (t or "").encode()
                 a = 0
@@ -82,31 +83,35 @@ def chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                     digest.append(xxh3_64_intdigest(data[a:b]))
                     begin.append(a)
                     size.append(b - a)
+                    words.append(data.count(b" ", a, b) + data.count(b"\n", a, b))
                     a = b
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.array(digest, np.uint64).view(np.int64)),
-                 pa.array(begin, pa.int32()), pa.array(size, pa.int32())],
-                ["row", "key", "digest", "begin", "bytes"],
+                 pa.array(begin, pa.int32()), pa.array(size, pa.int32()), pa.array(words, pa.int32())],
+                ["row", "key", "digest", "begin", "bytes", "words"],
             )
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), key, text)
-    return rows.mapInArrow(run, f"row long, key {kind}, digest long, begin int, bytes int")
+    return rows.mapInArrow(run, f"row long, key {kind}, digest long, begin int, bytes int, words int")
 
 
-def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", passage_bytes: int = PASSAGE_BYTES) -> DataFrame:
-    """(key, begin, end, chunks, copies, first_key, kept): passages that stand more than once.
+def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", passage_words: int = PASSAGE_WORDS) -> DataFrame:
+    """(key, begin, end, words, occurrences, first_key, kept): passages that several rows share.
 
-    Byte offsets into the UTF-8 text. A passage is a longest run of chunks whose digests all occur at least
-    twice in the table, of ``passage_bytes`` bytes at least. copies is the least number of places that one of
-    its chunks has, first_key the smallest key that holds its first chunk, kept whether every chunk of
-    it stands here for the first time, by key and then place. Null and empty texts have no passages.
+    Byte offsets into the UTF-8 text. A passage is a longest run of chunks whose digests all occur in at least
+    two rows, with ``passage_words`` white-space characters at least. occurrences is the least number of places
+    that one of its chunks has, first_key the smallest key that holds its first chunk, kept whether all of
+    it stands here for the first time, by key and then place. Null and empty texts have no passages; what repeats within
+    one row only is none.
     """
     table = materialize(chunks(df, text, key), "chunks")
-    counted = table.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("key", "row", "begin")).alias("first"))
-    repeated = materialize(counted.filter("n > 1"), "repeated")
+    counted = table.groupBy("digest").agg(
+        F.count("*").alias("n"), F.min("row").alias("least"), F.max("row").alias("most"), F.min(F.struct("key", "row", "begin")).alias("first")
+    )
+    repeated = materialize(counted.filter("least < most").select("digest", "n", "first"), "repeated")
     marked = table.join(repeated, "digest").select(
-        "row", "key", "begin", "bytes", "n", F.col("first.key").alias("first_key"),
+        "row", "key", "begin", "bytes", "words", "n", F.col("first.key").alias("first_key"),
         (F.struct("key", "row", "begin") == F.col("first")).alias("is_first"),
     )
     # only rows with repeats are left; their chunks that touch make a run
@@ -116,7 +121,7 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", pa
     return (
         runs.groupBy("row", "_run").agg(
             F.first("key").alias(key), F.min("begin").alias("begin"), F.max(F.col("begin") + F.col("bytes")).alias("end"),
-            F.count("*").alias("chunks"), F.min("n").alias("copies"), F.min_by("first_key", "begin").alias("first_key"),
+            F.sum("words").alias("words"), F.min("n").alias("occurrences"), F.min_by("first_key", "begin").alias("first_key"),
             F.bool_and("is_first").alias("kept"),
-        ).filter(F.col("end") - F.col("begin") >= passage_bytes).drop("row", "_run")
+        ).filter(F.col("words") >= passage_words).drop("row", "_run")
     )
