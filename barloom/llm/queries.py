@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quantise, repair, simhash, substrings, toxicity
+from . import lines, media, mixing, packing, quantise, repair, simhash, substrings, toxicity
 from .common import read, word_count
 
 
@@ -21,6 +21,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(sized, F.array("source"), F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated(read(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op3_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     return quantise.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
@@ -50,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_line_dedup": op2_line_dedup,
     "op3_additive_quantisation": op3_additive_quantisation,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_repair_token_output": op5_repair_token_output,
