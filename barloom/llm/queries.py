@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, quantise, repair, simhash, substrings, toxicity
+from . import lines, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity
 from .common import read, word_count
 
 
@@ -43,6 +43,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op8_html_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read(spark, sf_dir, "pages"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repair_token_output": op5_repair_token_output,
     "op6_media_columns": op6_media_columns,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_html_page_differencing": op8_html_page_differencing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
 }

@@ -161,3 +161,19 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", word
     least = named.groupBy("_label").agg(F.min("_least").alias("component_id"))
     known = materialize(named.join(least, "_label").select("fp", "component_id"), "components")
     return prints.join(known, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words_per_shingle: int = SHINGLE_WORDS,
+             distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """The rows of ``df`` but one document only of each component: that with the smallest key, then the smallest hash.
+
+    Rows equal in key and text become one.
+    """
+    marked = df.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
+    prints = materialize(fingerprints(marked.select(F.struct("_id", key).alias("_who"), text), text, "_who", words_per_shingle), "fingerprints")
+    rows = prints.select("fp", F.col("_who._id").alias("_id"), F.col(f"_who.{key}").alias("_key"))
+    distinct = rows.groupBy("fp").agg(F.min(F.struct("_key", "_id")).alias("_least"))
+    label = connected_components(link_table(distinct.select("fp"), distance, segments))
+    named = distinct.join(label, F.col("fp") == F.col("node"), "left").select("_least", F.coalesce("component", "fp").alias("_label"))
+    kept = materialize(named.groupBy("_label").agg(F.min("_least").alias("_least")).select(F.col("_least._id").alias("_id")).distinct(), "kept")
+    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*df.columns)
