@@ -21,6 +21,8 @@ from .common import uniform
 ORDER, SYMBOLS = 4, 64
 DISCOUNT = 0.75
 THRESHOLD = 0.3
+#: Where the curve meets the threshold at least this share of the labelled rows above it is toxic.
+LEAST_PRECISION = 0.85
 #: Labelled documents, about, chosen by a seeded hash of their ids, that the logistic curve is fitted on.
 CURVE_ROWS = 20_000
 #: Folds of the labelled documents; a curve row is scored by the models counted on the other folds.
@@ -99,11 +101,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
-    """The logit from which calling a text toxic gives the best F1 on the curve's rows."""
+    """The logit from which calling a text toxic gives the best F1 on the curve's rows at a precision of LEAST_PRECISION or more."""
     order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    if not len(y) or not y.sum():
+    hits, called = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    f1 = np.where(hits >= LEAST_PRECISION * called, 2 * hits / (called + y.sum()), 0) if len(y) else np.zeros(0)
+    if not len(y) or not f1.max():
         return float(np.log(THRESHOLD / (1 - THRESHOLD)))
     i = int(f1.argmax())
     after = logit[order[i + 1]] if i + 1 < len(y) else logit[order[i]] - 1
