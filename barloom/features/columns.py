@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .registry import Group, register
@@ -26,7 +26,7 @@ def _mean_close(g: Group, window: int) -> Column:
 
 def _vwap(g: Group) -> Column:
     def build() -> Column:
-        upto = g.window.rowsBetween(-(1 << 62), 0)
+        upto = g.window.rowsBetween(Window.unboundedPreceding, 0)
         traded = (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")
         total = F.when(F.col("volume").isNotNull(), F.sum("volume").over(upto))
         return F.when(traded.isNotNull(), F.try_divide(F.sum(traded).over(upto), total))
