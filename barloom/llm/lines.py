@@ -303,10 +303,9 @@ def drop_repeated(df: DataFrame, text: str = "text", key: str = "doc_id", counts
     both = df.join(gone, same, "left").drop("_key", "_at")
     all_lines = F.split(F.col(text), "\n", -1)
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    out = both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
     if counts:
-        out = out.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-        lines_left = F.coalesce(F.size(F.split(F.col(text), "\n", -1)), F.lit(0))
-        out = out.withColumn("n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(lines_left + F.col("n_dropped")).cast("long"))
-        return out.select(*df.drop("n_lines", "n_dropped").columns, "n_lines", "n_dropped")
-    return out.select(*df.columns)
+        both = both.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long"))
+        both = both.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
+    out = both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
+    names = [c for c in df.columns if not counts or c not in ("n_lines", "n_dropped")]
+    return out.select(*names, *(("n_lines", "n_dropped") if counts else ()))

@@ -70,4 +70,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB's edit distance counts bytes: letters of two bytes are made one byte that no text holds.
+_LETTERS = "äöüßÄÖÜéèêçÉÈÊÇñíóúáÑÍÓÚÁ"
+_ONE_BYTE = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(_LETTERS)])
+
+OP2_SQL = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+f AS (SELECT line, translate(line, '{_LETTERS}', {_ONE_BYTE}) AS plain, min({{'d': doc_id, 'p': pos}}) AS first, length(line) AS n
+  FROM l WHERE regexp_matches(line, '\\S') GROUP BY line),
+near AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n + 2 AND a.first < b.first AND least(a.n, b.n) >= 20
+  WHERE levenshtein(a.plain, b.plain) <= least(2, least(a.n, b.n) // 20)),
+k AS (SELECT l.*, f.line IS NOT NULL AND (f.first <> {{'d': l.doc_id, 'p': l.pos}} OR near.line IS NOT NULL) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
+SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
+}
