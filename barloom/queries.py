@@ -1,7 +1,7 @@
 """Registered queries of the bar engine and the SQL that checks them.
 
 Bars come from the events table (a symbol per event type), dirty bars from lineitem. Doubles are rounded to 6
-places on both sides, since sums over frames are taken in different orders.
+places on both sides where sums are taken in different orders.
 """
 
 from __future__ import annotations
@@ -39,9 +39,9 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
-def _query(name: str, sql: str):
+def _query(name: str, sql: str, exact: bool = False):
     def add(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: _rounded(f(spark, sf_dir))
+        QUERIES[name] = f if exact else lambda spark, sf_dir: _rounded(f(spark, sf_dir))
         ORACLE_SQL[name] = sql
         return f
 
@@ -53,13 +53,13 @@ def _bars_cte(unit: str = "hour") -> str:
       min(value) AS low, arg_max(value, ts) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2)"""
 
 
-BAR_COLUMNS = 'symbol, "timestamp", round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume'
+BAR_COLUMNS = 'symbol, "timestamp", open, high, low, close, volume'
 
 # Sources and filters
 
 
 def _bar_query(name: str, where: str, build: Callable[[DataFrame], DataFrame], unit: str = "hour") -> None:
-    _query(name, f"WITH {_bars_cte(unit)} SELECT {BAR_COLUMNS} FROM bars WHERE {where}")(lambda s, d: build(_bars(s, d, unit)))
+    _query(name, f"WITH {_bars_cte(unit)} SELECT {BAR_COLUMNS} FROM bars WHERE {where}", exact=True)(lambda s, d: build(_bars(s, d, unit)))
 
 
 MINUTES = 'hour("timestamp") * 60 + minute("timestamp")'
@@ -106,7 +106,7 @@ def _rule_case(*off: str) -> str:
     return "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in RULE_SQL if n not in off) + " END"
 
 
-_query("clean_rows", f"WITH {DIRTY} SELECT {BAR_COLUMNS} FROM dirty WHERE ({_rule_case()}) IS NULL")(lambda s, d: clean_rows(_dirty(s, d)))
+_query("clean_rows", f"WITH {DIRTY} SELECT {BAR_COLUMNS} FROM dirty WHERE ({_rule_case()}) IS NULL", exact=True)(lambda s, d: clean_rows(_dirty(s, d)))
 _query("clean_report", f"WITH {DIRTY} SELECT {_rule_case()} AS rule, count(*) AS bars FROM dirty GROUP BY 1")(lambda s, d: rule_counts(_dirty(s, d)))
 _query("clean_rule_disabled", f"WITH {DIRTY} SELECT {_rule_case('drop_zero_prices')} AS rule, count(*) AS bars FROM dirty GROUP BY 1")(
     lambda s, d: rule_counts(_dirty(s, d), {"drop_zero_prices": False})
