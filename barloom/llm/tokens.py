@@ -14,7 +14,7 @@ from array import array
 #: cuts such a word in just these two parts, and its normalizer does no more than lower-case it.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 #: Words kept per worker, about 250 bytes each.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 
 
 def default_vocabulary() -> str:

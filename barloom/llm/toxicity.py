@@ -30,7 +30,7 @@ FOLDS = 3
 #: Labels up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
 _KEYS = SYMBOLS**ORDER
-_FLUSH = 4_000_000
+_FLUSH = 1_000_000
 
 
 def _fold_table() -> np.ndarray:
@@ -75,7 +75,7 @@ def _models(counts: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
         rest = np.where(n > 0, DISCOUNT * kinds / np.maximum(n, 1), 1.0)
         logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(n[history], 1) + rest[history] * shared[lower]))
         unseen.append(np.log(rest))
-    table = np.repeat((unseen[1] - unseen[0]).astype(np.float32), SYMBOLS)
+    table = np.repeat((unseen[1] - unseen[0]).astype(np.float16), SYMBOLS)
     table[keys] = logs[1] - logs[0]
     return table
 
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     side = F.broadcast(known) if n_labels <= BROADCAST_ROWS else known
     labelled = docs.select(key, text).join(side, key).withColumn("_fold", fold)
     counted = count_grams(labelled, text).toPandas()  # at most FOLDS * 2**24 short rows
-    none = np.zeros(_KEYS, np.float32)
+    none = np.zeros(_KEYS, np.float16)
     if not counted["ordinary"].sum() or not counted["toxic"].sum():
         share = counted["toxic"].sum() / max(1, counted["toxic"].sum() + counted["ordinary"].sum())
         return Model(spark.sparkContext.broadcast([none]), np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0]))
@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     np.add.at(by_fold, (counted["fold"].to_numpy(), 0, back), counted["ordinary"].to_numpy())
     np.add.at(by_fold, (counted["fold"].to_numpy(), 1, back), counted["toxic"].to_numpy())
     whole = by_fold.sum(0)
-    parts = spark.sparkContext.broadcast([_models(list(whole - by_fold[f]), keys).astype(np.float16) for f in range(FOLDS)])
+    parts = spark.sparkContext.broadcast([_models(list(whole - by_fold[f]), keys) for f in range(FOLDS)])
     sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / n_labels).withColumn("_table", F.col("_fold").cast("int"))
     curve = _ratios(sample, ["_label", "_table"], parts, text).select("_label", "ratio", "length").toPandas()
     parts.unpersist()
@@ -227,4 +227,4 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     y = curve["_label"].to_numpy(float)
     weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, 0.0])
     weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ weights, y)
-    return Model(spark.sparkContext.broadcast([_models(list(whole), keys).astype(np.float16)]), weights)
+    return Model(spark.sparkContext.broadcast([_models(list(whole), keys)]), weights)
