@@ -28,9 +28,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
+#: Near-copies here are documents whose five-word fingerprints differ in at most 5 of 64 bits; unrelated texts differ in about 32.
+NEAR_COPY = {"words_per_shingle": 5, "distance": 5, "segments": 3}
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, **NEAR_COPY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
