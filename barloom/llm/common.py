@@ -43,3 +43,12 @@ def word_count(text: Column) -> Column:
 def uniform(seed: int, *columns: Column) -> Column:
     """A reproducible number in [0, 1) from the values of the columns."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / F.lit(float(1 << 53))
+
+
+def boxed(df: DataFrame, *leave_out: str) -> Column:
+    """All columns in one, named _row, so that names of an operator's own cannot clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in leave_out)).alias("_row")
+
+
+def unboxed(names: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{n}`").alias(n) for n in names]

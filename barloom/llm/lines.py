@@ -299,13 +299,16 @@ def drop_repeated(df: DataFrame, text: str = "text", key: str = "doc_id", counts
     """
     gone = repeated_lines(df, text, key).distinct().groupBy(F.col(key).alias("_key"), F.col("row").alias("_at")).agg(F.collect_list("line").alias("_gone"))
     # null keys match null keys; the row's hash alone does not tell documents apart
-    same = (F.xxhash64(F.col(text)) == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))
-    both = df.join(gone, same, "left").drop("_key", "_at")
-    all_lines = F.split(F.col(text), "\n", -1)
+    new = ("n_lines", "n_dropped") if counts else ()
+    names = [c for c in df.columns if c not in new]
+    rest = [c for c in names if c not in (key, text)]
+    base = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(key).alias("_own"), F.col(text).alias("_text"))
+    same = (F.xxhash64("_text") == F.col("_at")) & F.col("_own").eqNullSafe(F.col("_key"))
+    both = base.join(gone, same, "left")
+    all_lines = F.split("_text", "\n", -1)
     kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    if counts:
-        both = both.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(all_lines)).cast("long"))
-        both = both.withColumn("n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n")))
-    names = [c for c in df.columns if not counts or c not in ("n_lines", "n_dropped")]
-    return out.select(*names, *(("n_lines", "n_dropped") if counts else ()))
+    cells = {c: F.col(f"_row.`{c}`") for c in rest} | {key: F.col("_own")}
+    cells[text] = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    cells["n_lines"] = F.when(F.col("_text").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    cells["n_dropped"] = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
+    return both.select(*(cells[c].alias(c) for c in (*names, *new)))

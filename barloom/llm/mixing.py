@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import boxed, unboxed, uniform
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -67,13 +67,14 @@ def route(capacity: dict[tuple, int], quota: dict, repeats: int = MAX_REPEATS) -
     patterns, sources = list(capacity), list(quota)
     flow: dict[tuple, dict] = {p: dict.fromkeys(p, 0) for p in patterns}
     holders: dict = {s: [p for p in patterns if s in flow[p]] for s in sources}
+    nowhere = object()  # null is a source
     used, got = dict.fromkeys(patterns, 0), dict.fromkeys(sources, 0)
     for turn in range(1, repeats + 1):
         while True:
             # breadth-first from every pattern with capacity left to a source with quota left
             came: dict = {("p", p): None for p in patterns if used[p] < turn * capacity[p]}
-            line, end = deque(came), None
-            while line and end is None:
+            line, end = deque(came), nowhere
+            while line and end is nowhere:
                 side, x = line.popleft()
                 if side == "p":
                     steps = [("s", s) for s in x if s in got]
@@ -86,7 +87,7 @@ def route(capacity: dict[tuple, int], quota: dict, repeats: int = MAX_REPEATS) -
                     if step not in came:
                         came[step] = (side, x)
                         line.append(step)
-            if end is None:
+            if end is nowhere:
                 break
             path = [("s", end)]
             while came[path[-1]] is not None:
@@ -135,8 +136,7 @@ def mix(df: DataFrame, sources: Column, size: Column, weights: Sequence[int] = W
     spark = df.sparkSession
     pattern = F.array_sort(F.array_distinct(sources))
     pattern = F.when(F.coalesce(F.size(pattern), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(pattern)
-    df = df.drop("source_size", "target", "taken")
-    base = df.withColumn("_size", size.cast("long")).withColumn("_pattern", pattern)
+    base = df.select(boxed(df), F.col(key).alias("_own"), size.cast("long").alias("_size"), pattern.alias("_pattern"))
     stats = base.groupBy("_pattern").agg(F.sum("_size").alias("tokens"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(stats) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -159,7 +159,7 @@ def mix(df: DataFrame, sources: Column, size: Column, weights: Sequence[int] = W
     same = F.to_json(F.struct("_pattern"), {"ignoreNullFields": "false"})
     docs = (
         base.withColumn("_key", same).join(table.withColumn("_key", same).drop("_pattern"), "_key")
-        .withColumn("_u", uniform(seed, F.col(key), F.col("_key")))
+        .withColumn("_u", uniform(seed, F.col("_own"), F.col("_key")))
         .withColumn("_group", F.floor(F.col("_u") * F.col("_groups")))
     )
 
@@ -171,20 +171,18 @@ def mix(df: DataFrame, sources: Column, size: Column, weights: Sequence[int] = W
         .select("_key", F.col("_group").alias("_cut"), (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_room"))
     )
     docs = docs.join(F.broadcast(cut), "_key", "left")  # a row for each pattern
-    names = [*df.columns, "size", "source_size", "target"]
-    out = docs.withColumnsRenamed({"_size": "size"}) if "size" not in df.columns else docs.drop("size").withColumnRenamed("_size", "size")
-    names = list(dict.fromkeys(names))
     ended = F.coalesce(F.col("_group") == F.col("_cut"), F.lit(False))
-    rest = out.filter(~ended).withColumn(
-        "taken", F.col("size") * (F.col("_copies") + F.coalesce((F.col("_group") < F.col("_cut")).cast("long"), F.lit(0)))
-    ).select(*(f"`{n}`" for n in names), "taken")
+    given = ["_row", "_size", "source_size", "target"]
+    more = F.coalesce((F.col("_group") < F.col("_cut")).cast("long"), F.lit(0))
+    rest = docs.filter(~ended).withColumn("_taken", F.col("_size") * (F.col("_copies") + more)).select(*given, "_taken")
 
     def end(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, [("_u", "ascending")]))
-        n = table["size"].to_numpy()
-        more = choose(n.tolist(), table["_room"][0].as_py())
-        return table.select(names).append_column("taken", pa.array(n * (table["_copies"].to_numpy() + np.array(more, np.int64)), pa.int64()))
+        table = table.take(pc.sort_indices(table, [("_u", "ascending"), ("_own", "ascending"), ("_size", "ascending")]))
+        n = table["_size"].to_numpy()
+        extra = choose(n.tolist(), table["_room"][0].as_py())
+        return table.select(given).append_column("_taken", pa.array(n * (table["_copies"].to_numpy() + np.array(extra, np.int64)), pa.int64()))
 
     # one group of about GROUP_ROWS documents for each pattern
-    last = out.filter(ended).groupBy("_key").applyInArrow(end, rest.schema)
-    return rest.unionByName(last)
+    last = docs.filter(ended).select(*given, "_u", "_own", "_room", "_copies", "_key").groupBy("_key").applyInArrow(end, rest.schema)
+    new = {"size": "_size", "source_size": "source_size", "target": "target", "taken": "_taken"}
+    return rest.unionByName(last).select(*unboxed([c for c in df.columns if c not in new]), *(F.col(c).alias(n) for n, c in new.items()))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import boxed, materialize, unboxed
 from .components import connected_components
 
 SHINGLE_WORDS, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
@@ -169,11 +169,12 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", words_per_s
 
     Rows equal in key and text become one.
     """
-    marked = df.withColumn("_id", F.xxhash64(F.col(key), F.col(text)))
-    prints = materialize(fingerprints(marked.select(F.struct("_id", key).alias("_who"), text), text, "_who", words_per_shingle), "fingerprints")
-    rows = prints.select("fp", F.col("_who._id").alias("_id"), F.col(f"_who.{key}").alias("_key"))
+    marked = df.select(boxed(df), F.xxhash64(F.col(key), F.col(text)).alias("_id"))
+    who = df.select(F.struct(F.xxhash64(F.col(key), F.col(text)).alias("_id"), F.col(key).alias("_key")).alias("_who"), F.col(text).alias("_text"))
+    prints = materialize(fingerprints(who, "_text", "_who", words_per_shingle), "fingerprints")
+    rows = prints.select("fp", F.col("_who._id").alias("_id"), F.col("_who._key").alias("_key"))
     distinct = rows.groupBy("fp").agg(F.min(F.struct("_key", "_id")).alias("_least"))
     label = connected_components(link_table(distinct.select("fp"), distance, segments))
     named = distinct.join(label, F.col("fp") == F.col("node"), "left").select("_least", F.coalesce("component", "fp").alias("_label"))
     kept = materialize(named.groupBy("_label").agg(F.min("_least").alias("_least")).select(F.col("_least._id").alias("_id")).distinct(), "kept")
-    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*df.columns)
+    return marked.join(kept, "_id", "left_semi").dropDuplicates(["_id"]).select(*unboxed(df.columns))
