@@ -184,7 +184,7 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     got = substrings.repeated_passages(documents(spark, rows)).collect()
     assert {r.doc_id for r in got} == {i for i in range(0, 40, 5)} | {100}
     texts = {i: t.encode() for i, t, _ in rows}
-    assert all(texts[r.doc_id][r.begin : r.end].decode().strip() in passage + " " + passage for r in got)
+    assert all(passage[70:-70].encode() in texts[r.doc_id][r.begin : r.end] and r.end - r.begin < 2 * len(passage) + 20 for r in got)
     assert [r.doc_id for r in got if r.kept] == [0]
     assert substrings.repeated_passages(empty(spark)).count() == 0
     odd = substrings.repeated_passages(with_clashes(awkward(spark), "row", "digest", "begin")).collect()
