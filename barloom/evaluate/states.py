@@ -52,10 +52,12 @@ def spread_by_state(df: DataFrame, features: list[str], target: str) -> DataFram
 
 def violin_marks(df: DataFrame, feature: str, target: str, quantiles: int = 5, by_symbol: bool = True) -> DataFrame:
     """(quantile, observations, mean, percentiles, median, overall_mean): what a violin figure of the buckets marks."""
-    pairs = pair_table(df, [feature], target)
-    rows = bucketed(pairs, quantiles, by_symbol).filter("quantile is not null")
+    rows = bucketed(pair_table(df, [feature], target), quantiles, by_symbol)
     marks = rows.groupBy("quantile").agg(*_marks("y"), F.median("y").alias("median"))
-    return marks.join(pairs.agg(F.avg("y").alias("overall_mean")).hint("broadcast"))
+    # over one row a bucket and one for the pairs without a bucket
+    every = Window.partitionBy(F.lit(1))
+    overall = F.sum(F.col("mean") * F.col("observations")).over(every) / F.sum("observations").over(every)
+    return marks.withColumn("overall_mean", overall).filter("quantile is not null")
 
 
 def overall_mean(df: DataFrame, target: str) -> DataFrame:
