@@ -2,7 +2,8 @@
 
 Fingerprints of 64 bits are cut into segments; if two differ in at most d bits, they differ in at
 most d // segments bits of some segment. Each distinct fingerprint is filed under its segments and under
-the small Hamming balls around them, and fingerprints that meet are compared in full.
+the small Hamming balls around them, and fingerprints that meet are compared in full. Buckets with many
+fingerprints are dealt out again by the bits outside their segment.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ SHINGLE_WORDS, DISTANCE, SEGMENTS, SEED = 3, 3, 2, 42
 _CHUNK = 1 << 16
 #: Groups above so many rows are searched breadth-first and give a spanning forest of their links.
 _SMALL = 16
+#: Groups above so many rows are dealt out again by finer keys; each row is filed under every so many pieces of the other bits.
+GROUP_ROWS, PIECES = 4096, 3
+_SPREAD = 0x9E3779B97F4A7C15
 
 
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
@@ -58,15 +62,21 @@ def _masks(bits: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(bits), r)], np.uint64)
 
 
+def _segment(s: int, segments: int) -> tuple[int, int]:
+    """(lowest bit, number of bits) of a segment."""
+    low = sum(64 // segments + (k >= segments - 64 % segments) for k in range(s))
+    return low, 64 // segments + (s >= segments - 64 % segments)
+
+
 def file_keys(fps: np.ndarray, distance: int = DISTANCE, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
     """(key, row): the buckets of each fingerprint.
 
     Of two segments that differ, only the one with 0 at the highest differing bit is filed in
     the other's bucket, so that each pair meets from one side.
     """
-    keys, rows, low = [], [], 0
+    keys, rows = [], []
     for s in range(segments):
-        bits = (64 - low) // (segments - s)
+        low, bits = _segment(s, segments)
         value = (fps >> np.uint64(low)) & np.uint64((1 << bits) - 1)
         for mask in _masks(bits, distance // segments):
             if mask:
@@ -74,12 +84,39 @@ def file_keys(fps: np.ndarray, distance: int = DISTANCE, segments: int = SEGMENT
             else:
                 at = np.arange(len(fps))
             # segment and value make one number, spread over 64 bits
-            keys.append(((value[at] ^ mask) * np.uint64(segments) + np.uint64(s)) * np.uint64(0x9E3779B97F4A7C15))
+            keys.append(((value[at] ^ mask) * np.uint64(segments) + np.uint64(s)) * np.uint64(_SPREAD))
             rows.append(at)
-        low += bits
     return np.concatenate(keys), np.concatenate(rows)
 
 
+def finer_keys(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE, segments: int = SEGMENTS) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row): buckets that split the large ones of ``file_keys``.
+
+    The bits outside a bucket's segment are cut into distance + PIECES pieces. Linked fingerprints have PIECES of them in
+    common at least, so each is filed under every so many pieces, together with its bucket. With the two segments of
+    32 bits of the default a split bucket can hold 33 * 2**17 fingerprints at most, whatever the input.
+    """
+    if segments == 1:  # nothing is outside; a bucket is one Hamming ball
+        return keys, np.arange(len(keys))
+    segment = keys * np.uint64(pow(_SPREAD, -1, 1 << 64)) % np.uint64(segments)
+    out, rows = [], []
+    for s in range(segments):
+        at = np.flatnonzero(segment == s)
+        low, bits = _segment(s, segments)
+        below = fps[at] & np.uint64((1 << low) - 1)
+        above = fps[at] >> np.uint64(low + bits) if low + bits < 64 else np.zeros(len(at), np.uint64)
+        rest, parts = below | above << np.uint64(low), distance + PIECES
+        marks = [(64 - bits) * i // parts for i in range(parts + 1)]
+        piece = [rest >> np.uint64(a) & np.uint64((1 << (b - a)) - 1) for a, b in zip(marks, marks[1:])]
+        for number, chosen in enumerate(combinations(piece, PIECES)):
+            key = keys[at] ^ np.uint64(number)
+            for value in chosen:
+                key = (key ^ key >> np.uint64(29) ^ value) * np.uint64(_SPREAD)
+            out.append(key)
+            rows.append(at)
+    return np.concatenate(out), np.concatenate(rows)
+
+
 def links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Linked fingerprints among the rows of equal keys; ``keys`` is sorted.
 
@@ -113,10 +150,50 @@ def links(keys: np.ndarray, fps: np.ndarray, distance: int = DISTANCE) -> tuple[
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def link_table(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def _meet(batches, distance: int, most: int | None):
+    """(a, b, key): links without key; (fp, null, key) for each row of a group of over ``most``. Batches come sorted by key.
+
+    Rows of a large group are passed on as they come, so no more than ``most`` of one are held.
+    """
+    keys, fps, large = np.array([], np.int64), np.array([], np.int64), None
+
+    def out(k, f):
+        runs = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.array([], int)
+        sizes = np.diff(np.append(runs, len(k)))
+        late = np.repeat(sizes > most, sizes) if most else np.zeros(len(k), bool)
+        return *links(k[~late], f[~late].view(np.uint64), distance), k[late], f[late]
+
+    def pack(a, b, k, f):
+        is_link = np.arange(len(a) + len(f)) < len(a)
+        both = lambda x, y: np.concatenate([x.astype(np.int64), y.astype(np.int64)])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both(a.view(np.int64), f)), pa.array(both(b.view(np.int64), f), mask=~is_link), pa.array(both(a.view(np.int64), k), mask=is_link)], ["a", "b", "key"]
+        )
+
+    none = np.array([], np.uint64)
+    for batch in batches:
+        keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
+        fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
+        if large is not None and len(keys):  # more rows of a group that was passed on
+            more = np.searchsorted(keys, large, side="right")
+            yield pack(none, none, keys[:more], fps[:more])
+            keys, fps = keys[more:], fps[more:]
+            large = None if len(keys) else large
+        done = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on
+        if done:
+            yield pack(*out(keys[:done], fps[:done]))
+            keys, fps = keys[done:], fps[done:]
+        if most and len(keys) > most:
+            large = keys[0]
+            yield pack(none, none, keys, fps)
+            keys, fps = keys[:0], fps[:0]
+    yield pack(*out(keys, fps))
+
+
+def link_table(distinct: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, most: int = GROUP_ROWS) -> DataFrame:
     """(a, b): links between the fingerprints of a one-column table of distinct ones.
 
-    Every linked pair is joined by a chain of the links returned.
+    Every linked pair is joined by a chain of the links returned. Groups of over ``most`` fingerprints are split.
     """
 
     def file(batches):
@@ -125,24 +202,19 @@ def link_table(distinct: DataFrame, distance: int = DISTANCE, segments: int = SE
             keys, rows = file_keys(fps, distance, segments)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
 
-    def meet(batches):
-        keys, fps = np.array([], np.int64), np.array([], np.int64)
+    def refile(batches):
+        for batch in batches:
+            keys, fps = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+            finer, rows = finer_keys(keys, fps, distance, segments)
+            yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), pa.array(fps[rows].view(np.int64))], ["key", "fp"])
 
-        def out(k, f):
-            a, b = links(k, f.view(np.uint64), distance)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def meeting(filed: DataFrame, limit: int | None) -> DataFrame:
+        dealt = filed.repartition("key").sortWithinPartitions("key")
+        return dealt.mapInArrow(lambda batches: _meet(batches, distance, limit), "a long, b long, key long")
 
-        for batch in batches:
-            keys = np.concatenate([keys, batch.column(0).to_numpy(zero_copy_only=False)])
-            fps = np.concatenate([fps, batch.column(1).to_numpy(zero_copy_only=False)])
-            done = np.searchsorted(keys, keys[-1]) if len(keys) else 0  # the last key may go on
-            if done:
-                yield out(keys[:done], fps[:done])
-                keys, fps = keys[done:], fps[done:]
-        yield out(keys, fps)
-
-    filed = distinct.mapInArrow(file, "key long, fp long").repartition("key").sortWithinPartitions("key")
-    return filed.mapInArrow(meet, "a long, b long").distinct()
+    met = materialize(meeting(distinct.mapInArrow(file, "key long, fp long"), most), "met")
+    large = met.filter("key is not null").select("key", "a").mapInArrow(refile, "key long, fp long")
+    return met.filter("key is null").select("a", "b").union(meeting(large, None).select("a", "b")).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words_per_shingle: int = SHINGLE_WORDS,
