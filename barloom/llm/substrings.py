@@ -21,6 +21,8 @@ LEAST_BYTES, MOST_BYTES = 12, 256
 #: two texts share, so this finds shared passages of 50 words.
 PASSAGE_WORDS = 34
 _WIDTH = 32
+#: Bytes that part words.
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def _gear(seed: int = 11) -> np.ndarray:
@@ -61,6 +63,14 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def words_before(data: bytes) -> np.ndarray:
+    """How many words begin before each place of a text, its end included."""
+    white = _WHITE[np.frombuffer(data, np.uint8)]
+    begins = ~white
+    begins[1:] &= white[:-1]
+    return np.concatenate([[0], np.cumsum(begins)])
+
+
 def chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(row, key, digest, begin, bytes, words): the chunks of every text; null and empty texts have none.
 
@@ -78,12 +88,13 @@ def chunks(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
             for i, t in enumerate(batch.column(2).to_pylist()):
                 data = (t or "").encode()
                 a = 0
+                before = words_before(data)
                 for b in cuts(data) if data else ():
                     at.append(i)
                     digest.append(xxh3_64_intdigest(data[a:b]))
                     begin.append(a)
                     size.append(b - a)
-                    words.append(data.count(b" ", a, b) + data.count(b"\n", a, b))
+                    words.append(before[b] - before[a])
                     a = b
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -100,7 +111,7 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", pa
     """(key, begin, end, words, occurrences, first_key, kept): passages that several rows share.
 
     Byte offsets into the UTF-8 text. A passage is a longest run of chunks whose digests all occur in at least
-    two rows, with ``passage_words`` white-space characters at least. occurrences is the least number of places
+    two rows, in which ``passage_words`` words at least begin. occurrences is the least number of places
     that one of its chunks has, first_key the smallest key that holds its first chunk, kept whether all of
     it stands here for the first time, by key and then place. Null and empty texts have no passages; what repeats within
     one row only is none.

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,37 @@ def test_multi_index_hashing_finds_every_link(distance_, segments):
     assert {p: find(p) for p in prints} == want
 
 
+@pytest.mark.parametrize(("distance_", "segments", "most"), [(3, 2, 8), (5, 3, 8), (5, 3, 100), (2, 1, 4)])
+def test_large_groups_are_split_without_losing_links(spark, distance_, segments, most):
+    rng = random.Random(12)
+    low = 64 // segments if segments > 1 else 0
+    prints = set()
+    for centre in [rng.getrandbits(64) for _ in range(3)]:  # each in one bucket of the lowest segment
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(low, 64), rng.randint(0, 6))) for _ in range(60)}
+    rows = [(p - 2**64 if p >> 63 else p,) for p in prints]
+    table = spark.createDataFrame(rows, "fp long").repartition(3)
+    links = [(r.a, r.b) for r in simhash.link_table(table, distance_, segments, most).collect()]
+    assert all(((a ^ b) & (2**64 - 1)).bit_count() <= distance_ for a, b in links)
+    got = {p: p for (p,) in rows}
+    for _ in range(len(got)):
+        before = dict(got)
+        for a, b in links:
+            got[a] = got[b] = min(got[a], got[b])
+        if got == before:
+            break
+    want = brute_components({p & (2**64 - 1): p & (2**64 - 1) for (p,) in rows}, distance_)
+    groups = lambda label: {frozenset(k for k in label if label[k] == v) for v in set(label.values())}
+    assert {frozenset(k & (2**64 - 1) for k in g) for g in groups(got)} == groups(want)
+
+
+def test_streamed_groups_hold_no_more_than_the_limit():
+    keys = np.repeat(np.arange(5), [3, 40, 1, 25, 2])
+    fps = np.arange(len(keys)) * 1024
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 7]), pa.array(fps[i : i + 7])], ["key", "fp"]) for i in range(0, len(keys), 7)]
+    late = pa.Table.from_batches(list(simhash._meet(iter(batches), 3, 10))).filter(pc.is_valid(pc.field("key")))
+    assert late["key"].to_pylist() == [1] * 40 + [3] * 25 and late["a"].to_pylist() == fps[np.isin(keys, [1, 3])].tolist()
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(9)
     docs = []
@@ -172,6 +205,12 @@ def test_gear_hash_and_cuts():
     assert len(moved) > 0.9 * len(ends)
 
 
+def test_words_are_counted_by_their_beginnings():
+    for text in ("", "one", "  two  words ", "tabs\t\tand\r\nlines\x0b\x0cend"):
+        before = substrings.words_before(text.encode())
+        assert len(before) == len(text) + 1 and before[-1] == len(text.split())
+
+
 def test_passages_are_found_and_clean_documents_left_alone(spark):
     rng = random.Random(11)
 
