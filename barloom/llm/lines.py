@@ -3,7 +3,8 @@
 A line within t edits of another holds one of that line's t + 1 segments unchanged, at nearly the
 same place. Lines are filed under their segments and under the substrings that could be a segment of an equally
 long or slightly shorter line; lines that meet are compared by a bigram signature that t edits can
-change little, and then by banded bit-parallel edit distance.
+change little, and then by banded bit-parallel edit distance. Large groups are dealt out again by what
+else their lines share.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import materialize
 MAX_EDITS, CHARS_PER_EDIT = 2, 20
 #: Groups above so many lines are compared in blocks; those with more than DENSE candidates a line by their texts.
 _SMALL, _DENSE, _BLOCK = 48, 16, 512
+#: Groups above so many rows are dealt out again by finer keys.
+GROUP_ROWS = 4096
 _DIGITS, _DIGITS2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -106,17 +109,51 @@ def signature(line: str) -> int:
     return int(np.bitwise_xor.reduce(np.uint64(1) << g)) if len(g) else 0
 
 
+def _probes_of(chars: int) -> list[tuple[int, int, int, int]]:
+    if chars not in _probes:
+        if len(_probes) > 20_000:
+            _probes.clear()
+        _probes[chars] = probes(chars)
+    return _probes[chars]
+
+
 def file_line(line: str) -> list[int]:
     """Keys of a line: its own segments and the segments of others that it may hold."""
     from xxhash import xxh3_64_intdigest
 
-    n = len(line)
-    if n not in _probes:
-        if len(_probes) > 20_000:
-            _probes.clear()
-        _probes[n] = probes(n)
     wide = line.encode("utf-32-le", "surrogatepass")
-    return list({xxh3_64_intdigest(wide[4 * a : 4 * b], (length << 8 | i)) - 2**63 for length, i, a, b in _probes[n]})
+    return list({xxh3_64_intdigest(wide[4 * a : 4 * b], (length << 8 | i)) - 2**63 for length, i, a, b in _probes_of(len(line))})
+
+
+def pieces(length: int, segment: int) -> list[tuple[bool, int, int]]:
+    """(right of the segment, first, end): what is left of a line without a segment, cut in more pieces than edits are allowed."""
+    edits, (a, b) = edits_allowed(length), segments(length)[segment]
+    parts = -(-(edits + 1) // 2) if 0 < a and b < length else edits + 1
+    return [
+        (right, low + (high - low) * k // parts, low + (high - low) * (k + 1) // parts)
+        for right, low, high in ((False, 0, a), (True, b, length)) if high > low for k in range(parts)
+    ]
+
+
+def refile_line(key: int, line: str) -> list[int]:
+    """Finer keys of a line of the group ``key``.
+
+    Two near lines that share a segment share a piece of the rest too, moved by no more places than edits are
+    allowed: a line is filed under all that could be such a piece.
+    """
+    from xxhash import xxh3_64_intdigest
+
+    wide, out = line.encode("utf-32-le", "surrogatepass"), set()
+    for length, i, a, b in _probes_of(len(line)):
+        if xxh3_64_intdigest(wide[4 * a : 4 * b], (length << 8 | i)) - 2**63 != key:
+            continue
+        edits, end = edits_allowed(length), segments(length)[i][1]
+        for number, (right, u, v) in enumerate(pieces(length, i)):
+            move, low, high = (b - end, b, len(line)) if right else (0, 0, a)
+            for at in range(u + move - edits, u + move + edits + 1):
+                if low <= at and at + v - u <= high:
+                    out.add(xxh3_64_intdigest(wide[4 * at : 4 * (at + v - u)], (key + number * _DIGITS) & (2**64 - 1)) - 2**63)
+    return list(out)
 
 
 def candidates(ids: np.ndarray, signs: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]] | None:
@@ -133,19 +170,32 @@ def candidates(ids: np.ndarray, signs: np.ndarray) -> list[tuple[np.ndarray, np.
     return near
 
 
-def _groups(batches, columns: int):
-    """Column arrays of whole groups of rows: ``batches`` come sorted by their first column."""
-    held = None
+def _groups(batches, columns: int, most: int | None = None):
+    """(column arrays, True) of whole groups of rows: ``batches`` come sorted by their first column.
+
+    Rows of a group of over ``most`` that spans batches come as they are read, with False.
+    """
+    held = large = None
     for batch in batches:
         now = [batch.column(i) for i in range(columns)]
         held = now if held is None else [pa.concat_arrays([h, n]) for h, n in zip(held, now)]
         keys = held[0].to_numpy(zero_copy_only=False)
+        if large is not None and len(keys):
+            more = int(np.searchsorted(keys, large, side="right"))
+            if more:
+                yield [h.slice(0, more) for h in held], False
+            held, keys = [h.slice(more) for h in held], keys[more:]
+            large = None if len(keys) else large
         done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
         if done:
-            yield [h.slice(0, done) for h in held]
+            yield [h.slice(0, done) for h in held], True
             held = [pa.concat_arrays([h.slice(done)]) for h in held]
+        if most and len(held[0]) > most:
+            large = keys[-1]
+            yield held, False
+            held = None
     if held is not None and len(held[0]):
-        yield held
+        yield held, True
 
 
 def _starts(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -153,32 +203,39 @@ def _starts(keys: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(marks, [*marks[1:], len(keys)]))
 
 
-def _meet(batches):
-    """(a, b, key): candidate pairs without key; (a, null, key) for each line of a dense group."""
-    for key, line, sign in _groups(batches, 3):
+#: Kinds of rows that ``_meet`` gives.
+PAIR, DENSE, LARGE = 0, 1, 2
+
+
+def _meet(batches, most: int | None):
+    """(kind, a, b, key): candidate pairs; (DENSE, a, null, key) and (LARGE, a, null, key) for each line of such a group."""
+    for (key, line, sign), whole in _groups(batches, 3, most):
         keys, ids, signs = (c.to_numpy(zero_copy_only=False) for c in (key, line, sign))
         signs = signs.view(np.uint64)
-        left, right, dense = [], [], []
+        left, right, alone = [], [], []
         for a, b in _starts(keys):
-            if b - a < 2:
+            if whole and b - a < 2:
                 continue
             own, first = np.unique(ids[a:b], return_index=True)
+            if not whole or most and b - a > most:
+                alone.append((LARGE, keys[a], own))
+                continue
             if len(own) < 2:
                 continue
             found = candidates(own, signs[a:b][first])
             if found is None:
-                dense.append((keys[a], own))
+                alone.append((DENSE, keys[a], own))
             else:
                 left += [x for x, _ in found]
                 right += [y for _, y in found]
         none = np.array([], np.int64)
-        n_pairs, members = sum(map(len, left)), np.concatenate([none, *(o for _, o in dense)])
+        left, right, members = np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([none, *(o for _, _, o in alone)])
+        is_pair = np.arange(len(left) + len(members)) < len(left)
+        kinds, groups = (np.concatenate([none, *(np.full(len(x[2]), x[i], np.int64) for x in alone)]) for i in (0, 1))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([none, *left, members])),
-             pa.array(np.concatenate([none, *right, members]), mask=np.arange(n_pairs + len(members)) >= n_pairs),
-             pa.array(np.concatenate([np.zeros(n_pairs, np.int64), *(np.full(len(o), k) for k, o in dense)]).astype(np.int64),
-                      mask=np.arange(n_pairs + len(members)) < n_pairs)],
-            ["a", "b", "key"],
+            [pa.array(np.concatenate([np.full(len(left), PAIR), kinds]).astype(np.int32)), pa.array(np.concatenate([left, members])),
+             pa.array(np.concatenate([right, members]), mask=~is_pair), pa.array(np.concatenate([left, groups]), mask=is_pair)],
+            ["kind", "a", "b", "key"],
         )
 
 
@@ -191,7 +248,7 @@ def _verify(batches):
 
 def _verify_dense(batches):
     """For each line of a dense group the first line before it, in the order given, that is near."""
-    for key, line, text in _groups(batches, 3):
+    for (key, line, text), _ in _groups(batches, 3):
         ids, texts = line.to_pylist(), text.to_pylist()
         out = []
         for a, b in _starts(key.to_numpy(zero_copy_only=False)):
@@ -206,12 +263,12 @@ def _verify_dense(batches):
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
 
-def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most: int = GROUP_ROWS) -> DataFrame:
     """(key, row, line): the lines to drop, numbered from 0; ``row`` is a hash of the row's text.
 
     A line is dropped if an equal line stands before it, by key (null first), text hash and place, or if some line whose first
     place is before its own first place is within ``edits_allowed`` of it. Blank lines stay.
-    Rows equal in key and text count as one document.
+    Rows equal in key and text count as one document. Groups of over ``most`` rows that share a segment are split.
     """
     rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     kind = df.schema[key].dataType.simpleString()
@@ -248,12 +305,24 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.array(signs, np.uint64).view(np.int64))], ["key", "id", "sign"])
 
     places = materialize(rows.mapInArrow(place, f"id long, key {kind}, row long, line int"), "places")
-    filed = rows.select("text").mapInArrow(file, "key long, id long, sign long").repartition("key").sortWithinPartitions("key")
-    met = materialize(filed.mapInArrow(_meet, "a long, b long, key long").distinct(), "met")
-    pairs, dense = met.filter("key is null"), met.filter("key is not null")
+    def refile(batches):
+        for batch in batches:
+            keys, ids, signs = [], [], []
+            for k, h, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                own, sign = refile_line(k, line), signature(line)
+                keys += own
+                ids += [h] * len(own)
+                signs += [sign] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.array(signs, np.uint64).view(np.int64))], ["key", "id", "sign"])
+
+    def meeting(filed: DataFrame, limit: int | None) -> DataFrame:
+        dealt = filed.repartition("key").sortWithinPartitions("key")
+        return materialize(dealt.mapInArrow(lambda batches: _meet(batches, limit), "kind int, a long, b long, key long").distinct(), "met")
+
+    met = meeting(rows.select("text").mapInArrow(file, "key long, id long, sign long"), most)
 
     first = materialize(places.groupBy("id").agg(F.min(F.struct("key", "row", "line")).alias("first"), F.count("*").alias("n")), "first")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("a")).distinct()
+    wanted = met.select(F.col("a").alias("id")).union(met.filter("b is not null").select("b")).distinct()
     bits = wanted.groupBy(F.shiftright(F.col("id").bitwiseAND((1 << 24) - 1), 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits")
     ).collect()  # fmt: skip  # at most 2**18 rows
@@ -275,6 +344,11 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
     known = rows.select("text").mapInArrow(texts, "id long, line string").dropDuplicates(["id"]).join(wanted, "id", "left_semi")
     known = materialize(known, "candidate-lines")
+    large = met.filter(F.col("kind") == LARGE).select("key", F.col("a").alias("id"))
+    if not large.isEmpty():
+        finer = large.join(known, "id").select("key", "id", "line").mapInArrow(refile, "key long, id long, sign long")
+        met = met.filter(F.col("kind") != LARGE).union(meeting(finer, None))
+    pairs, dense = met.filter(F.col("kind") == PAIR).select("a", "b").distinct(), met.filter(F.col("kind") == DENSE)
     x, y = (known.select(F.col("id").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     links = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "line_a", "line_b").mapInArrow(_verify, "a long, b long")
     ordered = dense.select("key", F.col("a").alias("id")).join(known, "id").join(first.select("id", "first"), "id")

@@ -62,12 +62,30 @@ def expected_lines(docs):
     return {(i, k) for i, k, line in seen if first[line] != (i, k) or line in near}
 
 
-@pytest.mark.parametrize("crowd", [5, 120])
-def test_lines_against_brute_force(spark, crowd):
+def test_finer_keys_lose_no_pair():
+    rng = random.Random(13)
+    for _ in range(2000):
+        a = "".join(rng.choice("abcdé ") for _ in range(rng.randint(18, 60)))
+        b = edited(rng, a, 2)
+        if 0 < distance(a, b) <= lines.edits_allowed(min(len(a), len(b))):
+            both = set(lines.file_line(a)) & set(lines.file_line(b))
+            assert any(set(lines.refile_line(k, a)) & set(lines.refile_line(k, b)) for k in both)
+
+
+def test_streamed_groups_of_lines_hold_no_more_than_the_limit():
+    keys = np.repeat(np.arange(6), [3, 40, 1, 25, 12, 2])
+    columns = [keys, np.arange(len(keys)), np.arange(len(keys)) * 77]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 7]) for c in columns], ["key", "id", "sign"]) for i in range(0, len(keys), 7)]
+    met = pa.Table.from_batches(list(lines._meet(iter(batches), 10))).to_pylist()
+    assert [(r["key"], r["a"]) for r in met if r["kind"] == lines.LARGE] == [(k, i) for i, k in enumerate(keys.tolist()) if k in (1, 3, 4)]
+
+
+@pytest.mark.parametrize(("crowd", "most"), [(5, 4096), (120, 4096), (120, 20), (60, 2)])
+def test_lines_against_brute_force(spark, crowd, most):
     rng = random.Random(7)
     base = ["".join(rng.choice("abcdefgh ") for _ in range(rng.choice([3, 19, 25, 41, 70]))) for _ in range(12)]
     docs = [(i, "\n".join(edited(rng, rng.choice(base[:2] if crowd > 50 else base), 2) for _ in range(3))) for i in range(crowd)]
-    got = {(r.doc_id, r.line) for r in lines.repeated_lines(documents(spark, [(i, t, "s") for i, t in docs])).collect()}
+    got = {(r.doc_id, r.line) for r in lines.repeated_lines(documents(spark, [(i, t, "s") for i, t in docs]), most=most).collect()}
     assert got == expected_lines(docs)
 
 
