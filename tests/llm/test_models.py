@@ -170,3 +170,10 @@ def test_pages_with_one_url_and_long_pages(spark):
     rows = [(i, "http://h.example/same", PAGE.format(f"<main><p>{words(3000, i)}</main>")) for i in range(30)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: words(3000, i) for i in range(30)}
+
+
+def test_odd_tags_and_attributes():
+    assert pages.lines("<p title=it's>one</p><p>two's</p>") == [("one", pages.LOOSE), ("two's", pages.LOOSE)]
+    assert pages.lines('<a title="x > y">t</a><p class="menu>broken</p>')[-1][0] == "broken"
+    kept = "<div style='overflow: hidden'><p>a</p></div><p data-id='search'>b</p><p hidden>c</p><p style='display: none'>d</p>"
+    assert [k for _, k in pages.lines(kept)] == [pages.LOOSE, pages.LOOSE, pages.TEMPLATE, pages.TEMPLATE]
