@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import lines, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity
-from .common import read, word_count
+from .common import materialize, read, word_count
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +17,7 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     return mixing.mix(sized, F.array("source"), F.col("size")).select("doc_id", "size", "source_size", "target", "taken")
 
 
