@@ -3,7 +3,7 @@
 Two interpolated Kneser-Ney models of order 4, one for toxic and one for ordinary texts, back off
 to the same continuation counts of both classes, so rare expressions weigh little until a class
 has shown them often. A document's score comes from the two log-likelihoods, normalised by
-length, through a logistic curve fitted on labelled documents that the models in question had not seen.
+length over the whole text and at their peak over a few characters, through a logistic curve fitted on labelled documents that the models in question had not seen.
 
 Characters are folded to 64 symbols by a fixed rule, so there are at most 2**24 n-grams: a
 model's size is bounded whatever it was counted on, while its counts cover every labelled text.
@@ -21,6 +21,8 @@ from .common import uniform
 ORDER, SYMBOLS = 4, 64
 DISCOUNT = 0.75
 THRESHOLD = 0.3
+#: Characters over which the peak of the likelihood ratio is taken, about a word and a half.
+WINDOW = 8
 #: Where the curve meets the threshold at least this share of the labelled rows above it is toxic.
 LEAST_PRECISION = 0.85
 #: Labelled documents, about, chosen by a seeded hash of their ids, that the logistic curve is fitted on.
@@ -80,10 +82,12 @@ def _models(counts: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
     return table
 
 
-def _features(ratio: float, length: int) -> tuple[float, float, float]:
-    """The ratio of the log-likelihoods per character and per root of the length."""
-    n = max(1, length)
-    return 1.0, ratio / n, ratio / n**0.5
+def _features(table: np.ndarray, g: np.ndarray) -> tuple[float, float, float, float]:
+    """The ratio of the log-likelihoods per character and per root of the length, and at its peak over WINDOW characters."""
+    upto = np.concatenate([[0.0], np.cumsum(table[g], dtype=np.float64)])
+    ratio, n = float(upto[-1]), max(1, len(g))
+    peak = float((upto[WINDOW:] - upto[:-WINDOW]).max()) if len(g) >= WINDOW else ratio
+    return 1.0, ratio / n, ratio / n**0.5, peak / WINDOW
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -142,25 +146,16 @@ def count_grams(labelled: DataFrame, text: str = "text", label: str = "_label",
     return rows.groupBy("key", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def _ratios(df: DataFrame, keep: list[str], tables, text: str) -> DataFrame:
-    """(keep..., ratio, length); ``tables`` is a broadcast list, and a column _table picks one, else the last is used."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(f"`{k}`" for k in keep)).schema.fields)
-    pick = keep.index("_table") if "_table" in keep else None
+def _curve(df: DataFrame, tables, text: str) -> DataFrame:
+    """(_label, x): the features of labelled rows, by the table that their _table names of a broadcast list."""
 
     def run(batches):
         for batch in batches:
-            which = batch.column(pick).to_pylist() if pick is not None else [-1] * batch.num_rows
-            ratio, length = [], []
-            for t, k in zip(batch.column(len(keep)).to_pylist(), which):
-                g = grams(t)
-                ratio.append(float(tables.value[k][g].sum(dtype=np.float64)))
-                length.append(len(g))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(keep))), pa.array(ratio, pa.float64()), pa.array(length, pa.int64())],
-                [*keep, "ratio", "length"],
-            )
+            label, which, texts = (batch.column(i).to_pylist() for i in range(3))
+            x = [_features(tables.value[k], grams(t)) for k, t in zip(which, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["_label", "x"])
 
-    return df.select(*(f"`{k}`" for k in keep), text).mapInArrow(run, f"{fields}, ratio double, length long")
+    return df.select(F.col("_label").cast("int"), "_table", text).mapInArrow(run, "_label int, x array<double>")
 
 
 class Model:
@@ -180,8 +175,7 @@ class Model:
             for batch in batches:
                 score = []
                 for t in batch.column(at).to_pylist():
-                    g = grams(t)
-                    x = np.array(_features(float(tables.value[-1][g].sum(dtype=np.float64)), len(g)))
+                    x = np.array(_features(tables.value[-1], grams(t)))
                     score.append(float(1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())],
@@ -213,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     none = np.zeros(_KEYS, np.float16)
     if not counted["ordinary"].sum() or not counted["toxic"].sum():
         share = counted["toxic"].sum() / max(1, counted["toxic"].sum() + counted["ordinary"].sum())
-        return Model(spark.sparkContext.broadcast([none]), np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0]))
+        return Model(spark.sparkContext.broadcast([none]), np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0, 0]))
     keys, back = np.unique(counted["key"].to_numpy(), return_inverse=True)
     by_fold = np.zeros((FOLDS, 2, len(keys)))
     np.add.at(by_fold, (counted["fold"].to_numpy(), 0, back), counted["ordinary"].to_numpy())
@@ -221,10 +215,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     whole = by_fold.sum(0)
     parts = spark.sparkContext.broadcast([_models(list(whole - by_fold[f]), keys) for f in range(FOLDS)])
     sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / n_labels).withColumn("_table", F.col("_fold").cast("int"))
-    curve = _ratios(sample, ["_label", "_table"], parts, text).select("_label", "ratio", "length").toPandas()
+    curve = _curve(sample, parts, text).toPandas()
     parts.unpersist()
-    x = np.array([_features(r, n) for r, n in zip(curve["ratio"], curve["length"])])
+    x = np.array(curve["x"].tolist())
     y = curve["_label"].to_numpy(float)
-    weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, 0.0])
+    weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, 0.0, 0.0])
     weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ weights, y)
     return Model(spark.sparkContext.broadcast([_models(list(whole), keys)]), weights)
