@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import lines, mixing, packing, simhash, toxicity
+from barloom.llm import lines, mixing, packing, resemblance, toxicity
 from barloom.llm.common import materialize, read, word_count
 
 #: SQL can express neither the models nor the packing; the stages are tested against brute force.
@@ -28,13 +28,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
-#: Near-copies here are documents whose five-word fingerprints differ in at most 5 of 64 bits; unrelated texts differ in about 32.
-NEAR_COPY = {"words_per_shingle": 5, "distance": 5, "segments": 3}
-
-
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return simhash.keep_one(docs, **NEAR_COPY)
+    """One document of each near-duplicate group: links are pairs whose five-word shingles have a similarity of 0.8 at least."""
+    return resemblance.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
