@@ -72,6 +72,40 @@ def test_recall_and_exact_scores(spark):
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 700), key=lambda r: r.rank)] == [5, *range(701, 720)]
 
 
+def test_recall_when_few_candidates_are_reranked(spark):
+    # clusters around 150 centres; at most 5 % of the vectors are looked at exactly
+    rng = np.random.default_rng(21)
+    x = (rng.normal(size=(150, 32))[rng.integers(150, size=3000)] + 0.5 * rng.normal(size=(3000, 32))).astype(np.float32)
+    df = vectors(spark, x)
+    found = {m: {} for m in ("inner_product", "euclidean")}
+    for m, own in found.items():
+        for r in quantise.nearest(df, df.filter("vec_id % 20 = 0"), rerank=150, measure=m).collect():
+            own.setdefault(r.query_id, {})[r.vec_id] = r.score
+    x, hits = x.astype(float), dict.fromkeys(found, 0)
+    for q in range(0, 3000, 20):
+        for m, score in (("inner_product", x @ x[q]), ("euclidean", -((x - x[q]) ** 2).sum(1))):
+            got = found[m][q]
+            assert all(got[i] == pytest.approx(score[i], abs=1e-9) for i in got)
+            score[q] = -np.inf
+            hits[m] += len(set(np.argsort(-score)[:20].tolist()) & set(got))
+    assert all(h / (150 * 20) >= 0.9 for h in hits.values())
+
+
+def test_beam_search_and_norms():
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(700, 16)).astype(np.float32)
+    books = quantise.train(x, 4, 16)
+    codes, norms = quantise.encode(x, books, 4)
+    total = books[np.arange(4), codes].sum(1)
+    assert norms == pytest.approx((total.astype(float) ** 2).sum(1), rel=1e-5)
+    rest = x.copy()
+    for book in books:  # one codeword after the other, without a beam
+        rest -= book[((rest[:, None] - book) ** 2).sum(2).argmin(1)]
+    greedy, _ = quantise.encode(x, books, 1)
+    assert x - books[np.arange(4), greedy].sum(1) == pytest.approx(rest, abs=1e-5)
+    assert ((x - total) ** 2).sum() < (rest**2).sum()
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     bad = [None, [0, 0], [nan, 1], [1, None], [inf, 1], [1, 2, 3]]
