@@ -1,28 +1,34 @@
 """Toxicity by class-conditional Kneser-Ney models of characters.
 
-Two interpolated Kneser-Ney models of order 4, one for toxic and one for ordinary texts, back off
-to the same continuation counts of both classes, so rare expressions weigh little until a class
-has shown them often. A document's score comes from the two log-likelihoods, normalised by
-length over the whole text and at their peak over a few characters, through a logistic curve fitted on labelled documents that the models in question had not seen.
-
-Characters are folded to 64 symbols by a fixed rule, so there are at most 2**24 n-grams: a
-model's size is bounded whatever it was counted on, while its counts cover every labelled text.
+Each class, toxic and ordinary, has a model of a character after the five before it in its word. Both back off to one
+interpolated Kneser-Ney model of the two classes' texts (orders 6 to 1, continuation counts below the top), so that
+what a class has not shown often weighs little. A word's evidence is the difference of its two log-likelihoods. A document's score comes
+from the difference over the whole text, normalised by its length, and over its three most telling words, through
+a logistic curve fitted on labelled documents that the models in question had not seen.
+
+Counts are Spark tables of distinct words and n-grams, which grow with the labelled texts. A model is sent to the
+executors while it is small; beyond that the distinct words of the documents are joined with it.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import materialize, uniform
 
-ORDER, SYMBOLS = 4, 64
-DISCOUNT = 0.75
+ORDER = 6
+#: Discounts of the shared model and of a class: a class must show an n-gram over twice before it counts.
+DISCOUNT, CLASS_DISCOUNT = 0.75, 2.0
 THRESHOLD = 0.3
-#: Characters over which the peak of the likelihood ratio is taken, about a word and a half.
-WINDOW = 8
+#: Words whose evidence is taken by itself: the most telling ones of a document.
+TELLING = 3
+#: Longer words, as in scripts without spaces, are cut in pieces of so many characters.
+MOST_CHARS = 24
 #: Where the curve meets the threshold at least this share of the labelled rows above it is toxic.
 LEAST_PRECISION = 0.85
 #: Labelled documents, about, chosen by a seeded hash of their ids, that the logistic curve is fitted on.
@@ -31,63 +37,24 @@ CURVE_ROWS = 20_000
 FOLDS = 3
 #: Labels up to this many rows are broadcast.
 BROADCAST_ROWS = 1_000_000
-_KEYS = SYMBOLS**ORDER
-_FLUSH = 1_000_000
-
-
-def _fold_table() -> np.ndarray:
-    """Symbol of each code point: space 0, letters a-z 1-26, digits 27, other ASCII 28, the rest 30-63 by remainder."""
-    code = np.arange(0x110000)
-    out = 30 + code % 34
-    out[:128] = 28
-    out[48:58] = 27
-    out[65:91] = out[97:123] = np.arange(1, 27)
-    out[32] = 0
-    return out.astype(np.uint8)
-
-
-_folded: list[np.ndarray] = []
-
-
-def grams(text: str | None) -> np.ndarray:
-    """Keys of the n-grams that end at each character of a text, words parted and enclosed by one space."""
-    if not _folded:
-        _folded.append(_fold_table())
-    line = "   " + " ".join((text or "").lower().split()) + " "
-    if len(line) == ORDER:
-        return np.zeros(0, np.uint32)
-    s = _folded[0][np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint32)
-    return s[:-3] << 18 | s[1:-2] << 12 | s[2:-1] << 6 | s[3:]
-
-
-def _models(counts: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    """log p(toxic) - log p(ordinary) of the last symbol of every possible n-gram, from (ordinary, toxic) counts of ``keys``."""
-    history, lower = keys >> 6, keys & 0x3FFFF
-    # shared backoff: in how many contexts of either class a symbol follows the two before it
-    seen = (counts[0] + counts[1]) > 0
-    follows = np.bincount(lower[seen], minlength=1 << 18).astype(np.float64)
-    context = follows.reshape(-1, SYMBOLS)
-    total, kinds = context.sum(1, keepdims=True), (context > 0).sum(1, keepdims=True)
-    shared = (np.maximum(context - DISCOUNT, 0) + DISCOUNT * kinds / SYMBOLS) / np.maximum(total, 1)
-    shared = np.where(total > 0, shared, 1 / SYMBOLS).ravel()
-    logs, unseen = [], []
-    for c in counts:
-        n = np.bincount(history, weights=c, minlength=1 << 18)
-        kinds = np.bincount(history[c > 0], minlength=1 << 18)
-        rest = np.where(n > 0, DISCOUNT * kinds / np.maximum(n, 1), 1.0)
-        logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(n[history], 1) + rest[history] * shared[lower]))
-        unseen.append(np.log(rest))
-    table = np.repeat((unseen[1] - unseen[0]).astype(np.float16), SYMBOLS)
-    table[keys] = logs[1] - logs[0]
-    return table
-
-
-def _features(table: np.ndarray, g: np.ndarray) -> tuple[float, float, float, float]:
-    """The ratio of the log-likelihoods per character and per root of the length, and at its peak over WINDOW characters."""
-    upto = np.concatenate([[0.0], np.cumsum(table[g], dtype=np.float64)])
-    ratio, n = float(upto[-1]), max(1, len(g))
-    peak = float((upto[WINDOW:] - upto[:-WINDOW]).max()) if len(g) >= WINDOW else ratio
-    return 1.0, ratio / n, ratio / n**0.5, peak / WINDOW
+#: n-grams and histories of a model up to this many rows are broadcast, 12 bytes each.
+BROADCAST_GRAMS = 1 << 23
+#: Words that a task counts, or a worker remembers, at once.
+_HELD = 300_000
+
+
+def words(text: str | None) -> Counter:
+    """How often each word, in lower case, stands in a text."""
+    found = (text or "").lower().split()
+    if max(map(len, found), default=0) > MOST_CHARS:
+        found = [w[i : i + MOST_CHARS] for w in found for i in range(0, len(w), MOST_CHARS)]
+    return Counter(found)
+
+
+def grams(word: str, order: int = ORDER) -> list[str]:
+    """The n-grams that end at each character of a word and at its end; shorter ones begin with the word, marked by a space."""
+    s = f" {word} "
+    return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -116,109 +83,272 @@ def _best_cut(logit: np.ndarray, y: np.ndarray) -> float:
     return float((logit[order[i]] + after) / 2)
 
 
-def count_grams(labelled: DataFrame, text: str = "text", label: str = "_label", fold: str = "_fold") -> DataFrame:
-    """(key, fold, ordinary, toxic): how often each n-gram stands in the texts of either class."""
+def count_words(labelled: DataFrame, text: str = "text", label: str = "_label", fold: str = "_fold") -> DataFrame:
+    """(word, c): how often each word stands in the labelled texts, c an array of counts by label * FOLDS + fold."""
 
     def run(batches):
-        held: list[np.ndarray] = []
-        size = 0
+        held = [Counter() for _ in range(2 * FOLDS)]
 
         def flush():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            toxic = (codes & 1).astype(bool)
-            return pa.RecordBatch.from_arrays(
-                [pa.array((codes >> 3).astype(np.int32)), pa.array((codes >> 1 & 3).astype(np.int32)),
-                 pa.array(np.where(toxic, 0, n)), pa.array(np.where(toxic, n, 0))],
-                ["key", "fold", "ordinary", "toxic"],
+            slots = [i for i, c in enumerate(held) for _ in c]
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([w for c in held for w in c], pa.string()), pa.array(slots, pa.int32()), pa.array([n for c in held for n in c.values()], pa.int64())],
+                ["word", "slot", "n"],
             )
+            for c in held:
+                c.clear()
+            return out
 
         for batch in batches:
             for t, y, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                held.append(grams(t).astype(np.int64) << 3 | f << 1 | y)
-                size += len(held[-1])
-                if size >= _FLUSH:
+                held[y * FOLDS + f].update(words(t))
+                if sum(map(len, held)) > _HELD:
                     yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+        yield flush()
 
-    rows = labelled.select(text, F.col(label).cast("int"), F.col(fold).cast("int")).mapInArrow(run, "key int, fold int, ordinary long, toxic long")
-    return rows.groupBy("key", "fold").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    rows = labelled.select(text, F.col(label).cast("int"), F.col(fold).cast("int")).mapInArrow(run, "word string, slot int, n long")
+    counts = [F.coalesce(F.sum(F.when(F.col("slot") == i, F.col("n"))), F.lit(0)) for i in range(2 * FOLDS)]
+    return rows.groupBy("word").agg(F.array(*counts).alias("c"))
 
 
-def _curve(df: DataFrame, tables, text: str) -> DataFrame:
-    """(_label, x): the features of labelled rows, by the table that their _table names of a broadcast list."""
+def count_grams(counted: DataFrame) -> DataFrame:
+    """(gram, c): the counts of n-grams from those of distinct words."""
 
     def run(batches):
         for batch in batches:
-            label, which, texts = (batch.column(i).to_pylist() for i in range(3))
-            x = [_features(tables.value[k], grams(t)) for k, t in zip(which, texts)]
-            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["_label", "x"])
+            found = [grams(w) for w in batch.column(0).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+            yield pa.RecordBatch.from_arrays([pa.array([g for own in found for g in own], pa.string()), batch.column(1).take(of)], ["gram", "c"])
+
+    rows = counted.mapInArrow(run, "gram string, c array<long>")
+    return rows.groupBy("gram").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(2 * FOLDS))).alias("c"))
 
-    return df.select(F.col("_label").cast("int"), "_table", text).mapInArrow(run, "_label int, x array<double>")
+
+def _history(gram: str = "gram") -> Column:
+    return F.expr(f"left({gram}, char_length({gram}) - 1)")
+
+
+def shared_model(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, q): the shared model's probability of the last character of each n-gram of ``counted`` (gram, n).
+
+    n-grams of full order, and those from a word's beginning, have their counts; all shorter ones count the
+    different characters that stand before them.
+    """
+    top = counted.select("gram", "n")
+    parts = top.select("gram", F.explode(F.sequence(F.lit(2), F.char_length("gram"))).alias("at"))
+    parts = parts.select(F.expr("substring(gram, at)").alias("gram"), F.expr("substring(gram, at - 1, 1)").alias("before")).distinct()
+    every = top.union(parts.groupBy("gram").agg(F.count("*").alias("n"))).withColumn("h", _history())
+    known = every.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    every = every.join(known, "h").select(
+        "gram", F.char_length("gram").alias("size"), (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("total")).alias("own"),
+        (DISCOUNT * F.col("kinds") / F.col("total")).alias("rest"),
+    )
+    every = materialize(every, "orders")
+    characters = every.filter("size = 1")
+    unknown = 1 / (characters.count() + 1)  # characters that no text has are one more
+    below = characters.select("gram", (F.col("own") + F.col("rest") * unknown).alias("q"))
+    out = below.filter("false")
+    for size in range(2, order + 1):
+        above = every.filter(F.col("size") == size).withColumn("lower", F.expr("substring(gram, 2)"))
+        lower = below.select(F.col("gram").alias("lower"), F.col("q").alias("q_lower"))
+        below = materialize(above.join(lower, "lower").select("gram", (F.col("own") + F.col("rest") * F.col("q_lower")).alias("q")), f"order-{size}")
+        out = out.union(below if size == order else below.filter("substring(gram, 1, 1) = ' '"))
+    return out
+
+
+def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(key, r): log p(toxic) - log p(ordinary) for n-grams, and for what is unseen after histories.
+
+    r holds the ratio by the models of all folds, then by those without each fold. Keys are 64-bit hashes, a history's with a zero in front.
+    """
+    total = sum(F.col("c")[i] for i in range(2 * FOLDS))
+    shared = shared_model(counted.select("gram", total.alias("n")), order)
+
+    def count(model: int, label: int) -> Column:
+        """Of all folds as model 0, without fold f as model f + 1."""
+        return sum(F.col("c")[label * FOLDS + f] for f in range(FOLDS) if f != model - 1).cast("double")
+
+    models, sides = range(FOLDS + 1), (0, 1)
+    with_history = counted.withColumn("h", _history())
+    kept = lambda c: F.least(c, F.lit(CLASS_DISCOUNT))
+    known = materialize(with_history.groupBy("h").agg(
+        *(F.sum(count(m, y)).alias(f"n{m}{y}") for m in models for y in sides), *(F.sum(kept(count(m, y))).alias(f"d{m}{y}") for m in models for y in sides)
+    ), "histories")
+    rows = with_history.join(shared, "gram").join(known, "h")
+
+    def p(m: int, y: int) -> Column:
+        n = F.col(f"n{m}{y}")
+        return F.when(n > 0, (count(m, y) - kept(count(m, y)) + F.col(f"d{m}{y}") * F.col("q")) / n).otherwise(F.col("q"))
+
+    def rest(m: int, y: int) -> Column:
+        return F.when(F.col(f"n{m}{y}") > 0, F.col(f"d{m}{y}") / F.col(f"n{m}{y}")).otherwise(1.0)
+
+    ratio = lambda f: F.array(*((F.log(f(m, 1)) - F.log(f(m, 0))).cast("float") for m in models)).alias("r")
+    seen = rows.select(F.xxhash64("gram").alias("key"), ratio(p))
+    return seen.union(known.select(F.xxhash64(F.concat(F.lit("\0"), "h")).alias("key"), ratio(rest)))
+
+
+def _keys(found: list[str], mark: bytes = b"") -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(mark + g.encode(), 42) for g in found], np.uint64).view(np.int64)
+
+
+class _Evidence:
+    """The evidence of words by a model sent to the executors: sorted keys and their ratios."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        self.keys, self.ratios, self.known = keys, ratios, {}
+
+    def _look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        hit = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        return np.where(hit, self.ratios[at] if len(self.keys) else 0, 0).astype(float), hit
+
+    def learn(self, new: list[str]) -> None:
+        if len(self.known) > _HELD:
+            self.known.clear()
+        found = [grams(w) for w in new]
+        flat = [g for own in found for g in own]
+        value, hit = self._look(_keys(flat))
+        miss = np.flatnonzero(~hit)
+        value[miss] = self._look(_keys([flat[i][:-1] for i in miss], b"\0"))[0]
+        starts = np.cumsum([0, *(len(g) for g in found[:-1])])
+        self.known.update(zip(new, np.add.reduceat(value, starts).tolist()))
+
+    def features(self, texts: list[str | None]) -> list[tuple[float, ...]]:
+        found, out = [words(t) for t in texts], []
+        for own in found:
+            new = [w for w in own if w not in self.known]
+            if new:
+                self.learn(new)
+                new = [w for w in own if w not in self.known]
+                if new:  # forgotten meanwhile
+                    self.learn(new)
+            ratios, times = np.array([self.known[w] for w in own]), np.array(list(own.values()), float)
+            sizes = np.array([len(w) + 1 for w in own], float)
+            telling = np.sort(ratios)[::-1][:TELLING].tolist()
+            out.append((1.0, float(ratios @ times / max(1.0, sizes @ times)) if own else 0.0, *telling, *[0.0] * (TELLING - len(telling))))
+        return out
+
+
+def joined_features(texts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(_id, x) for texts (_id, text, model): the features by joins, for models too large to send; ids are unique."""
+
+    def split(batches):
+        for batch in batches:
+            found = [words(t) for t in batch.column(1).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(c) for c in found]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(2).take(of), pa.array([w for c in found for w in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int64())],
+                ["_id", "model", "word", "n"],
+            )
+
+    def spell(batches):
+        for batch in batches:
+            found = [grams(w) for w in batch.column(0).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
+            flat = [g for own in found for g in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(_keys(flat)), pa.array(_keys([g[:-1] for g in flat], b"\0"))], ["word", "key", "h"])
+
+    own = materialize(texts.select("_id", "text", "model").mapInArrow(split, "_id long, model int, word string, n long"), "words")
+    spelt = own.select("word").distinct().mapInArrow(spell, "word string, key long, h long")
+    spelt = spelt.join(ratios, "key", "left").join(ratios.select(F.col("key").alias("h"), F.col("r").alias("rest")), "h", "left")
+    each = [F.sum(F.coalesce(F.col("r")[m], F.col("rest")[m], F.lit(0.0)).cast("double")) for m in range(FOLDS + 1)]
+    valued = own.join(spelt.groupBy("word").agg(F.array(*each).alias("v")), "word").withColumn("v", F.get("v", F.col("model")))
+    size = F.col("n") * (F.char_length("word") + 1)
+    found = valued.groupBy("_id").agg((F.sum(F.col("v") * F.col("n")) / F.sum(size)).alias("mean"), F.slice(F.sort_array(F.collect_list("v"), False), 1, TELLING).alias("top"))
+    x = F.array(F.lit(1.0), F.coalesce("mean", F.lit(0.0)), *(F.coalesce(F.get("top", F.lit(i)), F.lit(0.0)) for i in range(TELLING)))
+    return texts.select("_id").join(found, "_id", "left").select("_id", x.alias("x"))
 
 
 class Model:
-    """A fitted scorer: the broadcast n-gram table and the weights of the curve."""
+    """A fitted scorer: the ratios, broadcast or as a table, and the weights of the curve."""
 
-    def __init__(self, tables, weights: np.ndarray):
-        self.tables, self.weights = tables, [float(w) for w in weights]
+    def __init__(self, weights: np.ndarray, evidence=None, ratios: DataFrame | None = None):
+        self.weights, self.evidence, self.ratios = [float(w) for w in weights], evidence, ratios
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """Add score (0 to 1, never null) and predicted (1 from ``THRESHOLD`` on) to every row; clashing columns are replaced."""
+        """Add score (0 to 1, never null) and predicted (1 from ``THRESHOLD`` on) to every row; clashing columns are replaced.
+
+        Null and empty texts have the score of a text without evidence; equal texts have equal scores; an empty table stays one.
+        """
         df = df.drop("score", "predicted")
+        if self.ratios is not None:
+            return self._score_joined(df, text)
         names = df.columns
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-        at, tables, w = names.index(text), self.tables, np.array(self.weights)
+        at, evidence, w = names.index(text), self.evidence, np.array(self.weights)
 
         def run(batches):
             for batch in batches:
-                score = []
-                for t in batch.column(at).to_pylist():
-                    x = np.array(_features(tables.value[-1], grams(t)))
-                    score.append(float(1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(score, pa.float64()), pa.array([int(s >= THRESHOLD) for s in score], pa.int32())],
-                    [*names, "score", "predicted"],
-                )
+                x = np.array(evidence.value[-1].features(batch.column(at).to_pylist())).reshape(-1, len(w))
+                score = 1 / (1 + np.exp(-np.clip((x * w).sum(1), -30, 30)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
 
         return df.mapInArrow(run, f"{fields}, score double, predicted int")
 
+    def _score_joined(self, df: DataFrame, text: str) -> DataFrame:
+        rows = materialize(df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"), F.monotonically_increasing_id().alias("_id")), "scored-rows")
+        x = joined_features(rows.select("_id", F.col(f"_row.`{text}`").alias("text"), F.lit(0).alias("model")), self.ratios)
+        logit = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), sum(F.col("x")[i] * w for i, w in enumerate(self.weights))))
+        scored = rows.join(x.select("_id", (1 / (1 + F.exp(-logit))).alias("score")), "_id")
+        return scored.select(*(F.col(f"_row.`{c}`").alias(c) for c in df.columns), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
 
 def held_out(key: str = "doc_id"):
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", seed: int = 7) -> Model:
+def _send(spark, ratios: DataFrame, models: range):
+    """A broadcast list of the evidence by each of the models."""
+    table = ratios.select("key", *(F.col("r")[m].alias(f"r{m}") for m in models)).toArrow()
+    keys = table["key"].to_numpy()
+    order = np.argsort(keys, kind="stable")
+    return spark.sparkContext.broadcast([_Evidence(keys[order], table[f"r{m}"].to_numpy()[order]) for m in models])
+
+
+def _curve(sample: DataFrame, evidence) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            label, fold, texts = (batch.column(i).to_pylist() for i in range(3))
+            x = [evidence.value[f].features([t])[0] for f, t in zip(fold, texts)]
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["_label", "x"])
+
+    return sample.select(F.col("_label").cast("int"), F.col("_fold").cast("int"), "text").mapInArrow(run, "_label int, x array<double>")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", seed: int = 7,
+        broadcast_grams: int = BROADCAST_GRAMS) -> Model:
     """Count the models on all labelled rows that are not held out and fit the curve.
 
-    Labels are 0 or 1, other and null ones are passed over, as are null keys and held-out ones. Keys with several labels
-    count once for each. Without labels of both classes every score is the share of toxic labels (0 if there are none).
-    """
+    Labels are 0 or 1, other and null ones are passed over, as are null keys and held-out ones. Keys with several labels or several
+    documents count once for each. Without documents of both classes every score is the share of toxic ones (0 if there are none).
+    """
     spark = docs.sparkSession
     known = labels.select(F.col(key), F.col(label).alias("_label")).filter(F.col("_label").isin(0, 1) & ~held_out(key)).distinct()
     fold = F.crc32(F.concat(F.lit(f"{seed}/"), F.col(key).cast("string"))) % FOLDS
-    n_labels = known.count()
     # two numbers a row: sent to every executor while that is little, else joined by a shuffle
-    side = F.broadcast(known) if n_labels <= BROADCAST_ROWS else known
-    labelled = docs.select(key, text).join(side, key).withColumn("_fold", fold)
-    counted = count_grams(labelled, text).toPandas()  # at most FOLDS * 2**24 short rows
-    none = np.zeros(_KEYS, np.float16)
-    if not counted["ordinary"].sum() or not counted["toxic"].sum():
-        share = counted["toxic"].sum() / max(1, counted["toxic"].sum() + counted["ordinary"].sum())
-        return Model(spark.sparkContext.broadcast([none]), np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0, 0, 0]))
-    keys, back = np.unique(counted["key"].to_numpy(), return_inverse=True)
-    by_fold = np.zeros((FOLDS, 2, len(keys)))
-    np.add.at(by_fold, (counted["fold"].to_numpy(), 0, back), counted["ordinary"].to_numpy())
-    np.add.at(by_fold, (counted["fold"].to_numpy(), 1, back), counted["toxic"].to_numpy())
-    whole = by_fold.sum(0)
-    parts = spark.sparkContext.broadcast([_models(list(whole - by_fold[f]), keys) for f in range(FOLDS)])
-    sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / n_labels).withColumn("_table", F.col("_fold").cast("int"))
-    curve = _curve(sample, parts, text).toPandas()
-    parts.unpersist()
-    x = np.array(curve["x"].tolist())
-    y = curve["_label"].to_numpy(float)
-    weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, 0.0, 0.0])
-    weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut(x @ weights, y)
-    return Model(spark.sparkContext.broadcast([_models(list(whole), keys)]), weights)
+    side = F.broadcast(known) if known.count() <= BROADCAST_ROWS else known
+    labelled = docs.select(key, F.col(text).alias("text")).join(side, key).withColumn("_fold", fold)
+    n = {r["_label"]: r["count"] for r in labelled.groupBy("_label").count().collect()}
+    if len(n) < 2:
+        share = n.get(1, 0) / max(1, sum(n.values()))
+        none = spark.sparkContext.broadcast([_Evidence(np.zeros(0, np.int64), np.zeros(0, np.float32))])
+        return Model(np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), *[0.0] * (1 + TELLING)]), none)
+    counted = materialize(count_grams(count_words(labelled)), "grams")
+    ratios = materialize(class_ratios(counted), "ratios")
+    small = ratios.count() <= broadcast_grams
+    sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / sum(n.values()))
+    if small:
+        parts = _send(spark, ratios, range(1, FOLDS + 1))
+        curve = _curve(sample, parts).collect()
+        parts.unpersist()
+    else:
+        rows = materialize(sample.select("text", "_label", (F.col("_fold") + 1).cast("int").alias("model"), F.monotonically_increasing_id().alias("_id")), "curve-rows")
+        curve = joined_features(rows, ratios).join(rows, "_id").select("_label", "x").collect()
+    x, y = np.array([r["x"] for r in curve]).reshape(-1, 2 + TELLING), np.array([r["_label"] for r in curve], float)
+    weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, *[0.0] * TELLING])
+    weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut((x * weights).sum(1), y)
+    return Model(weights, _send(spark, ratios, range(1))) if small else Model(weights, None, ratios)

@@ -158,13 +158,108 @@ def test_toxicity_of_awkward_rows(spark):
     assert [r.predicted for r in none] == [0, 0, 0]
 
 
-def test_models_are_distributions():
-    rng = np.random.default_rng(14)
-    text = "".join(rng.choice(list("abc "), 3000))
-    keys, n = np.unique(toxicity.grams(text), return_counts=True)
-    table = toxicity._models([n.astype(float), np.zeros(len(n))], keys)
-    assert len(table) == 64**4 and np.isfinite(table).all()
-    assert (toxicity.grams("Ab c") == toxicity.grams(" aB  C\n")).all() and len(toxicity.grams(None)) == 0
+def plain_model(pooled):
+    """p(history, character) of the shared model, by the recursion as it is written, from counts of n-grams."""
+    before = {}
+    for g in pooled:
+        for i in range(1, len(g)):
+            before.setdefault(g[i:], set()).add(g[i - 1])
+    count = {**{g: len(x) for g, x in before.items()}, **pooled}
+    kinds, total = {}, {}
+    for g, n in count.items():
+        kinds[g[:-1]], total[g[:-1]] = kinds.get(g[:-1], 0) + 1, total.get(g[:-1], 0) + n
+    n_characters = sum(len(g) == 1 for g in count)
+
+    def p(history, c):
+        below = p(history[1:], c) if history else 1 / (n_characters + 1)
+        if history not in total:
+            return below
+        return max(count.get(history + c, 0) - toxicity.DISCOUNT, 0) / total[history] + toxicity.DISCOUNT * kinds[history] / total[history] * below
+
+    return p, {g for g in count if len(g) == 1}
+
+
+def labelled_counts(texts, labels):
+    from collections import Counter
+
+    counts = [Counter(), Counter()]
+    for t, y in zip(texts, labels):
+        for w, n in Counter(t.lower().split()).items():
+            for g in toxicity.grams(w):
+                counts[y][g] += n
+    return counts
+
+
+def test_models_against_the_plain_recursion(spark):
+    rng = random.Random(14)
+    texts = [" ".join("".join(rng.choices("abc\u4e2d", k=rng.randint(1, 9))) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    labels = [int(i % 4 == 0) for i in range(60)]
+    rows = spark.createDataFrame([(t, y, i % 3) for i, (t, y) in enumerate(zip(texts, labels))], "text string, _label int, _fold int")
+    counted = toxicity.count_grams(toxicity.count_words(rows))
+    counts = labelled_counts(texts, labels)
+    got = {r.gram: list(r.c) for r in counted.collect()}
+    assert {g: (sum(c[:3]), sum(c[3:])) for g, c in got.items()} == {g: (counts[0][g], counts[1][g]) for g in counts[0] + counts[1]}
+    p, characters = plain_model(dict(counts[0] + counts[1]))
+    unknown = "?"
+    histories = {g[:-1] for g in got}
+    for h in histories:
+        assert sum(p(h, c) for c in characters) + p(h, unknown) == pytest.approx(1)
+    shared = {r.gram: r.q for r in toxicity.shared_model(counted.select("gram", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))).collect()}
+    assert shared == pytest.approx({g: p(g[:-1], g[-1]) for g in got})
+
+    def class_p(y, h, c):
+        own = {g[-1]: n for g, n in counts[y].items() if g[:-1] == h}
+        n = sum(own.values())
+        if not n:
+            return p(h, c)
+        kept = sum(min(x, toxicity.CLASS_DISCOUNT) for x in own.values())
+        return (max(own.get(c, 0) - toxicity.CLASS_DISCOUNT, 0) + kept * p(h, c)) / n
+
+    for h in sorted(histories)[::7]:
+        assert all(sum(class_p(y, h, c) for c in characters) + class_p(y, h, unknown) == pytest.approx(1) for y in (0, 1))
+    ratios = toxicity.class_ratios(counted)
+    by_key = {r.key: r.r[0] for r in ratios.collect()}
+    for g in got:
+        want = np.log(class_p(1, g[:-1], g[-1]) / class_p(0, g[:-1], g[-1]))
+        assert by_key[int(toxicity._keys([g])[0])] == pytest.approx(want, abs=1e-5)
+    for h in histories:
+        assert by_key[int(toxicity._keys([h], b"\0")[0])] == pytest.approx(np.log(class_p(1, h, unknown) / class_p(0, h, unknown)), abs=1e-5)
+
+
+def test_a_word_s_evidence_and_a_document_s_features(spark):
+    rows, labels = corpus(90)
+    docs, marked = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, marked)
+    train = [(t, labels[i][2]) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = labelled_counts(*zip(*train))
+    table = model.evidence.value[0]
+    known, histories = set(counts[0] + counts[1]), {g[:-1] for g in counts[0] + counts[1]}
+    look = dict(zip(table.keys.tolist(), table.ratios.tolist()))
+
+    def evidence(word):
+        out = 0.0
+        for g in toxicity.grams(word):
+            out += look[int(toxicity._keys([g])[0])] if g in known else look[int(toxicity._keys([g[:-1]], b"\0")[0])] if g[:-1] in histories else 0.0
+        return out
+
+    for text in (rows[6][1], "zorgak zorgak other w\u00f6rds", "", None, "x" * 60):
+        own = toxicity.words(text)
+        value = sorted((evidence(w) for w in own), reverse=True)[:3]
+        mean = sum(evidence(w) * n for w, n in own.items()) / max(1, sum((len(w) + 1) * n for w, n in own.items()))
+        assert table.features([text])[0] == pytest.approx((1.0, mean, *value, *[0.0] * (3 - len(value))), abs=1e-6)
+    # a model too large to send gives the same by joins
+    joined = toxicity.fit(docs, marked, broadcast_grams=10)
+    both = [{r.doc_id: (r.score, r.predicted) for r in m.score(with_clashes(docs, "score", "word")).collect()} for m in (model, joined)]
+    assert {i: s for i, (s, _) in both[0].items()} == pytest.approx({i: s for i, (s, _) in both[1].items()}, abs=1e-5)
+    few = joined.score(awkward(spark))
+    assert few.count() == 9 and few.filter("score is null").count() == 0
+
+
+def test_many_labels_for_few_documents(spark):
+    rows, labels = corpus(12)
+    many = labels + [(i, 0, i % 2) for i in range(1000, 60_000)]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(many, "doc_id long, quality int, toxic int"))
+    assert model.score(documents(spark, rows)).count() == 12
 
 
 def lcs(a, b):
