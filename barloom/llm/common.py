@@ -15,19 +15,25 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_CHECKPOINT_DIR
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one set by setCheckpointDir."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if path:
+        return path
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_CHECKPOINT_DIR
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, path: str | None = None, options: dict | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, or to ``path``, and read it back.
 
     Cuts the lineage so that a lost executor costs a re-read and not a recomputation, and keeps
     a table that several later jobs read from being computed several times.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,15 +1,18 @@
 """Token-id output in Re-Pair grammar-compressed shards with random access.
 
-A shard holds consecutive documents in ascending key order. Frequent pairs of neighbouring symbols
-are replaced by nonterminals round after round; the rules, each symbol's expansion length and each
-document's first symbol are stored, so that one document, or a range of its ids, is decoded without
-the others. The end id stays out of all rules: no rule crosses documents.
+A shard holds consecutive documents in ascending key order. Frequent pairs of neighbouring symbols are replaced by
+nonterminals round after round, until no pair is frequent or a round makes the shard no smaller; the rules, each symbol's expansion
+length and each document's first symbol are stored, so that one document, or a range of its ids, is decoded
+without the others. The end id stays out of all rules: no rule crosses documents.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -24,19 +27,30 @@ MAGIC = b"RPG1"
 END_ID = 2
 #: A shard is closed once it has so many ids; a document is never cut.
 SHARD_IDS = 2_000_000
-ROUNDS, PAIRS_PER_ROUND, LEAST_COUNT = 4, 3072, 16
+PAIRS_PER_ROUND, LEAST_COUNT = 3072, 16
+#: A round that takes less than this share off a shard is undone and the last.
+LEAST_GAIN = 0.01
+#: Bytes of a rule with its expansion length.
+_RULE_BYTES = 12
+#: A row group of the stored table holds about one shard, so that one document's shard is read without the others.
+ROW_GROUP_BYTES = 4 << 20
 _BINS = 20
 
 
-def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, rounds: int = ROUNDS,
-                  pairs_per_round: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT):
-    """(symbols, rules): rule k, a row of two symbols, defines symbol ``vocabulary + k``."""
+def symbol_bytes(symbols: int) -> int:
+    """Bytes that so many different symbols take each."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
+def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, pairs_per_round: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT):
+    """(symbols, rules): rule k, a row of two symbols, defines symbol ``vocabulary + k``."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    size = vocabulary
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    size, most = vocabulary, pairs_per_round
+    cost = len(seq) * symbol_bytes(size)
+    while len(seq) > 1:
+        # symbols take two bytes as long as they can
+        pairs_per_round = min(most, (1 << 16) - size) if size < 1 << 16 else most
         inner = (seq[:-1] != end_id) & (seq[1:] != end_id)
         bins = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BINS)
         counts = np.bincount(bins[inner], minlength=1 << _BINS)
@@ -55,12 +69,15 @@ def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, rounds
         # where chosen pairs overlap, the more frequent one wins, then the one to the left
         here, after = rank[1:], np.append(rank[2:], len(order))
         taken = np.flatnonzero((here < len(order)) & (here < rank[:-1]) & (here <= after))
+        new_cost = (len(seq) - len(taken)) * symbol_bytes(size + len(order)) + _RULE_BYTES * (size + len(order) - vocabulary)
+        if new_cost > (1 - LEAST_GAIN) * cost:
+            break
         rules.append(np.stack([pairs[order] >> np.uint64(32), pairs[order] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         seq[taken] = size + here[taken]
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
         seq = seq[keep]
-        size += len(order)
+        size, cost = size + len(order), new_cost
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -78,13 +95,13 @@ def write_shard(docs: list[bytes], vocabulary: int, end_id: int = END_ID) -> byt
     ids = np.frombuffer(b"".join([x + end for x in docs]), "<u4")
     symbols, rules = build_grammar(ids, vocabulary, end_id)
     lengths = expansion_lengths(rules, vocabulary)
-    width = 2 if vocabulary + len(rules) <= 1 << 16 else 4
+    width = symbol_bytes(vocabulary + len(rules))
     ends = np.flatnonzero(symbols == end_id) + 1
     if len(ends) != len(docs):  # the end id also stands inside a text: index the documents by their ids
         at = np.cumsum(np.concatenate([lengths, [1]])[np.where(symbols >= vocabulary, symbols - vocabulary, len(rules))])
         ends = np.searchsorted(at, np.cumsum([len(x) // 4 + 1 for x in docs])) + 1
     head = struct.pack("<4sIIIQIB", MAGIC, vocabulary, end_id, len(rules), len(symbols), len(docs), width)
-    return head + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + ends.astype("<u8").tobytes() + symbols.astype(f"<u{width}").tobytes()
+    return head + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + ends.astype("<u8").tobytes() + symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].tobytes()
 
 
 class Shard:
@@ -101,7 +118,9 @@ class Shard:
         self.lengths = np.frombuffer(image, "<u4", n_rules, at)
         at += 4 * n_rules
         self.ends = np.frombuffer(image, "<u8", n_docs, at).astype(np.int64)
-        self.symbols = np.frombuffer(image, f"<u{width}", n_symbols, at + 8 * n_docs)
+        self.symbols = np.zeros((n_symbols, 4), np.uint8)
+        self.symbols[:, :width] = np.frombuffer(image, np.uint8, width * n_symbols, at + 8 * n_docs).reshape(-1, width)
+        self.symbols = self.symbols.view("<u4")[:, 0]
         self._flat = None
 
     def __len__(self) -> int:
@@ -137,12 +156,13 @@ class Shard:
 
 
 def write_shards(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str | None = None,
-                 shard_ids: int = SHARD_IDS) -> DataFrame:
-    """(part, before, keys, n_ids, image): written grammar shards in ascending key order.
+                 shard_ids: int = SHARD_IDS, target: str | None = None) -> DataFrame:
+    """(part, before, first, last, keys, n_ids, image): written grammar shards in ascending key order.
 
-    Parts are ranges of keys; ``before`` counts the ids of the part's earlier shards. Null texts are empty; null
-    keys come first; rows with equal keys stand in the order of their texts and stay one row each.
-    The table is stored in the shared folder and read back from there.
+    Parts are ranges of keys; ``before`` counts the ids of the part's earlier shards; first and last are a shard's least and
+    greatest key. Null texts are empty; null keys come first; rows with equal keys stand in the order of their texts and stay
+    one row each. Other columns play no part; an empty table gives no shards. The table is stored at ``target``, or in the
+    shared folder, and read back from there.
     """
     path = vocabulary or default_vocabulary()
     kind = df.schema[key].dataType.simpleString()
@@ -155,6 +175,7 @@ def write_shards(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
         def close():
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()),
+                "first": pa.array([next((k for k in keys if k is not None), None)], key_type), "last": pa.array(keys[-1:], key_type),
                 "keys": pa.array([keys], pa.list_(key_type)), "n_ids": pa.array([size], pa.int64()),
                 "image": pa.array([write_shard(docs, top)], pa.binary()),
             })
@@ -174,7 +195,29 @@ def write_shards(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
     ordered = df.select(key, text).repartitionByRange(parts, key).sortWithinPartitions(key, text)
-    return materialize(ordered.mapInArrow(run, f"part int, before long, keys array<{kind}>, n_ids long, image binary"), "shards")
+    shards = ordered.mapInArrow(run, f"part int, before long, first {kind}, last {kind}, keys array<{kind}>, n_ids long, image binary")
+    return materialize(shards, "shards", target, {"parquet.block.size": ROW_GROUP_BYTES})
+
+
+def read_documents(shards: DataFrame, wanted: Sequence, key: str = "doc_id") -> DataFrame:
+    """(key, ids): the documents with the given keys, each decoded by itself from its shard.
+
+    Only row groups whose range of keys holds one of them are read. Keys that no document has give no row, null is none.
+    """
+    kind, asked = shards.schema["keys"].dataType.elementType.simpleString(), sorted({k for k in wanted if k is not None})
+    here = reduce(or_, (F.lit(k).between(F.col("first"), F.col("last")) for k in asked), F.lit(False))
+
+    def run(batches):
+        want = set(asked)
+        for batch in batches:
+            for keys, image in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                shard = Shard(image)
+                at = [i for i, k in enumerate(keys) if k in want]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([keys[i] for i in at], batch.schema.field(0).type.value_type), pa.array([shard.document(i).tolist() for i in at], pa.list_(pa.int64()))], [key, "ids"]
+                )
+
+    return shards.filter(here).select("keys", "image").mapInArrow(run, f"`{key}` {kind}, ids array<long>")
 
 
 def read_shards(shards: DataFrame, key: str = "doc_id") -> DataFrame:

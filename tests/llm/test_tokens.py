@@ -45,6 +45,35 @@ def test_grammar_round_trip():
         repair.Shard(b"nope" + bytes(40))
 
 
+def test_rounds_go_on_while_they_pay():
+    rng = random.Random(2)
+    page = [rng.randrange(3, 90) for _ in range(1000)]
+    docs = [array("I", page).tobytes()] * 300 + [array("I", [rng.randrange(3, 90) for _ in range(50)]).tobytes()]
+    image = repair.write_shard(docs, 100)
+    shard = repair.Shard(image)
+    assert max(shard.lengths) > 200  # far beyond the 16 ids of four rounds
+    assert len(image) < 300 * 1000 * 4 / 20
+    assert shard.document(7).tolist() == [*page, 2] and shard.document(300).tolist() == [*array("I", docs[-1]), 2]
+    assert [repair.symbol_bytes(n) for n in (1 << 16, (1 << 16) + 1, 1 << 24, (1 << 24) + 1)] == [2, 3, 3, 4]
+
+
+def test_wide_symbols():
+    rng = random.Random(3)
+    docs = [array("I", [rng.choice([5, 6, 70_000, 90_000]) for _ in range(400)]).tobytes() for _ in range(20)]
+    assert [x.tolist() for x in repair.Shard(repair.write_shard(docs, 100_000)).documents()] == [[*array("I", d), 2] for d in docs]
+
+
+def test_documents_are_read_by_key(spark):
+    df = documents(spark, [(i, words(20 + i % 7, i), "s") for i in range(300)])
+    shards = repair.write_shards(df.repartition(3), shard_ids=400)
+    assert shards.count() > 10
+    got = {r.doc_id: r.ids for r in repair.read_documents(shards, [5, 250, 999, None]).collect()}
+    assert got == {i: [*library_ids(words(20 + i % 7, i)), 2] for i in (5, 250)}
+    plan = repair.read_documents(shards, [5])._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(first,5)" in plan and "GreaterThanOrEqual(last,5)" in plan
+    assert repair.read_documents(shards, []).count() == 0
+
+
 def test_shards_give_every_document_back(spark):
     df = awkward(spark)
     rows = sorted(df.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
