@@ -25,6 +25,7 @@ DISTANCE, SEGMENTS = 5, 3
 ORDER_ROWS, COMMON = 20_000, 1 << 17
 #: Rows of a group that each row is compared with in the first round, and the growth from round to round.
 REACH, GROWTH = 4, 32
+SIGN_BITS = 512
 
 
 def shingles(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> np.ndarray:
@@ -43,6 +44,12 @@ def set_id(members: np.ndarray) -> int:
     return xxh3_64_intdigest(members.tobytes()) - 2**63
 
 
+def signature(members: np.ndarray) -> bytes:
+    """Parities of a set's members in SIGN_BITS places: two sets' signatures differ in no more places than the sets in members."""
+    bits = np.bincount((members.view(np.uint64) >> np.uint64(40)).astype(np.int64) % SIGN_BITS, minlength=SIGN_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def similar(shared, a, b):
     """Whether sets of ``a`` and ``b`` members with ``shared`` in common have a Jaccard similarity of 4/5 at least."""
     return 9 * shared >= 4 * (a + b)
@@ -57,11 +64,11 @@ def prefix(own: np.ndarray, common: np.ndarray, ranks: np.ndarray) -> np.ndarray
     return own[np.lexsort((own, rank))][: len(own) - -(-4 * len(own) // 5) + 1]
 
 
-def meet(keys, ids, labels, sizes, places, reach: int, old: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
+def meet(keys, ids, labels, sizes, places, signs, reach: int, old: int = 0) -> tuple[np.ndarray, np.ndarray, bool]:
     """(a, b, cut): pairs of a group's rows that may be similar and have different labels; ``cut`` if there may be more beyond ``reach``.
 
-    Rows come sorted by key and size, ``places`` are those of the key in the order of each row's set. Pairs among the
-    first ``old`` rows were given before.
+    Rows come sorted by key and size, ``places`` are those of the key in the order of each row's set, ``signs`` the sets' signatures
+    as rows of 64-bit numbers. Pairs among the first ``old`` rows were given before.
     """
     left, right, d = [], [], 0
     none = np.array([], np.int64)
@@ -76,6 +83,9 @@ def meet(keys, ids, labels, sizes, places, reach: int, old: int = 0) -> tuple[np
         other = here + d
         most = np.minimum(sizes[here] - places[here], sizes[other] - places[other])
         good = (labels[here] != labels[other]) & similar(most, sizes[here], sizes[other])
+        here, other = here[good], other[good]
+        # a similarity of 4/5 leaves at most a ninth of both sets' members that only one has
+        good = 9 * np.bitwise_count(signs[here] ^ signs[other]).sum(1, dtype=np.int64) <= sizes[here].astype(np.int64) + sizes[other]
         left.append(ids[here[good]])
         right.append(ids[other[good]])
 
@@ -85,6 +95,7 @@ def _pairs(batches, reach: int):
     held = None
     for batch in batches:
         now = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(-1, SIGN_BITS // 64))
         old = 0 if held is None else len(held[0])
         rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
         a, b, cut = meet(*rows, reach, old)
@@ -141,17 +152,17 @@ def common_shingles(texts: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarr
 
 
 def similar_pairs(texts: DataFrame, rows: DataFrame, reach: int = REACH) -> DataFrame:
-    """(a, b): links between the ids of ``rows`` (row, id, fp), of which ``texts`` (row, text) holds the texts.
+    """(a, b): links between the ids of ``rows`` (row, id, fp, sign), of which ``texts`` (row, text) holds the texts.
 
     Rows with equal ids have equal sets of shingles. Each link has a similarity of 4/5 at least, and any two rows with that similarity
     are joined by a chain of links. Sets are made from the texts wherever they are needed: stored they would take more than these.
     """
     spark = texts.sparkSession
-    one_row = materialize(rows.groupBy("id").agg(F.min("row").alias("row")), "rows")
+    one_row = materialize(rows.groupBy("id").agg(F.min("row").alias("row"), F.first("sign").alias("sign")), "rows")
 
     def verified(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        chosen = one_row.join(wanted, "id", "left_semi")
+        chosen = one_row.select("id", "row").join(wanted, "id", "left_semi")
         known = materialize(texts.join(chosen, "row").select("id", "row", "text").dropDuplicates(["row"]).drop("row"), "members")
         x, y = (known.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
@@ -197,7 +208,8 @@ def similar_pairs(texts: DataFrame, rows: DataFrame, reach: int = REACH) -> Data
         named = crowd.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"), "n", "place")
         named = materialize(named, "named")
         mixed = named.groupBy("key").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).filter("_low < _high").select("key")
-        dealt = named.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key", "n", "id")
+        signed = named.join(mixed, "key", "left_semi").join(one_row.select("id", "sign"), "id").select("key", "id", "label", "n", "place", "sign")
+        dealt = signed.repartition("key").sortWithinPartitions("key", "n", "id")
         met = materialize(dealt.mapInArrow(lambda batches, reach=reach: _pairs(batches, reach), "a long, b long").distinct(), f"met-{reach}")
         pairs = met.filter("b is not null")
         if tested is not None:
@@ -222,11 +234,14 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", reach: int
     def read_sets(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            ids = np.array([set_id(shingles(t)) for t in texts], np.int64)
+            sets = [shingles(t) for t in texts]
+            ids = np.array([set_id(x) for x in sets], np.int64)
             fps = np.array([fingerprint(t, SHINGLE_WORDS) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids), pa.array(fps)], ["row", "_key", "id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ids), pa.array(fps), pa.array([signature(x) for x in sets], pa.binary())], ["row", "_key", "id", "fp", "sign"]
+            )
 
-    found = df.select(row.alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(read_sets, f"row long, _key {kind}, id long, fp long")
+    found = df.select(row.alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(read_sets, f"row long, _key {kind}, id long, fp long, sign binary")
     rows = materialize(found, "shingles")
     texts = df.select(row.alias("row"), F.col(text).alias("text"))
     distinct = rows.groupBy("id").agg(F.min(F.struct("_key", "row")).alias("_least"))
