@@ -213,7 +213,7 @@ def test_gear_hash_and_cuts():
     data = bytes(random.Random(10).choices(range(97, 105), k=5000))
     h, want = 0, []
     for byte in data:
-        h = (2 * h + int(substrings._GEAR[byte])) & 0xFFFFFFFF
+        h = (2 * h + int(substrings._GEAR[byte])) & 0xFFFF
         want.append(h)
     assert substrings.gear_hashes(np.frombuffer(data, np.uint8)).tolist() == want
     ends = substrings.cuts(data)
@@ -246,3 +246,73 @@ def test_passages_are_found_and_clean_documents_left_alone(spark):
     assert substrings.repeated_passages(empty(spark)).count() == 0
     odd = substrings.repeated_passages(with_clashes(awkward(spark), "row", "digest", "begin")).collect()
     assert {r.doc_id for r in odd} <= {4}
+
+
+def test_runs_are_carried_on_by_whole_words():
+    grow = substrings.carry_on
+    assert grow(b"x one two ", b"y one two ", b"e three four", b"e three five") == (8, 7, 3)
+    assert grow(b"one ", b"one ", b"e three", b"e three") == (4, 6, 2)
+    assert grow(b"", b"", b"e", b"e") == (0, 0, 0)
+    assert grow(b"xone ", b"one ", b"e", b"e") == (0, 0, 0) and grow(b"xone", b"yone", b"ex", b"ey") == (0, 0, -1)
+    assert grow(b" ab cd", b" ab cd", b"ef gh ij", b"ef gh kl", (False, True, True, True)) == (5, 5, 3)
+    assert grow(b"a ", b"b ", b" two", b" two more") == (0, 3, 1)
+
+
+def shared_words(a, b, least):
+    """Words of ``a`` (as places) in the longest common spans with ``b`` of ``least`` words or more."""
+    x, y, out = a.split(), b.split(), set()
+    row = [0] * (len(y) + 1)
+    for i in range(len(x)):
+        new = [0] * (len(y) + 1)
+        for j in range(len(y)):
+            if x[i] == y[j]:
+                new[j + 1] = row[j] + 1
+                if new[j + 1] >= least:
+                    out.update(range(i - new[j + 1] + 1, i + 1))
+        row = new
+    return out
+
+
+def test_passages_against_spans_compared_word_by_word(spark):
+    rng = random.Random(31)
+    fresh = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(n)]
+    spans = [fresh(n) for n in (30, 45, 49, 50, 51, 52, 55, 60, 70, 90, 120, 200) * 3]
+    docs = [fresh(rng.randint(20, 60)) for _ in range(40)]
+    for span in spans:  # into two documents each
+        for i in rng.sample(range(40), 2):
+            docs[i] += span + fresh(rng.randint(5, 30))
+    docs.append(fresh(10) + fresh(30) * 6)  # repeats within itself only
+    texts = [" ".join(d) for d in docs]
+    got = substrings.repeated_passages(documents(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
+    found = {i: set() for i in range(len(texts))}
+    for r in got:
+        first = len(texts[r.doc_id][: r.begin].split())
+        inside = texts[r.doc_id][r.begin : r.end].split()
+        found[r.doc_id].update(range(first, first + len(inside)))
+    wanted = {i: set().union(*(shared_words(texts[i], texts[j], 50) for j in range(len(texts)) if j != i)) for i in range(len(texts))}
+    hit = sum(len(found[i] & wanted[i]) for i in found)
+    assert hit >= 0.95 * sum(map(len, wanted.values())) and sum(map(len, wanted.values())) > 2000
+    assert sum(len(found[i] - wanted[i]) for i in found) <= 0.02 * hit and not found[40]
+
+
+def test_texts_without_repeated_passages(spark):
+    rng = random.Random(32)
+    fresh = lambda n: " ".join("".join(rng.choices("abcdefghijé", k=rng.randint(2, 9))) for _ in range(n))
+    passage = fresh(120)
+    rows = [(1, f"{fresh(30)} {passage} {fresh(20)}", "s"), (2, f"{fresh(25)} {passage} {fresh(40)}", "s"), (3, fresh(60), "s"), (4, None, "s"), (3, rows_text := fresh(70), "s")]
+    out = substrings.drop_repeated_passages(with_clashes(documents(spark, rows), "begin", "_key", "_row")).collect()
+    kept = {}
+    for r in out:
+        kept.setdefault(r.doc_id, []).append(r.text)
+    assert kept[1] == [rows[0][1]] and kept[4] == [None] and sorted(kept[3]) == sorted([rows[2][1], rows_text])
+    assert len(kept[2][0].split()) < 25 + 40 + 10 and kept[2][0].startswith(rows[1][1][:60]) and kept[2][0].endswith(rows[1][1][-60:])
+    assert substrings.without("aé b", [(0, 2)]) == "é b" and substrings.without("abcd", [(1, 3), (2, 9)]) == "a"
+    assert substrings.drop_repeated_passages(empty(spark)).count() == 0
+
+
+def test_a_chunk_in_every_document_is_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT_ROWS", 10)
+    passage, rng = words(80, 5000), random.Random(33)
+    rows = [(i, f"{words(30, 100 * i)} {passage} {words(30, 100 * i + 50)}", "s") for i in range(40)]
+    got = substrings.repeated_passages(documents(spark, rows)).collect()
+    assert {r.doc_id for r in got} == set(range(40)) and [r.doc_id for r in got if r.kept] == [0] and all(1 < r.occurrences <= 40 for r in got)
