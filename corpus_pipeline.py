@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, SimHash near-dedup, mixing and packing of documents.
 
 Each stage takes all that the one before kept, and what it decides takes effect: rejected documents, repeated
-lines and near-copies go, the mix drops and repeats documents, and the last stage returns the packed pieces.
+lines and near-copies go, the mix drops and repeats documents, and the last stage returns the packed pieces. Columns that the
+stages do not know, whatever their names, stay with their documents until the last. Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -10,38 +11,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import lines, mixing, packing, resemblance, toxicity
-from barloom.llm.common import materialize, read, word_count
+from barloom.llm.common import boxed, materialize, read, unboxed, word_count
 
 #: SQL can express neither the models nor the packing; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, fitted on the labelled ones among them, does not call toxic."""
+    """Documents that the model, fitted on the labelled ones among them, does not call toxic.
+
+    Null and empty texts are scored as texts without evidence; equal texts go or stay together.
+    """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return model.score(docs).filter("predicted = 0").select(*docs.columns)
+    return model.score(docs.select(boxed(docs), "text")).filter("predicted = 0").select(*unboxed(docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that stand earlier; n_chars follows the text."""
+    """All documents, without the lines that stand earlier; n_chars follows the text, null texts stay null with 0.
+
+    Of equal and near lines the first by doc_id stays (null before all); rows equal in doc_id and text are treated alike.
+    """
     kept = lines.drop_repeated(docs)
     return kept.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: links are pairs whose five-word shingles have a similarity of 0.8 at least."""
+    """One document of each near-duplicate group: links are pairs whose five-word shingles have a similarity of 0.8 at least.
+
+    The one with the smallest doc_id stays, null before all. All texts without words, null ones too, are copies of each other.
+    """
     return resemblance.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs, F.array("source"), word_count(F.col("text")))
+    """Each document as often as the mix takes it; those without words are not taken. Null is a source of its own."""
+    mixed = mixing.mix(docs.select(boxed(docs), "doc_id", "source", "text"), F.array("source"), word_count(F.col("text")))
     times = F.coalesce(F.try_divide("taken", "size"), F.lit(0)).cast("int")
-    return mixed.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
+    return mixed.select("_row", F.explode(F.array_repeat(F.lit(1), times)).alias("_copy")).select(*unboxed(docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in the sequences."""
+    """Pieces of the documents with their places in the sequences; a null text is an empty one. Rows that repeat are packed each."""
     return packing.pack_documents(docs)
 
 
