@@ -94,12 +94,17 @@ _probes: dict[int, list[tuple[int, int, int, int]]] = {}
 
 
 def _split(text: str | None):
-    """(line, its two hashes) of each line; blank lines have None for hashes."""
+    """(line, half of its hash) of each line; blank lines have None for a hash."""
+    for line, digest in _digests(text):
+        yield line, None if digest is None else (digest & (2**64 - 1)) - 2**63
+
+
+def _digests(text: str | None):
+    """(line, its 128-bit hash) of each line; blank lines have None for a hash."""
     from xxhash import xxh3_128_intdigest
 
     for line in (text or "").split("\n"):
-        digest = xxh3_128_intdigest(line.encode("utf-8", "surrogatepass")) if line.strip() else None
-        yield line, None if digest is None else (digest & (2**64 - 1)) - 2**63
+        yield line, xxh3_128_intdigest(line.encode("utf-8", "surrogatepass")) if line.strip() else None
 
 
 def signature(line: str) -> int:
@@ -275,17 +280,19 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     def place(batches):
         for batch in batches:
-            at, number, ids = [], [], []
+            at, number, ids, halves = [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
-                for k, (_, h) in enumerate(_split(t)):
+                for k, (_, h) in enumerate(_digests(t)):
                     if h is not None:
                         at.append(i)
                         number.append(k)
-                        ids.append(h)
+                        ids.append((h & (2**64 - 1)) - 2**63)
+                        halves.append((h >> 64) - 2**63)
             at = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32())], ["id", "key", "row", "line"]
-            )
+                [pa.array(ids, pa.int64()), pa.array(halves, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32())],
+                ["id", "half", "key", "row", "line"],
+            )
 
     def file(batches):
         seen: set[int] = set()  # lines this task has filed lately
@@ -304,7 +311,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
                 seen.clear()
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(np.array(signs, np.uint64).view(np.int64))], ["key", "id", "sign"])
 
-    places = materialize(rows.mapInArrow(place, f"id long, key {kind}, row long, line int"), "places")
+    places = materialize(rows.mapInArrow(place, f"id long, half long, key {kind}, row long, line int"), "places")
     def refile(batches):
         for batch in batches:
             keys, ids, signs = [], [], []
@@ -321,7 +328,8 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     met = meeting(rows.select("text").mapInArrow(file, "key long, id long, sign long"), most)
 
-    first = materialize(places.groupBy("id").agg(F.min(F.struct("key", "row", "line")).alias("first"), F.count("*").alias("n")), "first")
+    # lines are equal if both halves of their hashes are; one half names them where texts are compared anyway
+    first = materialize(places.groupBy("id", "half").agg(F.min(F.struct("key", "row", "line")).alias("first"), F.count("*").alias("n")), "first")
     wanted = met.select(F.col("a").alias("id")).union(met.filter("b is not null").select("b")).distinct()
     bits = wanted.groupBy(F.shiftright(F.col("id").bitwiseAND((1 << 24) - 1), 6).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(id & 63 as int))")).alias("bits")
@@ -357,11 +365,11 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     fa, fb = (first.select(F.col("id").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
     later = links.join(fa, "a").join(fb, "b").select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
-    status = first.filter("n > 1").select("id", "first").join(later.withColumn("near", F.lit(True)), "id", "full")
+    status = first.select("id", "half", "first", "n").join(later.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 or near")
     status = materialize(status, "lines")
     here = F.struct("key", "row", "line")
     return (
-        places.join(status, "id").filter(F.col("near") | (here != F.col("first")))
+        places.join(status, ["id", "half"]).filter(F.col("near") | (here != F.col("first")))
         .select(F.col("key").alias(key), "row", "line")
     )
 
@@ -376,13 +384,15 @@ def drop_repeated(df: DataFrame, text: str = "text", key: str = "doc_id", counts
     new = ("n_lines", "n_dropped") if counts else ()
     names = [c for c in df.columns if c not in new]
     rest = [c for c in names if c not in (key, text)]
-    base = df.select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(key).alias("_own"), F.col(text).alias("_text"))
-    same = (F.xxhash64("_text") == F.col("_at")) & F.col("_own").eqNullSafe(F.col("_key"))
-    both = base.join(gone, same, "left")
-    all_lines = F.split("_text", "\n", -1)
-    kept = F.filter(all_lines, lambda _, i: ~F.array_contains(F.col("_gone"), i))
+    base = df.select(
+        F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in rest)).alias("_row"), F.col(key).alias("_own"), F.xxhash64(text).alias("_hash"), F.split(text, "\n", -1).alias("_lines")
+    )
+    both = base.join(gone, (F.col("_hash") == F.col("_at")) & F.col("_own").eqNullSafe(F.col("_key")), "left")
+    # linear in the lines: what is left of all places, and the lines that stand there
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.when(F.col("_gone").isNull(), F.col("_lines")).otherwise(F.transform(left, lambda i: F.get("_lines", i)))
     cells = {c: F.col(f"_row.`{c}`") for c in rest} | {key: F.col("_own")}
-    cells[text] = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
-    cells["n_lines"] = F.when(F.col("_text").isNull(), 0).otherwise(F.size(all_lines)).cast("long")
+    cells[text] = F.array_join(kept, "\n")
+    cells["n_lines"] = F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
     cells["n_dropped"] = F.coalesce(F.size("_gone"), F.lit(0)).cast("long")
     return both.select(*(cells[c].alias(c) for c in (*names, *new)))

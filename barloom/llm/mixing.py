@@ -128,7 +128,7 @@ def mix(df: DataFrame, sources: Column, size: Column, weights: Sequence[int] = W
     """Add size, source_size, target and taken to every row; input columns of these names are replaced.
 
     ``sources`` is an array of the sources that hold a document (null counts as a source, an
-    empty or null array as the one source null). taken is the document's size times how often the
+    empty or null array as the one source null); a null size counts as 0. taken is the document's size times how often the
     mix takes it, 0 to ``repeats``. source_size and target are those of the first of its sources. Rows with
     equal keys are documents of their own. Sums are exact; whole documents are taken, so a
     source's sum may miss its target by part of one short document.
@@ -136,7 +136,7 @@ def mix(df: DataFrame, sources: Column, size: Column, weights: Sequence[int] = W
     spark = df.sparkSession
     pattern = F.array_sort(F.array_distinct(sources))
     pattern = F.when(F.coalesce(F.size(pattern), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(pattern)
-    base = df.select(boxed(df), F.col(key).alias("_own"), size.cast("long").alias("_size"), pattern.alias("_pattern"))
+    base = df.select(boxed(df), F.col(key).alias("_own"), F.coalesce(size.cast("long"), F.lit(0)).alias("_size"), pattern.alias("_pattern"))
     stats = base.groupBy("_pattern").agg(F.sum("_size").alias("tokens"), F.count("*").alias("docs")).limit(MAX_PATTERNS + 1).collect()
     if len(stats) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")

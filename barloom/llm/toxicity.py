@@ -41,6 +41,10 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_GRAMS = 1 << 23
 #: Words that a task counts, or a worker remembers, at once.
 _HELD = 300_000
+_LEARNT = 20_000
+#: Odd numbers that spread the characters of an n-gram over 64 bits, the last character's first.
+_SPREAD = np.random.default_rng(17).integers(1 << 62, 1 << 63, ORDER, dtype=np.uint64) | np.uint64(1)
+_MIX, _HISTORY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def words(text: str | None) -> Counter:
@@ -57,6 +61,26 @@ def grams(word: str, order: int = ORDER) -> list[str]:
     return [s[max(0, i - order + 1) : i + 1] for i in range(1, len(s))]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(29)) * _MIX
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
+def gram_keys(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, history keys, n-grams of each word): 64-bit numbers for the ``grams`` of words, one after the other, and what is before their last characters."""
+    gap = "\0" * (ORDER - 1)  # in front of a word's first n-grams, where it adds nothing
+    line = gap + "".join(f" {w} {gap}" for w in found)
+    s = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) for w in found], np.int64)
+    starts = ORDER - 1 + np.cumsum(sizes + ORDER + 1) - (sizes + ORDER + 1)
+    counts = sizes + 1
+    at = np.arange(counts.sum()) + np.repeat(starts + 1 - (np.cumsum(counts) - counts), counts)
+    history = np.zeros(len(at), np.uint64)
+    for j in range(1, ORDER):
+        history += s[at - j] * _SPREAD[j]
+    return _mixed(history + s[at] * _SPREAD[0]), _mixed(history + _HISTORY), counts
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Weights of a logistic regression by Newton steps, with a slight ridge on scaled features."""
     scale = np.maximum(np.abs(x).max(0), 1e-9)
@@ -112,16 +136,19 @@ def count_words(labelled: DataFrame, text: str = "text", label: str = "_label",
 
 
 def count_grams(counted: DataFrame) -> DataFrame:
-    """(gram, c): the counts of n-grams from those of distinct words."""
+    """(gram, key, h_key, c): the counts of n-grams from those of distinct words, with their and their histories' keys."""
 
     def run(batches):
         for batch in batches:
-            found = [grams(w) for w in batch.column(0).to_pylist()]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([g for own in found for g in own], pa.string()), batch.column(1).take(of)], ["gram", "c"])
+            found = batch.column(0).to_pylist()
+            keys, before, counts = gram_keys(found)
+            of = pa.array(np.repeat(np.arange(len(found)), counts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for w in found for g in grams(w)], pa.string()), pa.array(keys), pa.array(before), batch.column(1).take(of)], ["gram", "key", "h_key", "c"]
+            )
 
-    rows = counted.mapInArrow(run, "gram string, c array<long>")
-    return rows.groupBy("gram").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(2 * FOLDS))).alias("c"))
+    rows = counted.mapInArrow(run, "gram string, key long, h_key long, c array<long>")
+    return rows.groupBy("gram", "key", "h_key").agg(F.array(*(F.sum(F.col("c")[i]) for i in range(2 * FOLDS))).alias("c"))
 
 
 def _history(gram: str = "gram") -> Column:
@@ -159,7 +186,7 @@ def shared_model(counted: DataFrame, order: int = ORDER) -> DataFrame:
 def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(key, r): log p(toxic) - log p(ordinary) for n-grams, and for what is unseen after histories.
 
-    r holds the ratio by the models of all folds, then by those without each fold. Keys are 64-bit hashes, a history's with a zero in front.
+    r holds the ratio by the models of all folds, then by those without each fold. Keys are those of ``gram_keys``.
     """
     total = sum(F.col("c")[i] for i in range(2 * FOLDS))
     shared = shared_model(counted.select("gram", total.alias("n")), order)
@@ -172,9 +199,9 @@ def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
     with_history = counted.withColumn("h", _history())
     kept = lambda c: F.least(c, F.lit(CLASS_DISCOUNT))
     known = materialize(with_history.groupBy("h").agg(
-        *(F.sum(count(m, y)).alias(f"n{m}{y}") for m in models for y in sides), *(F.sum(kept(count(m, y))).alias(f"d{m}{y}") for m in models for y in sides)
+        F.min("h_key").alias("h_key"), *(F.sum(count(m, y)).alias(f"n{m}{y}") for m in models for y in sides), *(F.sum(kept(count(m, y))).alias(f"d{m}{y}") for m in models for y in sides)
     ), "histories")
-    rows = with_history.join(shared, "gram").join(known, "h")
+    rows = with_history.join(shared, "gram").join(known.drop("h_key"), "h")
 
     def p(m: int, y: int) -> Column:
         n = F.col(f"n{m}{y}")
@@ -184,14 +211,7 @@ def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
         return F.when(F.col(f"n{m}{y}") > 0, F.col(f"d{m}{y}") / F.col(f"n{m}{y}")).otherwise(1.0)
 
     ratio = lambda f: F.array(*((F.log(f(m, 1)) - F.log(f(m, 0))).cast("float") for m in models)).alias("r")
-    seen = rows.select(F.xxhash64("gram").alias("key"), ratio(p))
-    return seen.union(known.select(F.xxhash64(F.concat(F.lit("\0"), "h")).alias("key"), ratio(rest)))
-
-
-def _keys(found: list[str], mark: bytes = b"") -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.array([xxh64_intdigest(mark + g.encode(), 42) for g in found], np.uint64).view(np.int64)
+    return rows.select("key", ratio(p)).union(known.select(F.col("h_key").alias("key"), ratio(rest)))
 
 
 class _Evidence:
@@ -206,25 +226,31 @@ class _Evidence:
         return np.where(hit, self.ratios[at] if len(self.keys) else 0, 0).astype(float), hit
 
     def learn(self, new: list[str]) -> None:
-        if len(self.known) > _HELD:
-            self.known.clear()
-        found = [grams(w) for w in new]
-        flat = [g for own in found for g in own]
-        value, hit = self._look(_keys(flat))
+        keys, before, counts = gram_keys(new)
+        value, hit = self._look(keys)
         miss = np.flatnonzero(~hit)
-        value[miss] = self._look(_keys([flat[i][:-1] for i in miss], b"\0"))[0]
-        starts = np.cumsum([0, *(len(g) for g in found[:-1])])
-        self.known.update(zip(new, np.add.reduceat(value, starts).tolist()))
+        value[miss] = self._look(before[miss])[0]
+        self.known.update(zip(new, np.add.reduceat(value, np.cumsum(counts) - counts).tolist()))
 
     def features(self, texts: list[str | None]) -> list[tuple[float, ...]]:
-        found, out = [words(t) for t in texts], []
+        out: list[tuple[float, ...]] = []
+        found: list[Counter] = []
+        new: dict[str, None] = {}
+        for t in texts:
+            found.append(words(t))
+            new.update(dict.fromkeys(w for w in found[-1] if w not in self.known))
+            if len(new) > _LEARNT:
+                out += self._finish(found, new)
+                found, new = [], {}
+        return out + self._finish(found, new)
+
+    def _finish(self, found: list[Counter], new: dict[str, None]) -> list[tuple[float, ...]]:
+        if len(self.known) + len(new) > _HELD:
+            self.known, new = {}, dict.fromkeys(w for own in found for w in own)
+        if new:
+            self.learn(list(new))
+        out = []
         for own in found:
-            new = [w for w in own if w not in self.known]
-            if new:
-                self.learn(new)
-                new = [w for w in own if w not in self.known]
-                if new:  # forgotten meanwhile
-                    self.learn(new)
             ratios, times = np.array([self.known[w] for w in own]), np.array(list(own.values()), float)
             sizes = np.array([len(w) + 1 for w in own], float)
             telling = np.sort(ratios)[::-1][:TELLING].tolist()
@@ -246,10 +272,8 @@ def joined_features(texts: DataFrame, ratios: DataFrame) -> DataFrame:
 
     def spell(batches):
         for batch in batches:
-            found = [grams(w) for w in batch.column(0).to_pylist()]
-            of = pa.array(np.repeat(np.arange(len(found)), [len(g) for g in found]))
-            flat = [g for own in found for g in own]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array(_keys(flat)), pa.array(_keys([g[:-1] for g in flat], b"\0"))], ["word", "key", "h"])
+            keys, before, counts = gram_keys(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(keys), pa.array(before)], ["word", "key", "h"])
 
     own = materialize(texts.select("_id", "text", "model").mapInArrow(split, "_id long, model int, word string, n long"), "words")
     spelt = own.select("word").distinct().mapInArrow(spell, "word string, key long, h long")
@@ -313,7 +337,11 @@ def _curve(sample: DataFrame, evidence) -> DataFrame:
     def run(batches):
         for batch in batches:
             label, fold, texts = (batch.column(i).to_pylist() for i in range(3))
-            x = [evidence.value[f].features([t])[0] for f, t in zip(fold, texts)]
+            x: list = [None] * len(texts)
+            for f in set(fold):
+                at = [i for i, g in enumerate(fold) if g == f]
+                for i, features in zip(at, evidence.value[f].features([texts[i] for i in at])):
+                    x[i] = features
             yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["_label", "x"])
 
     return sample.select(F.col("_label").cast("int"), F.col("_fold").cast("int"), "text").mapInArrow(run, "_label int, x array<double>")

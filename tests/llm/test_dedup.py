@@ -316,3 +316,12 @@ def test_a_chunk_in_every_document_is_joined_by_broadcast(spark, monkeypatch):
     rows = [(i, f"{words(30, 100 * i)} {passage} {words(30, 100 * i + 50)}", "s") for i in range(40)]
     got = substrings.repeated_passages(documents(spark, rows)).collect()
     assert {r.doc_id for r in got} == set(range(40)) and [r.doc_id for r in got if r.kept] == [0] and all(1 < r.occurrences <= 40 for r in got)
+
+
+def test_a_document_of_many_lines_takes_linear_time(spark):
+    import time
+
+    many = "\n".join(f"log row {i % 90_000}" for i in range(200_000))
+    began = time.time()
+    out = lines.drop_repeated(documents(spark, [(1, many, "s")]), counts=True).first()
+    assert (out.n_lines, out.n_dropped) == (200_000, 110_000) and out.text.count("\n") == 89_999 and time.time() - began < 120

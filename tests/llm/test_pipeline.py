@@ -10,7 +10,7 @@ import corpus_pipeline
 from barloom.llm import mixing
 from barloom.llm.common import word_count
 
-from .helpers import documents
+from .helpers import awkward, documents, empty, with_clashes
 from .test_dedup import expected_lines
 from .test_models import corpus
 from .test_resemblance import brute_groups
@@ -93,3 +93,24 @@ def test_every_piece_is_packed(spark, stages, sf_dir):
     assert max(Counter({s: sum(r.length for r in rows if r.sequence_id == s) for s in {r.sequence_id for r in rows}}).values()) <= 4096
     whole = corpus_pipeline.run(spark, sf_dir).collect()
     assert Counter((r.doc_id, r.piece, r.ids_crc32) for r in whole) == Counter((r.doc_id, r.piece, r.ids_crc32) for r in rows)
+
+
+CLASHES = ("size", "taken", "target", "source_size", "score", "predicted", "_copy", "_row", "_id", "fp", "n_lines", "lines")
+
+
+def test_stages_bear_awkward_rows_and_clashing_names(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = with_clashes(awkward(spark), *CLASHES)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == "clash" for r in rows for c in CLASHES), name
+        assert {r.doc_id for r in rows} <= {None, 1, 2, 3, 4, 5, 6, 7}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.count()
+
+
+def test_an_empty_table_passes_all_stages(spark, tmp_path):
+    spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
