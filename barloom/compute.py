@@ -107,24 +107,27 @@ def _bounded(column, name: str, on_infinite: str):
 
 
 def _stream(df: DataFrame, keys: list[str], streams: dict[str, tuple[FeatureSpec, dict]]) -> DataFrame:
-    """Add the recursive columns: groups pass bar by bar, in time order."""
+    """Add the recursive columns: groups pass in time order, a batch of bars at once."""
     columns = df.columns
     at = {c: columns.index(c) for c in (*keys, "high", "low", "close")}
     names = list(streams)
 
     def run(batches):
-        group, kernels = object(), []
+        kernels = [spec.function(**params) for spec, params in streams.values()]
+        last = None
         for batch in batches:
-            groups = list(zip(*(batch.column(at[k]).to_pylist() for k in keys)))
-            bars = zip(*(batch.column(at[c]).to_numpy(zero_copy_only=False).tolist() for c in ("high", "low", "close")))
-            rows = np.empty((len(groups), len(names)))
-            for i, (own, bar) in enumerate(zip(groups, bars)):
-                if own != group:
-                    group, kernels = own, [spec.function(**params) for spec, params in streams.values()]
-                rows[i] = math.nan if own[0] is None else [k.step(*bar) for k in kernels]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(c, mask=np.isnan(c)) for c in rows.T)], [*columns, *map(_inner, names)]
-            )
+            if not batch.num_rows:
+                continue
+            starts = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                code = batch.column(at[k]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                starts[1:] |= code[1:] != code[:-1]
+            first, now = ([batch.column(at[k])[i].as_py() for k in keys] for i in (0, batch.num_rows - 1))
+            starts[0], last = first != last, now
+            bars = [batch.column(at[c]).to_numpy(zero_copy_only=False).astype(float) for c in ("high", "low", "close")]
+            none = batch.column(at[keys[0]]).is_null().to_numpy(zero_copy_only=False)
+            rows = [np.where(none, math.nan, k.run(*bars, starts)) for k in kernels]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, mask=np.isnan(c)) for c in rows)], [*columns, *map(_inner, names)])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     added = ", ".join(f"`{_inner(n)}` double" for n in names)

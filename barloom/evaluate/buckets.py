@@ -15,21 +15,40 @@ def check_quantiles(quantiles: int) -> None:
         raise ValueError("quantiles must be an integer >= 2")
 
 
-def edge_table(pairs: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
-    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values.
+#: Groups of more rows have their percentiles looked for in a narrow span of values around each.
+WINDOW_ROWS = 10_000
+_SPAN = 0.001
+
 
-    Taken from places in a sorted window, which spills, rather than from a percentile aggregate, which
-    holds a group's values in memory.
+def percentile_table(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys..., p): exact percentiles of each group, by linear interpolation between the sorted values.
+
+    A percentile aggregate holds a group's values in memory, and a sorted window passes them through one task. Here an approximate
+    percentile, a small sketch, gives a span of values on either side; rows below are counted, and the few rows within are
+    sorted. Groups of up to ``WINDOW_ROWS`` rows are sorted whole.
     """
-    place = Window.partitionBy(*keys).orderBy("x")
-    ranked = pairs.select(*keys, "x", F.row_number().over(place).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    edges = []
-    for i in range(1, quantiles):
-        at = (F.col("n") - 1) * F.lit(i / quantiles)
-        low, high = (F.max(F.when(F.col("rn") == f(at) + 1, F.col("x"))) for f in (F.floor, F.ceil))
-        part = F.max(at - F.floor(at))
-        edges.append(low + (high - low) * part)
-    return ranked.groupBy(*keys).agg(F.array(*edges).alias("edges"))
+    values = rows.select(*keys, F.col(value).alias("_v"))
+    around = [min(1.0, max(0.0, q + side)) for q in shares for side in (-_SPAN, _SPAN)]
+    sketch = values.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, 10_000).alias("_b"))
+    large, none = F.col("_n") > WINDOW_ROWS, F.lit(None).cast("double")
+    spans = F.array(*(F.struct(
+        F.lit(i).alias("i"), F.when(large, F.col("_b")[2 * i]).otherwise(none).alias("low"), F.when(large, F.col("_b")[2 * i + 1]).otherwise(none).alias("high"),
+        ((F.col("_n") - 1) * F.lit(q)).alias("at"),
+    ) for i, q in enumerate(shares)))
+    # one small row a group and percentile
+    spread = values.join(sketch.select(*keys, "_n", spans.alias("_s")), keys).select(*keys, "_v", F.inline("_s"))
+    counted = spread.filter("low is not null and _v < low").groupBy(*keys, "i").agg(F.count("*").alias("_below"))
+    inside = spread.filter("low is null or _v between low and high")
+    ranked = inside.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("_v")) - 1).join(counted, [*keys, "i"], "left")
+    place = F.col("_rn") + F.coalesce("_below", F.lit(0))
+    low, high = (F.max(F.when(place == f("at"), F.col("_v"))) for f in (F.floor, F.ceil))
+    found = ranked.groupBy(*keys, "i").agg((low + (high - low) * F.max(F.col("at") - F.floor("at"))).alias("_p"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_p"))), lambda x: x["_p"]).alias("p"))
+
+
+def edge_table(pairs: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
+    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values."""
+    return percentile_table(pairs, keys, "x", [i / quantiles for i in range(1, quantiles)]).withColumnRenamed("p", "edges")
 
 
 def bucketed(pairs: DataFrame, quantiles: int, by_symbol: bool = True) -> DataFrame:
@@ -38,17 +57,21 @@ def bucketed(pairs: DataFrame, quantiles: int, by_symbol: bool = True) -> DataFr
     keys = ["feature", "symbol"] if by_symbol else ["feature"]
     number = 1 + F.size(F.filter("edges", lambda e: F.col("x") > e))
     placed = pairs.join(edge_table(pairs, keys, quantiles), keys).withColumn("_bucket", number).drop("edges")
-    filled = F.size(F.collect_set("_bucket").over(Window.partitionBy(*keys)))
-    return placed.withColumn("quantile", F.when(filled == quantiles, F.col("_bucket"))).drop("_bucket")
+    filled = placed.groupBy(*keys).agg(F.count_distinct("_bucket").alias("_filled"))
+    marked = placed.join(filled, keys)
+    return marked.select(*pairs.columns, F.when(F.col("_filled") == quantiles, F.col("_bucket")).alias("quantile"))
 
 
 def bucket_summary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Target statistics of each bucket."""
-    return rows.filter("quantile is not null").groupBy(*(keys or []), "quantile").agg(
-        F.count("*").alias("observations"), F.avg("y").alias("mean"), F.median("y").alias("median"), F.stddev_samp("y").alias("standard_deviation"),
-        F.percentile("y", F.lit(0.1)).alias("percentile_10"), F.percentile("y", F.lit(0.9)).alias("percentile_90"),
-        F.min("x").alias("feature_min"), F.max("x").alias("feature_max"),
-    )
+    known, by = rows.filter("quantile is not null"), [*(keys or []), "quantile"]
+    stats = known.groupBy(*by).agg(
+        F.count("*").alias("observations"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("standard_deviation"), F.min("x").alias("feature_min"), F.max("x").alias("feature_max")
+    )
+    p = F.col("p")
+    return stats.join(percentile_table(known, by, "y", [0.1, 0.5, 0.9]), by).select(
+        *by, "observations", "mean", p[1].alias("median"), "standard_deviation", p[0].alias("percentile_10"), p[2].alias("percentile_90"), "feature_min", "feature_max"
+    )
 
 
 def _warn_excluded(rows: DataFrame, feature: str, quantiles: int, by_symbol: bool) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,13 +65,62 @@ def rolling_ic(df: DataFrame, feature: str, target: str, window: int, method: st
         spread = F.stddev_samp("x").over(frame) * F.stddev_samp("y").over(frame)
         ic = F.when(F.count("*").over(frame) == window, F.try_divide(F.covar_samp("x", "y").over(frame), spread))
         return pairs.select("symbol", "timestamp", ic.alias("ic")).filter("ic is not null")
-    # each pair goes to every window that holds it, and ranks are taken within (symbol, window)
-    numbered = pairs.select("symbol", "timestamp", "x", "y", F.row_number().over(by_time).alias("rn"), F.count("*").over(Window.partitionBy("symbol")).alias("n"))
-    spread = numbered.withColumn("end", F.explode(F.sequence("rn", F.col("rn") + window - 1))).filter(F.col("end").between(window, F.col("n")))
-    spread = spread.withColumn("ends", F.when(F.col("rn") == F.col("end"), F.col("timestamp")))
-    keys = ["symbol", "end"]
-    found = ranked(spread, keys, method).groupBy(*keys).agg(F.max("ends").alias("timestamp"), correlation().alias("ic"))
-    return found.select("symbol", "timestamp", "ic").filter("ic is not null")
+    dealt = pairs.select("symbol", "timestamp", "x", "y").repartition("symbol").sortWithinPartitions("symbol", "timestamp")
+    kinds = dict(pairs.dtypes)
+    rolled = dealt.mapInArrow(lambda batches: _roll(batches, window), f"symbol {kinds['symbol']}, timestamp {kinds['timestamp']}, ic double")
+    return rolled.filter("ic is not null")
+
+
+#: Values that are ranked at once.
+_BLOCK = 1 << 20
+
+
+def window_ranks(values: np.ndarray) -> np.ndarray:
+    """Average ranks within each row."""
+    order = np.argsort(values, axis=1, kind="stable")
+    ordered, width = np.take_along_axis(values, order, 1), values.shape[1]
+    new = np.concatenate([np.ones((len(values), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
+    place = np.broadcast_to(np.arange(width), values.shape)
+    first = np.maximum.accumulate(np.where(new, place, 0), 1)
+    ends = np.concatenate([new[:, 1:], np.ones((len(values), 1), bool)], 1)
+    last = np.minimum.accumulate(np.where(ends, place, width)[:, ::-1], 1)[:, ::-1]
+    out = np.empty(values.shape)
+    np.put_along_axis(out, order, (first + last) / 2, 1)
+    return out
+
+
+def rolling_rank_correlation(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
+    """The rank correlation of each ``window`` values that follow each other, NaN where one side is constant."""
+    out, rows = [], max(1, _BLOCK // window)
+    xs, ys = (np.lib.stride_tricks.sliding_window_view(v, window) for v in (x, y))
+    for a in range(0, len(xs), rows):
+        u, v = (window_ranks(w[a : a + rows]) - (window - 1) / 2 for w in (xs, ys))
+        spread = np.sqrt((u * u).sum(1) * (v * v).sum(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.where(spread > 0, (u * v).sum(1) / spread, np.nan))
+    return np.concatenate([np.array([]), *out])
+
+
+def _roll(batches, window: int):
+    """(symbol, timestamp, ic) of pairs that come sorted; the last ``window`` - 1 of a symbol are kept from batch to batch."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        code = table["symbol"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        marks = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), table.num_rows]
+        x, y = (table[c].to_numpy() for c in "xy")
+        places, found = [], []
+        for a, b in zip(marks, marks[1:]):
+            if b - a >= window:
+                places.append(np.arange(a + window - 1, b))
+                found.append(rolling_rank_correlation(x[a:b], y[a:b], window))
+        at, ic = np.concatenate([np.array([], np.int64), *places]), np.concatenate([np.array([]), *found])
+        out = table.select(["symbol", "timestamp"]).take(pa.array(at)).append_column("ic", pa.array(ic, mask=np.isnan(ic)))
+        yield from out.combine_chunks().to_batches()
+        held = table.slice(max(marks[-2], table.num_rows - window + 1)).combine_chunks()
+        held = held.to_batches()[0] if held.num_rows else None
 
 
 def ic_summary(ics: DataFrame, column: str = "ic") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import finite
-from .buckets import bucketed, edge_table
+from .buckets import bucketed, edge_table, percentile_table
 from .ic import rolling_ic, time_series_ic
 from .pairs import need_columns, pair_table
 
@@ -20,30 +20,29 @@ def state_rows(df: DataFrame, feature: str, target: str) -> DataFrame:
     edges = edge_table(pairs, ["feature"], 3)
     ends = pairs.groupBy("feature").agg(F.max("x").alias("top"), F.min("x").alias("bottom"), F.count_distinct("x").alias("values"))
     placed = pairs.join(edges, "feature").join(ends, "feature").withColumn("bin", F.size(F.filter("edges", lambda e: F.col("x") > e)))
-    own = Window.partitionBy("feature")
-    bins = F.sort_array(F.collect_set("bin").over(own))
+    bins = placed.groupBy("feature").agg(F.sort_array(F.collect_set("bin")).alias("bins"))  # three at most
     dense, n = F.array_position("bins", F.col("bin")), F.size("bins")
     state = (
         F.when(F.col("values") <= 2, F.when(F.col("x") == F.col("top"), "on").otherwise("off"))
         .when(n == 1, "neutral").when(n == 2, F.when(dense == 1, "low").otherwise("high"))
         .when(dense == 1, "low").when(dense == 2, "neutral").otherwise("high")
     )
-    return placed.withColumn("bins", bins).select(state.alias("state"), "x", "y")
+    return placed.join(bins, "feature").select(state.alias("state"), "x", "y")
 
 
-def _marks(value: str):
-    p = F.percentile(value, F.array(*(F.lit(q) for q in (0.1, 0.25, 0.75, 0.9))))
-    return [
-        F.count("*").alias("observations"), F.avg(value).alias("mean"),
-        *(p[i].alias(f"percentile_{q}") for i, q in enumerate((10, 25, 75, 90))),
-    ]
+def _marks(rows: DataFrame, key: str, value: str, median: bool = False) -> DataFrame:
+    """(key, observations, mean, percentile_10, _25, _75, _90) and, if asked for, median."""
+    names = ["percentile_10", "percentile_25", "percentile_75", "percentile_90", *(["median"] if median else [])]
+    marks = percentile_table(rows.filter(F.col(key).isNotNull()), [key], value, [0.1, 0.25, 0.75, 0.9, *([0.5] if median else [])])
+    stats = rows.groupBy(key).agg(F.count("*").alias("observations"), F.avg(value).alias("mean"))
+    return stats.join(marks, key, "left").select(key, "observations", "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(names)))
 
 
 def spread_by_state(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """(feature, state, observations, mean, percentile_10, _25, _75, _90) of the target."""
     out = None
     for f in features:
-        one = state_rows(df, f, target).groupBy("state").agg(*_marks("y")).select(F.lit(f).alias("feature"), "*")
+        one = _marks(state_rows(df, f, target), "state", "y").select(F.lit(f).alias("feature"), "*")
         out = one if out is None else out.unionByName(one)
     if out is None or not out.limit(1).count():
         raise ValueError(f"No rows have both a feature and {target!r}")
@@ -53,7 +52,7 @@ def spread_by_state(df: DataFrame, features: list[str], target: str) -> DataFram
 def violin_marks(df: DataFrame, feature: str, target: str, quantiles: int = 5, by_symbol: bool = True) -> DataFrame:
     """(quantile, observations, mean, percentiles, median, overall_mean): what a violin figure of the buckets marks."""
     rows = bucketed(pair_table(df, [feature], target), quantiles, by_symbol)
-    marks = rows.groupBy("quantile").agg(*_marks("y"), F.median("y").alias("median"))
+    marks = _marks(rows, "quantile", "y", median=True)
     # over one row a bucket and one for the pairs without a bucket
     every = Window.partitionBy(F.lit(1))
     overall = F.sum(F.col("mean") * F.col("observations")).over(every) / F.sum("observations").over(every)

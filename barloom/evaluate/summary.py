@@ -41,7 +41,7 @@ def evaluate_features(df: DataFrame, target: str, features: list[str] | None = N
     spreads = quantile_spread(bucketed(pairs, quantiles), ["feature"])
     order = df.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, position int")
     t = F.when(F.col("variance") > 0, F.try_divide(F.col("beta"), F.sqrt("variance")))
-    p = F.udf(p_value, "double", useArrow=False)  # a value for each feature; Spark has no erf
+    p = F.pandas_udf(lambda ts: ts.map(p_value, na_action="ignore"), "double")  # Spark has no erf
     out = order.join(ics, "feature", "left").join(lines, "feature", "left").join(spreads, "feature", "left")
     return (
         out.withColumn("t_statistic", t)

@@ -1,15 +1,37 @@
-"""The features with a first-order recursion, as kernels that stream over a group in time order.
+"""The features with a first-order recursion, as kernels that stream over groups in time order.
 
-A kernel keeps a few numbers from bar to bar, so a group of any length passes in bounded memory.
+A kernel takes a batch of bars at once and keeps a few numbers from batch to batch, so a group of any length
+passes in bounded memory. Within a batch the recursion is solved by doubling: y[t] = a[t] y[t-1] + b[t] is put in terms
+of y[t-1], y[t-2], y[t-4] and so on, for all groups of the batch together.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from .registry import register
 
 
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """y[t] = a[t] y[t-1] + b[t] with y[-1] = 0."""
+    a, y, step = a.copy(), b.copy(), 1
+    while step < len(y):
+        y[step:] += a[step:] * y[:-step]
+        a[step:] *= a[:-step]
+        a[:step] = 0
+        step *= 2
+    return y
+
+
+def before(x: np.ndarray, starts: np.ndarray, last: float) -> np.ndarray:
+    """The value of the row before in the same group, ``last`` that of the batch before."""
+    out = np.concatenate([[last], x[:-1]])
+    out[starts] = math.nan
+    return out
+
+
 class Smoother:
     """Exponential smoothing: y moves to each value by ``alpha``, missing values fade the weight of what was before.
 
@@ -18,21 +40,41 @@ class Smoother:
 
     def __init__(self, alpha: float, least: int):
         self.alpha, self.least = alpha, least
-        self.mean, self.weight, self.seen = math.nan, 1.0, 0
-
-    def add(self, x: float) -> float:
-        if self.seen:
-            self.weight *= 1 - self.alpha
-        if x == x:
-            if not self.seen:
-                self.mean = x
-            elif self.weight == 1 - self.alpha:
-                self.mean += self.alpha * (x - self.mean)
-            else:
-                self.mean = (self.weight * self.mean + self.alpha * x) / (self.weight + self.alpha)
-            self.weight = 1.0
-            self.seen += 1
-        return self.mean if self.seen >= self.least else math.nan
+        #: The last mean, rows since its value, values so far.
+        self.mean, self.gap, self.seen = math.nan, 0, 0
+
+    def run(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The means of a batch; ``starts`` marks the first row of each group, rows before one go on from the batch before."""
+        if not len(x):
+            return x
+        group = np.cumsum(starts)
+        if starts[0]:
+            self.mean, self.gap, self.seen = math.nan, 0, 0
+        at = np.flatnonzero(~np.isnan(x))
+        own = group[at]
+        goes_on = np.concatenate([[len(at) > 0 and self.seen > 0 and own[0] == group[0]], own[1:] == own[:-1]])[: len(at)]
+        gaps = np.concatenate([[at[0] + 1 + self.gap], np.diff(at)]) if len(at) else at
+        faded = (1 - self.alpha) ** gaps
+        part = np.where(goes_on, self.alpha / (faded + self.alpha), 1.0)
+        part = np.where(goes_on & (gaps == 1), self.alpha, part)
+        a, b = np.where(goes_on, 1 - part, 0.0), part * x[at]
+        if len(at) and goes_on[0]:
+            b[0] += a[0] * self.mean
+        y = solve(a, b)
+        # each row has the mean of the last value in its group
+        count = np.cumsum(~np.isnan(x))
+        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        base = np.concatenate([[0], count])[first][np.searchsorted(first, np.arange(len(x)), side="right") - 1]
+        of_group = count - base
+        seen = of_group + np.where(group == group[0], self.seen, 0)
+        out = np.where(of_group > 0, np.concatenate([[math.nan], y])[count], np.where(group == group[0], self.mean, math.nan))
+        last = group == group[-1]
+        if of_group[-1]:
+            self.gap = len(x) - 1 - int(at[-1])
+        else:
+            self.gap = self.gap + len(x) if last[0] else 0
+        self.mean, self.seen = float(out[-1]), int(seen[-1])
+        return np.where(seen >= self.least, out, math.nan)
 
 
 def ema(span: int) -> Smoother:
@@ -45,39 +87,36 @@ def wilder(window: int) -> Smoother:
 
 class _Rsi:
     def __init__(self, window: int):
-        self.up, self.down, self.before = wilder(window), wilder(window), math.nan
+        self.up, self.down, self.last = wilder(window), wilder(window), math.nan
 
-    def step(self, high: float, low: float, close: float) -> float:
-        change, self.before = close - self.before, close
-        if change == change:
-            gain, loss = self.up.add(max(change, 0.0)), self.down.add(max(-change, 0.0))
-        else:
-            gain, loss = self.up.add(math.nan), self.down.add(math.nan)
-        if gain != gain or loss != loss or gain == loss == 0:
-            return math.nan
-        return 100 - 100 / (1 + gain / loss) if loss else 100.0
+    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        change = close - before(close, starts, self.last)
+        self.last = close[-1]
+        gain, loss = self.up.run(np.maximum(change, 0), starts), self.down.run(np.maximum(-change, 0), starts)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
+        return np.where(np.isnan(gain) | np.isnan(loss) | (gain == 0) & (loss == 0), math.nan, out)
 
 
 class _Atr:
     def __init__(self, window: int):
-        self.mean, self.before = wilder(window), math.nan
+        self.mean, self.last = wilder(window), math.nan
 
-    def step(self, high: float, low: float, close: float) -> float:
-        spans = [s for s in (high - low, abs(high - self.before), abs(low - self.before)) if s == s]
-        self.before = close
-        return self.mean.add(max(spans) if spans else math.nan)
+    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        previous = before(close, starts, self.last)
+        self.last = close[-1]
+        return self.mean.run(np.fmax(np.fmax(high - low, np.abs(high - previous)), np.abs(low - previous)), starts)
 
 
 class _Macd:
     def __init__(self, part: str, fast: int, slow: int, signal: int = 1):
-        self.part, self.fast, self.slow, self.signal, self.begun = part, ema(fast), ema(slow), ema(signal), False
+        self.part, self.fast, self.slow, self.signal = part, ema(fast), ema(slow), ema(signal)
 
-    def step(self, high: float, low: float, close: float) -> float:
-        line = self.fast.add(close) - self.slow.add(close)
+    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        line = self.fast.run(close, starts) - self.slow.run(close, starts)
         if self.part == "line":
             return line
-        self.begun |= line == line
-        signal = self.signal.add(line) if self.begun else math.nan
+        signal = self.signal.run(line, starts)
         return signal if self.part == "signal" else line - signal
 
 
