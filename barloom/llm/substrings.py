@@ -82,9 +82,9 @@ def _row(key: str, text: str) -> Column:
 
 
 def twos(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(row, key, digest, begin, step, bytes, head, words): each two neighbouring chunks of every text.
+    """(row, key, digest, begin, size): each two neighbouring chunks of every text. Texts of fewer than two chunks have none.
 
-    step and head are the first chunk's bytes and words, bytes and words those of both. Texts of fewer than two chunks have none.
+    size packs ``SIZES`` in one number of a byte or two each: the first chunk's bytes and words, and those of both.
     """
     from xxhash import xxh3_64_intdigest  # noqa: F401  (fails here rather than on an executor)
 
@@ -94,7 +94,7 @@ def twos(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
         from xxhash import xxh3_64_intdigest
 
         for batch in batches:
-            at, digest, parts = [], [], [[], [], [], [], []]
+            at, digest, begin, size = [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 data = (t or "").encode()
                 ends = cuts(data) if data else ()
@@ -104,28 +104,43 @@ def twos(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
                 before = words_before(data)[marks]
                 digest += [xxh3_64_intdigest(data[a:b]) for a, b in zip(marks[:-2].tolist(), ends[1:])]
                 at.append(np.full(len(ends) - 1, i))
-                for part, x in zip(parts, (marks[:-2], marks[1:-1] - marks[:-2], marks[2:] - marks[:-2], before[1:-1] - before[:-2], before[2:] - before[:-2])):
-                    part.append(x)
+                first, both = marks[1:-1] - marks[:-2], marks[2:] - marks[:-2]
+                begin.append(marks[:-2])
+                size.append(first | both << 8 | before[1:-1] - before[:-2] << 17 | before[2:] - before[:-2] << 24)
             none = np.array([], np.int64)
             of = pa.array(np.concatenate([none, *at]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(of), batch.column(1).take(of), pa.array(np.array(digest, np.uint64).view(np.int64)),
-                 *(pa.array(np.concatenate([none, *part]), pa.int32()) for part in parts)],
-                ["row", "key", "digest", "begin", "step", "bytes", "head", "words"],
+                 pa.array(np.concatenate([none, *begin]), pa.int32()), pa.array(np.concatenate([none, *size]), pa.int64())],
+                ["row", "key", "digest", "begin", "size"],
             )
 
     rows = df.select(_row(key, text).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"row long, key {kind}, digest long, begin int, step int, bytes int, head int, words int")
+    return rows.mapInArrow(run, f"row long, key {kind}, digest long, begin int, size long")
 
 
-def _matched(table: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``table`` joined with the repeated digests; very frequent ones, of which there are few, never meet in one task."""
-    hot = materialize(repeated.filter(F.col("n") > HOT_ROWS), "hot")
+#: (first bit, bits) of what ``twos`` packs: MOST_BYTES bytes hold at most half as many words.
+SIZES = {"step": (0, 8), "bytes": (8, 9), "head": (17, 7), "words": (24, 8)}
+
+
+def _matched(table: DataFrame) -> DataFrame:
+    """The rows of ``table`` whose digest several documents have, with n, first and final: its places, the least and the greatest.
+
+    Very frequent digests, of which there are few, never meet in one task: they are counted by partial sums and joined by broadcast.
+    """
+    counted = table.groupBy("digest").agg(F.count("*").alias("n"), F.min("row").alias("least"), F.max("row").alias("most"))
+    repeated = materialize(counted.filter("least < most").select("digest", "n"), "repeated")
+    place = F.struct("key", "row", "begin")
+    hot, own = repeated.filter(F.col("n") > HOT_ROWS), Window.partitionBy("digest")
     n_hot = hot.count()
-    if not n_hot or n_hot > BROADCAST_ROWS:
-        return table.join(repeated, "digest")
-    rest = table.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.filter(F.col("n") <= HOT_ROWS), "digest")
-    return table.join(F.broadcast(hot), "digest").unionByName(rest)
+    few = 0 < n_hot <= BROADCAST_ROWS
+    rest = table.join(repeated.filter(F.col("n") <= HOT_ROWS) if few else repeated, "digest")
+    rest = rest.withColumns({"first": F.min(place).over(own), "final": F.max(place).over(own)})
+    if not few:
+        return rest
+    found = table.join(F.broadcast(hot), "digest")
+    ends = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("final"))
+    return found.join(F.broadcast(ends), "digest").unionByName(rest)
 
 
 def _whole(byte: bytes, edge: bool) -> bool:
@@ -173,17 +188,14 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", pa
     equal in key and text are one document. Other columns play no part.
     """
     table = materialize(twos(df, text, key), "twos")
-    place = F.struct("key", "row", "begin")
-    counted = table.groupBy("digest").agg(
-        F.count("*").alias("n"), F.min("row").alias("least"), F.max("row").alias("most"), F.min(place).alias("first"), F.max(place).alias("final")
-    )
-    repeated = materialize(counted.filter("least < most").select("digest", "n", "first", "final"), "repeated")
     other = F.when(F.col("first.row") == F.col("row"), F.col("final")).otherwise(F.col("first"))
-    marked = _matched(table, repeated).select(
-        "row", "key", "begin", "step", "bytes", "head", "words", "n", F.col("first.key").alias("first_key"), (place == F.col("first")).alias("is_first"), other.alias("other"),
-    ).dropDuplicates(["row", "begin"])  # fmt: skip  # of rows that stand several times
+    sizes = [F.shiftright("size", low).bitwiseAND((1 << bits) - 1).cast("int").alias(n) for n, (low, bits) in SIZES.items()]
+    marked = _matched(table).select(
+        "row", "key", "begin", *sizes, "n", F.col("first.key").alias("first_key"), (F.struct("key", "row", "begin") == F.col("first")).alias("is_first"), other.alias("other"),
+    )
     # only rows with repeats are left; their twos that overlap make a run
     order = Window.partitionBy("row").orderBy("begin")
+    marked = marked.withColumn("_again", F.lag("begin").over(order).eqNullSafe(F.col("begin"))).filter("not _again")  # of rows that stand several times
     starts = F.coalesce(F.lag(F.col("begin") + F.col("step")).over(order) != F.col("begin"), F.lit(True))
     runs = marked.withColumn("_run", F.sum(starts.cast("int")).over(order))
     ordered = F.struct("begin", F.col("other.row").alias("row"), F.col("other.begin").alias("at"), F.col("bytes"))
