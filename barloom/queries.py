@@ -12,15 +12,16 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .compute import compute_features
+from .compute import apply_features, compute_features
 from .evaluate import buckets, cross_sectional_ic, evaluate_features, ic_summary, rolling_ic, time_series_ic
 from .evaluate.pairs import pair_table
 from .evaluate.regression import regression_table, zscored
 from .evaluate.states import overall_mean, rolling_ic_panels, spread_by_state, state_rows, violin_marks
+from .features import FeatureSpec
 from .quality import clean_rows, rule_counts
 from .schema import bars_from_events, in_session
 from .sinks import feature_health, rows_per_symbol
-from .sources import duplicate_bars, filter_bars
+from .sources import duplicate_bars, filter_bars, finalize_bars, normalize_timestamp, to_number
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -74,6 +75,48 @@ _bar_query("session_regular", f"{MINUTES} BETWEEN 570 AND 959", lambda b: in_ses
 _bar_query("session_extended", f"{MINUTES} BETWEEN 240 AND 1199", lambda b: in_session(b, "extended"))
 _bar_query("session_full", "true", lambda b: in_session(b, "full"))
 
+# Loading from text
+
+
+def _text_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars as a CSV file would hold them: padded symbols, instants in UTC, numbers as text, every 24th close blank."""
+    bars, at = _bars(spark, sf_dir), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
+    return bars.select(
+        F.concat(F.lit("  "), "symbol", F.lit("\t")).alias("symbol"), F.when(F.hour("timestamp") < 12, F.concat(at, F.lit("Z"))).otherwise(F.concat(at, F.lit("+00:00"))).alias("timestamp"),
+        *(F.col(c).cast("string").alias(c) for c in ("open", "high", "low")), F.when(F.hour("timestamp") == 3, " ").otherwise(F.col("close").cast("string")).alias("close"),
+        F.concat(F.lit(" "), F.col("volume").cast("long").cast("string")).alias("volume"), F.lit("x").alias("extra"),
+    )
+
+
+# the events lie in January: New York is five hours behind
+_query("load_text_bars", f"""WITH {_bars_cte()} SELECT symbol, "timestamp" - INTERVAL 5 HOUR AS "timestamp", open, high, low,
+CASE WHEN hour("timestamp") <> 3 THEN close END AS close, volume FROM bars""", exact=True)(lambda s, d: finalize_bars(_text_bars(s, d), "America/New_York"))
+_query("normalize_timestamps", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 5 HOUR WHEN 1 THEN date_trunc('second', ts) - INTERVAL 7 HOUR
+WHEN 2 THEN date_trunc('second', ts) END AS "timestamp" FROM events""", exact=True)(
+    lambda s, d: _table(s, d, "events").select("event_id", normalize_timestamp(_text_time(), "string", "America/New_York").alias("timestamp"))
+)
+
+
+def _text_time():
+    """An instant in UTC, one two hours east, a local time, and no time at all."""
+    k, at = F.col("event_id") % 4, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return F.when(k == 0, F.concat(at, F.lit("Z"))).when(k == 1, F.concat(F.lit(" "), at, F.lit("+02:00"))).when(k == 2, at).otherwise(F.concat(F.lit("no "), at))
+
+
+def _text_number():
+    k, n = F.col("l_orderkey") % 8, F.col("l_quantity").cast("int").cast("string")
+    forms = [n, F.concat(F.lit(" "), n, F.lit(".50 ")), F.concat(F.lit("-"), n, F.lit("e2")), F.concat(n, F.lit("d")), F.concat(F.lit("1,"), n), F.lit(""), F.lit("inf"), F.lit("NaN")]
+    text = F.when(k == 0, forms[0])
+    for i, form in enumerate(forms[1:], 1):
+        text = text.when(k == i, form)
+    return text
+
+
+_query("coerce_numbers", """SELECT l_orderkey, l_linenumber, CASE l_orderkey % 8 WHEN 0 THEN q WHEN 1 THEN q + 0.5 WHEN 2 THEN -100 * q END AS number
+FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS q FROM lineitem)""", exact=True)(
+    lambda s, d: _table(s, d, "lineitem").select("l_orderkey", "l_linenumber", to_number(_text_number(), "string").alias("number"))
+)
+
 # Cleaning
 
 
@@ -217,7 +260,22 @@ for _name, (_function, _sql) in RECURSIVE.items():
 ITEMS = [{"name": n, "function": f, **p} for n, (f, p, _) in PLAIN.items()]
 TARGETS = ("next_n_bar_return", "next_n_bar_realized_volatility")
 TREND = ("moving_average", "price_vs_moving_average", "rate_of_change")
-_query("features_all", _select_features({n: q for n, (_, _, q) in PLAIN.items()}))(lambda s, d: _features(s, d, ITEMS))
+EVERY = [*ITEMS, *({"name": n, "function": f} for n, (f, _) in RECURSIVE.items())]
+_query("features_window", _select_features({n: q for n, (_, _, q) in PLAIN.items()}))(lambda s, d: _features(s, d, ITEMS))
+_query("features_all", f"""SELECT * FROM ({_select_features({n: q for n, (_, _, q) in PLAIN.items()})}) """ + " ".join(
+    f'JOIN ({q}) USING (symbol, "timestamp")' for _, q in RECURSIVE.values()
+))(lambda s, d: _features(s, d, EVERY))
+
+
+def _midrange(frame, window: int = 5):
+    """A pandas feature as a user would add it: the middle of the highest high and the lowest low."""
+    return (frame["high"].rolling(window).max() + frame["low"].rolling(window).min()) / 2
+
+
+MIDRANGE = FeatureSpec("midrange", _midrange, "trend", lambda p: p["window"], "Middle of the range.", "(max high + min low) / 2", "frame", {}, {})
+_query("feature_user_frame", _select_features({"midrange": f"({_full('max', 'high', -4, 0)} + {_full('min', 'low', -4, 0)}) / 2"}))(
+    lambda s, d: apply_features(_bars(s, d), [("midrange", MIDRANGE, {"window": 5})])
+)
 _query("features_no_targets", _select_features({n: q for n, (_, _, q) in PLAIN.items() if n not in TARGETS}))(
     lambda s, d: _features(s, d, ITEMS, exclude_categories=["target"])
 )
@@ -370,5 +428,12 @@ good AS (SELECT feature, symbol FROM p GROUP BY 1, 2 HAVING count(DISTINCT bucke
 sp AS (SELECT feature, max_by(v, bucket) - min_by(v, bucket) AS quantile_spread FROM (SELECT feature, bucket, avg(y) AS v FROM p JOIN good USING (feature, symbol) GROUP BY 1, 2) GROUP BY 1)
 SELECT feature, round(mean_time_series_ic, 6) AS mean_time_series_ic, round(beta, 6) AS beta, round(beta / sqrt(variance), 6) AS t_statistic, round(r_squared, 6) AS r_squared,
 n AS observations, round(quantile_spread, 6) AS quantile_spread FROM dk JOIN ic USING (feature) JOIN sp USING (feature)"""
-# the p-value has no SQL: it is tested on its own
+#: The complementary error function by a rational approximation with an error below 1.2e-7, so p-values are compared to four places.
+ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
+_HORNER = " + u * (".join(f"CAST({c!r} AS DOUBLE)" for c in ERFC) + ")" * (len(ERFC) - 1)
+_query("p_values", f"""WITH {LONG}, {_regression_ctes('long')}, t AS (SELECT feature, abs(beta / sqrt(variance)) / sqrt(2.0::DOUBLE) AS z FROM dk)
+SELECT feature, round(u * exp(-z * z + {_HORNER}), 4) AS p_value FROM (SELECT feature, z, 1 / (1 + z / 2) AS u FROM t)""", exact=True)(
+    lambda s, d: evaluate_features(_frame(s, d), Y, list(FRAME_COLUMNS)).select("feature", F.round("p_value", 4).alias("p_value"))
+)
+# p-values are compared by themselves, to fewer places
 _query("evaluate_features", EVALUATE_SQL)(lambda s, d: evaluate_features(_frame(s, d), Y, list(FRAME_COLUMNS)).drop("p_value"))

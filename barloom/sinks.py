@@ -66,33 +66,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def save_features(df: DataFrame, config: dict[str, Any], report: dict[str, Any] | None = None, single_file: bool = False) -> dict[str, str]:
     """Write the table once per format, the catalogue and the summary; returns their paths.
 
-    The summary is taken from what was written, so the features are computed once for each format.
+    The features are computed for the first format only: the others and the summary are taken from what was written.
     """
     spark, run = df.sparkSession, config["run"]
     out_dir = run["output_dir"].rstrip("/")
     now = dt.datetime.now(dt.timezone.utc)
-    stem = f"features_v{run.get('version', '0')}_{now:%Y%m%d_%H%M%S_%f}"
+    version, stamp = run.get("version", "dev"), f"{now:%Y%m%d_%H%M%S_%f}"
+    stem = f"features_v{version}_{stamp}"
     paths: dict[str, str] = {}
-    ordered = df.orderBy("symbol", "timestamp")
-    ordered = ordered.coalesce(1) if single_file else ordered
-    for kind in sorted(run["output_formats"], reverse=True):
+    written = None
+    for kind in sorted(run["output_formats"], reverse=True):  # Parquet, which keeps all values, before CSV
         paths[kind] = f"{out_dir}/{stem}.{kind}"
+        ordered = (df if written is None else written).orderBy("symbol", "timestamp")
+        ordered = ordered.coalesce(1) if single_file else ordered
         if kind == "csv":
             ordered.write.option("header", True).csv(paths[kind])
         else:
             ordered.write.parquet(paths[kind])
-    written = read_table(spark, next(iter(paths.values())), df.schema)
+        written = written if written is not None else read_table(spark, paths[kind], df.schema)
     catalog = feature_catalog(config, df.columns)
     paths["catalog_csv"] = f"{out_dir}/feature_catalog.csv"
     write_text(spark, paths["catalog_csv"], _csv(catalog, ["name", "function", "category", "lookback", "description", "calculation"]))
     health = {r["feature"]: {k: r[k] for k in ("null_count", "null_pct", "min", "mean", "max")} for r in feature_health(written).collect()}
-    per_symbol = {r["symbol"]: r["rows"] for r in rows_per_symbol(written).collect()}
+    counted = written.groupBy("symbol").agg(F.count("*").alias("rows")).collect()
+    per_symbol = {r["symbol"]: r["rows"] for r in counted if r["symbol"] is not None}
     summary = {
-        "generated_at": now.isoformat(), "rows": written.count(), "columns": df.columns,
+        "generated_at": now.isoformat(), "rows": sum(r["rows"] for r in counted), "columns": df.columns,
         "features": [c for c in df.columns if c not in IDS], "rows_per_symbol": per_symbol, "feature_health": health,
         "config": config, "cleaning": report, "outputs": dict(paths),
     }
-    paths["summary_json"] = f"{out_dir}/{stem}_summary.json"
+    paths["summary_json"] = f"{out_dir}/run_summary_v{version}_{stamp}.json"
     write_text(spark, paths["summary_json"], json.dumps(summary, indent=2, default=str))
     return paths
 

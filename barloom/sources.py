@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import os
 import re
 from typing import Any
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .schema import COLUMNS, DEFAULT_SESSION, NUMBERS, SESSIONS, in_session
 
+#: Tasks that a database table is read by, at most.
+MOST_PARTS = 1000
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 #: Ends of a text that make it an instant: Z or an offset after a time of day.
 AWARE = r":.*(?:[Zz]|[+-]\d{2}(?::?\d{2})?)\s*$"
@@ -70,7 +73,7 @@ def to_number(column: Column, kind: str) -> Column:
 def finalize_bars(df: DataFrame, zone: str) -> DataFrame:
     """Project to the bar columns, normalise, and refuse blank symbols, bad timestamps and duplicate bars.
 
-    One job counts the faults over all rows before any filter. Extra columns are dropped.
+    One job counts all faults over all rows before any filter. Extra columns are dropped.
     """
     missing = [c for c in COLUMNS if c not in df.columns]
     if missing:
@@ -84,14 +87,16 @@ def finalize_bars(df: DataFrame, zone: str) -> DataFrame:
         normalize_timestamp(F.col("timestamp"), kinds["timestamp"], zone).alias("timestamp"),
         *(to_number(F.col(c), kinds[c]).alias(c) for c in NUMBERS),
     )
-    faults = out.agg(
-        F.count_if(F.col("symbol").isNull() | (F.col("symbol") == "")).alias("symbols"), F.count_if(F.col("timestamp").isNull()).alias("times")
-    ).first()
+    bars, known = F.col("bars"), F.col("symbol").isNotNull() & F.col("timestamp").isNotNull()
+    faults = out.groupBy("symbol", "timestamp").agg(F.count("*").alias("bars")).agg(
+        F.sum(F.when(F.col("symbol").isNull() | (F.col("symbol") == ""), bars)).alias("symbols"), F.sum(F.when(F.col("timestamp").isNull(), bars)).alias("times"),
+        F.max(F.when(known, bars)).alias("most"),
+    ).first()
     if faults["symbols"]:
         raise ValueError("symbol values must be present and non-empty")
     if faults["times"]:
         raise ValueError("timestamps must be present and valid")
-    if duplicate_bars(out).limit(1).count():
+    if (faults["most"] or 0) > 1:
         raise ValueError("Duplicate OHLCV bars found for symbol/timestamp pairs")
     return out
 
@@ -101,7 +106,11 @@ def duplicate_bars(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol", "timestamp").agg(F.count("*").alias("bars")).filter("bars > 1")
 
 
-def session_sql(session: str, column: str = "timestamp") -> str:
+#: The time column of the database table; everywhere else it is called timestamp.
+TIME_COLUMN = "ts"
+
+
+def session_sql(session: str, column: str = TIME_COLUMN) -> str:
     """The session filter as ClickHouse text, empty for all bars."""
     span = SESSIONS[session]
     return "" if span is None else f"toHour({column}) * 60 + toMinute({column}) BETWEEN {span[0]} AND {span[1]}"
@@ -122,24 +131,54 @@ def table_name(table: Any) -> str:
 
 def clickhouse_query(run: dict[str, Any]) -> str:
     """The SELECT that a run sends: symbols, dates and session are filtered in the database."""
-
-    def quoted(value: Any) -> str:
-        return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
     table = table_name(run["table"])
     where = [
-        f"symbol IN ({', '.join(map(quoted, symbol_list(run['symbols'])))})",
-        f"toDate(timestamp) >= toDate({quoted(run['start_date'])})",
-        f"toDate(timestamp) <= toDate({quoted(run['end_date'])})",
+        f"symbol IN ({', '.join(map(_quoted, symbol_list(run['symbols'])))})",
+        f"toDate({TIME_COLUMN}) >= toDate({_quoted(run['start_date'])})",
+        f"toDate({TIME_COLUMN}) <= toDate({_quoted(run['end_date'])})",
     ]
     session = session_sql(run.get("session") or DEFAULT_SESSION["clickhouse"])
     where += [session] if session else []
-    return f"SELECT {', '.join(COLUMNS)} FROM {table} WHERE {' AND '.join(where)} ORDER BY symbol, timestamp"
+    columns = ", ".join(f"{TIME_COLUMN} AS timestamp" if c == "timestamp" else c for c in COLUMNS)
+    return f"SELECT {columns} FROM {table} WHERE {' AND '.join(where)}"
+
+
+def clickhouse_parts(run: dict[str, Any], most: int = MOST_PARTS) -> list[str]:
+    """Conditions that part a run's bars: a symbol's months, or, where these are over ``most``, whole symbols, or groups of them."""
+    symbols = symbol_list(run["symbols"])
+    start, end = (dt.date.fromisoformat(str(run[k])[:10]) for k in ("start_date", "end_date"))
+    first, last = start.year * 12 + start.month - 1, end.year * 12 + end.month - 1
+    months = [n // 12 * 100 + n % 12 + 1 for n in range(first, last + 1)]
+    if len(symbols) * len(months) <= most:
+        return [f"symbol = {_quoted(s)} AND toYYYYMM(timestamp) = {m}" for s in symbols for m in months]
+    groups = [symbols[i::most] for i in range(min(most, len(symbols)))]
+    return [f"symbol IN ({', '.join(map(_quoted, g))})" for g in groups]
+
+
+def _quoted(value: Any) -> str:
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def env_file(path: str = ".env") -> dict[str, str]:
+    """NAME=value lines of a file, without quotes around values; empty if there is no file."""
+    out: dict[str, str] = {}
+    if not os.path.exists(path):
+        return out
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            m = re.fullmatch(r"\s*(?:export\s+)?([A-Za-z_]\w*)\s*=\s*(.*?)\s*", line)
+            if m:
+                value = re.fullmatch(r"(['\"])(.*)\1(?:\s+#.*)?", m[2])
+                out[m[1]] = value[2] if value else re.sub(r"\s+#.*", "", m[2])
+    return out
 
 
 def clickhouse_options(env: dict[str, str] | None = None) -> dict[str, str]:
-    """JDBC options from CLICKHOUSE_HOST, _PORT, _USER, _PASSWORD, _SECURE, _VERIFY and _DATABASE."""
-    env = dict(os.environ) if env is None else env
+    """JDBC options from CLICKHOUSE_HOST, _PORT, _USER, _PASSWORD, _SECURE, _VERIFY and _DATABASE.
+
+    Taken from the file .env of the working folder, and before it from the environment.
+    """
+    env = env_file() | dict(os.environ) if env is None else env
 
     def on(name: str, default: str) -> bool:
         return env.get(f"CLICKHOUSE_{name}", default).strip().lower() in ("1", "true", "yes", "on")
@@ -156,6 +195,7 @@ def clickhouse_options(env: dict[str, str] | None = None) -> dict[str, str]:
 
 
 def load_clickhouse(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
-    """Read over JDBC (the driver jar is the caller's) and validate what comes back."""
-    raw = spark.read.format("jdbc").options(**clickhouse_options()).option("query", clickhouse_query(run)).load()
+    """Read over JDBC (the driver jar is the caller's), a symbol and month a task, and validate what comes back."""
+    options = clickhouse_options()
+    raw = spark.read.jdbc(options.pop("url"), f"({clickhouse_query(run)}) AS bars", predicates=clickhouse_parts(run), properties=options)
     return finalize_bars(raw, run.get("exchange_timezone") or "America/New_York")

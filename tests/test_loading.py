@@ -1,12 +1,13 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 
 from barloom import ConfigValidationError, clean_ohlcv, load_features, load_ohlcv, validate_config
 from barloom.cli import main, run_pipeline
 from barloom.schema import BAR_SCHEMA
-from barloom.sources import clickhouse_options, clickhouse_query
+from barloom.sources import clickhouse_options, clickhouse_parts, clickhouse_query, env_file
 
 HEADER = "symbol,timestamp,open,high,low,close,volume\n"
 
@@ -60,13 +61,32 @@ def test_missing_column(spark, tmp_path):
 def test_clickhouse_text():
     run = {"table": "stocks", "symbols": [" A", "B'x"], "start_date": "2024-01-01", "end_date": "2024-02-01"}
     sql = clickhouse_query(run)
-    assert "symbol IN ('A', 'B\\'x')" in sql and "BETWEEN 570 AND 959" in sql and sql.endswith("ORDER BY symbol, timestamp")
+    assert "symbol IN ('A', 'B\\'x')" in sql and "toHour(ts) * 60 + toMinute(ts) BETWEEN 570 AND 959" in sql
+    assert "ts AS timestamp" in sql and "toDate(ts) >= toDate('2024-01-01')" in sql and "ORDER BY" not in sql
     assert "BETWEEN" not in clickhouse_query(run | {"session": "full"})
     with pytest.raises(ValueError, match="Invalid ClickHouse table identifier"):
         clickhouse_query(run | {"table": "a; drop"})
     assert clickhouse_options({"CLICKHOUSE_HOST": "h", "CLICKHOUSE_SECURE": "true"})["url"].startswith("jdbc:clickhouse://h:8443/default?ssl=true")
 
 
+def test_clickhouse_parts_cover_symbols_and_months():
+    run = {"symbols": ["A", "B'x"], "start_date": "2023-11-20", "end_date": "2024-02-01"}
+    parts = clickhouse_parts(run)
+    assert len(parts) == 8 and parts[0] == "symbol = 'A' AND toYYYYMM(timestamp) = 202311" and parts[-1] == "symbol = 'B\\'x' AND toYYYYMM(timestamp) = 202402"
+    assert clickhouse_parts(run | {"symbols": list("ABCDE")}, most=2) == ["symbol IN ('A', 'C', 'E')", "symbol IN ('B', 'D')"]
+
+
+def test_env_file(tmp_path, monkeypatch):
+    path = tmp_path / ".env"
+    path.write_text("# comment\nCLICKHOUSE_HOST=from-file # here\nexport CLICKHOUSE_PASSWORD='a # b'\n\nbroken line\nCLICKHOUSE_USER = \"me\"\n")
+    assert env_file(str(path)) == {"CLICKHOUSE_HOST": "from-file", "CLICKHOUSE_PASSWORD": "a # b", "CLICKHOUSE_USER": "me"}
+    assert env_file(str(tmp_path / "none")) == {}
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("CLICKHOUSE_USER", "environment")
+    options = clickhouse_options()
+    assert options["user"] == "environment" and options["password"] == "a # b" and "//from-file:" in options["url"]
+
+
 def test_each_bar_is_charged_once(spark):
     t = dt.datetime(2024, 1, 1)
     bad = [(1, 2, 0.5, None, 1), (-1, 2, 0.5, 1, -1), (1, 2, 0.5, 1, -1), (1, 1, 2, 1, 1), (3, 2, 1, 1.5, 1), (1, 2, float("nan"), 1, 1), (1, 2, 1, 1.5, 0)]
@@ -91,6 +111,7 @@ def test_whole_run(spark, tmp_path):
     paths = run_pipeline(config(tmp_path), spark)
     assert set(paths) == {"csv", "parquet", "catalog_csv", "summary_json"}
     summary = json.loads(open(paths["summary_json"]).read())
+    assert re.search(r"/run_summary_v[^/]*_\d{8}_\d{6}_\d{6}\.json$", paths["summary_json"])
     assert summary["rows_per_symbol"] == {"A": 5} and summary["feature_health"]["r"]["null_pct"] == 0.2 and summary["cleaning"]["total_dropped"] == 1
     assert "moving_average,trend,2" in open(paths["catalog_csv"]).read()
     later = run_pipeline(config(tmp_path, version="9"), spark)
