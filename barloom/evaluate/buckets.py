@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import pair_table
@@ -20,35 +20,47 @@ WINDOW_ROWS = 10_000
 _SPAN = 0.001
 
 
-def percentile_table(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(keys..., p): exact percentiles of each group, by linear interpolation between the sorted values.
+def percentile_table(rows: DataFrame, keys: list[str], value: str, shares: list[float], **more: Column) -> DataFrame:
+    """(keys..., more..., p): exact percentiles of each group, by linear interpolation between the sorted values, and other aggregates.
 
     A percentile aggregate holds a group's values in memory, and a sorted window passes them through one task. Here an approximate
-    percentile, a small sketch, gives a span of values on either side; rows below are counted, and the few rows within are
+    percentile, a small sketch, gives a span of values on either side; rows below are counted, and the few values within are
     sorted. Groups of up to ``WINDOW_ROWS`` rows are sorted whole.
     """
-    values = rows.select(*keys, F.col(value).alias("_v"))
     around = [min(1.0, max(0.0, q + side)) for q in shares for side in (-_SPAN, _SPAN)]
-    sketch = values.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_v", around, 10_000).alias("_b"))
-    large, none = F.col("_n") > WINDOW_ROWS, F.lit(None).cast("double")
+    sketch = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, around, 10_000).alias("_b"), *(c.alias(n) for n, c in more.items()))
+    large = F.col("_n") > WINDOW_ROWS
     spans = F.array(*(F.struct(
-        F.lit(i).alias("i"), F.when(large, F.col("_b")[2 * i]).otherwise(none).alias("low"), F.when(large, F.col("_b")[2 * i + 1]).otherwise(none).alias("high"),
-        ((F.col("_n") - 1) * F.lit(q)).alias("at"),
+        F.lit(i).alias("_i"), F.when(large, F.col("_b")[2 * i]).alias("_low"), F.when(large, F.col("_b")[2 * i + 1]).alias("_high"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"),
     ) for i, q in enumerate(shares)))
-    # one small row a group and percentile
-    spread = values.join(sketch.select(*keys, "_n", spans.alias("_s")), keys).select(*keys, "_v", F.inline("_s"))
-    counted = spread.filter("low is not null and _v < low").groupBy(*keys, "i").agg(F.count("*").alias("_below"))
-    inside = spread.filter("low is null or _v between low and high")
-    ranked = inside.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "i").orderBy("_v")) - 1).join(counted, [*keys, "i"], "left")
-    place = F.col("_rn") + F.coalesce("_below", F.lit(0))
-    low, high = (F.max(F.when(place == f("at"), F.col("_v"))) for f in (F.floor, F.ceil))
-    found = ranked.groupBy(*keys, "i").agg((low + (high - low) * F.max(F.col("at") - F.floor("at"))).alias("_p"))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_p"))), lambda x: x["_p"]).alias("p"))
+    # one small row a group and percentile; rows below a span count together
+    spread = rows.select(*keys, F.col(value).alias("_v")).join(sketch.select(*keys, *more, spans.alias("_s")), keys).select(*keys, *more, "_v", F.inline("_s"))
+    inside = spread.filter("_high is null or _v <= _high").withColumn("_v", F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v")))
+    counted = inside.groupBy(*keys, *more, "_i", "_at", "_v").agg(F.count("*").alias("_c"))
+    counted = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))))
+    low, high = (F.max(F.when((f("_at") < F.col("_upto")) & (f("_at") >= F.col("_upto") - F.col("_c")), F.col("_v"))) for f in (F.floor, F.ceil))
+    found = counted.groupBy(*keys, "_i").agg((low + (high - low) * F.max(F.col("_at") - F.floor("_at"))).alias("_p"), *(F.first(n).alias(n) for n in more))
+    p = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"])
+    return found.groupBy(*keys).agg(*(F.first(n).alias(n) for n in more), p.alias("p"))
 
 
 def edge_table(pairs: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
-    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values."""
-    return percentile_table(pairs, keys, "x", [i / quantiles for i in range(1, quantiles)]).withColumnRenamed("p", "edges")
+    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values.
+
+    The values of a symbol are sorted in a window, as its features are; those of all symbols never meet in one task.
+    """
+    shares = [i / quantiles for i in range(1, quantiles)]
+    if "symbol" not in keys:
+        return percentile_table(pairs, keys, "x", shares).withColumnRenamed("p", "edges")
+    place = Window.partitionBy(*keys).orderBy("x")
+    ranked = pairs.select(*keys, "x", F.row_number().over(place).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    edges = []
+    for share in shares:
+        at = (F.col("n") - 1) * F.lit(share)
+        low, high = (F.max(F.when(F.col("rn") == f(at) + 1, F.col("x"))) for f in (F.floor, F.ceil))
+        part = F.max(at - F.floor(at))
+        edges.append(low + (high - low) * part)
+    return ranked.groupBy(*keys).agg(F.array(*edges).alias("edges"))
 
 
 def bucketed(pairs: DataFrame, quantiles: int, by_symbol: bool = True) -> DataFrame:
@@ -57,19 +69,22 @@ def bucketed(pairs: DataFrame, quantiles: int, by_symbol: bool = True) -> DataFr
     keys = ["feature", "symbol"] if by_symbol else ["feature"]
     number = 1 + F.size(F.filter("edges", lambda e: F.col("x") > e))
     placed = pairs.join(edge_table(pairs, keys, quantiles), keys).withColumn("_bucket", number).drop("edges")
-    filled = placed.groupBy(*keys).agg(F.count_distinct("_bucket").alias("_filled"))
-    marked = placed.join(filled, keys)
+    if by_symbol:
+        marked = placed.withColumn("_filled", F.size(F.collect_set("_bucket").over(Window.partitionBy(*keys))))
+    else:
+        marked = placed.join(placed.groupBy(*keys).agg(F.count_distinct("_bucket").alias("_filled")), keys)
     return marked.select(*pairs.columns, F.when(F.col("_filled") == quantiles, F.col("_bucket")).alias("quantile"))
 
 
 def bucket_summary(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Target statistics of each bucket."""
-    known, by = rows.filter("quantile is not null"), [*(keys or []), "quantile"]
-    stats = known.groupBy(*by).agg(
-        F.count("*").alias("observations"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("standard_deviation"), F.min("x").alias("feature_min"), F.max("x").alias("feature_max")
-    )
+    by = [*(keys or []), "quantile"]
+    found = percentile_table(
+        rows.filter("quantile is not null"), by, "y", [0.1, 0.5, 0.9], observations=F.count("*"), mean=F.avg("y"), standard_deviation=F.stddev_samp("y"),
+        feature_min=F.min("x"), feature_max=F.max("x"),
+    )
     p = F.col("p")
-    return stats.join(percentile_table(known, by, "y", [0.1, 0.5, 0.9]), by).select(
+    return found.select(
         *by, "observations", "mean", p[1].alias("median"), "standard_deviation", p[0].alias("percentile_10"), p[2].alias("percentile_90"), "feature_min", "feature_max"
     )
 

@@ -74,7 +74,7 @@ def regression_table(pairs: DataFrame, kernel_lags: int | None = None, target_ho
     )
     residual = F.col("y") - F.col("alpha") - F.col("beta") * F.col("x")
     scores = rows.join(line.filter("identified"), "feature").groupBy("feature", "timestamp").agg(
-        F.sum(residual).alias("h0"), F.sum(F.col("x") * residual).alias("h1"), F.sum(residual * residual).alias("sse"), F.first("effective_lags").alias("lag_limit")
+        F.sum(residual).alias("h0"), F.sum(F.col("x") * residual).alias("h1"), F.first("effective_lags").alias("lag_limit")
     )
     timed = scores.withColumn("rn", F.row_number().over(Window.partitionBy("feature").orderBy("timestamp")))
     later = timed.withColumn("lag", F.explode(F.sequence(F.lit(0), F.col("lag_limit").cast("int")))).select(
@@ -86,12 +86,12 @@ def regression_table(pairs: DataFrame, kernel_lags: int | None = None, target_ho
         F.sum(twice * F.col("h0") * F.col("g0")).alias("s00"), F.sum(twice * F.col("h1") * F.col("g1")).alias("s11"),
         F.sum(twice / 2 * (F.col("h0") * F.col("g1") + F.col("h1") * F.col("g0"))).alias("s01"),
     )
-    errors = scores.groupBy("feature").agg(F.sum("sse").alias("sse"))
     n, sx = F.col("n"), F.col("n") * F.col("mx")
     bread = n * n * F.col("vx")
     variance = F.try_divide(sx * sx * F.col("s00") - 2 * sx * n * F.col("s01") + n * n * F.col("s11"), bread * bread)
-    r_squared = F.when(F.col("vy") > 0, 1 - F.try_divide(F.col("sse"), n * F.col("vy")))
-    return line.join(kernel, "feature", "left").join(errors, "feature", "left").select(
+    # with an intercept this is the squared correlation: no pass over the residuals
+    r_squared = F.when(F.col("identified") & (F.col("vy") > 0), F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vx") * F.col("vy")))
+    return line.join(kernel, "feature", "left").select(
         "feature", "pairs", F.when(F.col("identified"), n).alias("n"), "t", "identified", "alpha", "beta", variance.alias("variance"),
         r_squared.alias("r_squared"), "lags", "effective_lags",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import finite
@@ -33,9 +33,9 @@ def state_rows(df: DataFrame, feature: str, target: str) -> DataFrame:
 def _marks(rows: DataFrame, key: str, value: str, median: bool = False) -> DataFrame:
     """(key, observations, mean, percentile_10, _25, _75, _90) and, if asked for, median."""
     names = ["percentile_10", "percentile_25", "percentile_75", "percentile_90", *(["median"] if median else [])]
-    marks = percentile_table(rows.filter(F.col(key).isNotNull()), [key], value, [0.1, 0.25, 0.75, 0.9, *([0.5] if median else [])])
-    stats = rows.groupBy(key).agg(F.count("*").alias("observations"), F.avg(value).alias("mean"))
-    return stats.join(marks, key, "left").select(key, "observations", "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(names)))
+    shares = [0.1, 0.25, 0.75, 0.9, *([0.5] if median else [])]
+    found = percentile_table(rows.filter(F.col(key).isNotNull()), [key], value, shares, observations=F.count("*"), mean=F.avg(value))
+    return found.select(key, "observations", "mean", *(F.col("p")[i].alias(n) for i, n in enumerate(names)))
 
 
 def spread_by_state(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -53,10 +53,8 @@ def violin_marks(df: DataFrame, feature: str, target: str, quantiles: int = 5, b
     """(quantile, observations, mean, percentiles, median, overall_mean): what a violin figure of the buckets marks."""
     rows = bucketed(pair_table(df, [feature], target), quantiles, by_symbol)
     marks = _marks(rows, "quantile", "y", median=True)
-    # over one row a bucket and one for the pairs without a bucket
-    every = Window.partitionBy(F.lit(1))
-    overall = F.sum(F.col("mean") * F.col("observations")).over(every) / F.sum("observations").over(every)
-    return marks.withColumn("overall_mean", overall).filter("quantile is not null")
+    overall = rows.agg(F.avg("y").alias("overall_mean"))  # one row, of the pairs without a bucket too
+    return marks.withColumn("_one", F.lit(1)).join(F.broadcast(overall.withColumn("_one", F.lit(1))), "_one").drop("_one")
 
 
 def overall_mean(df: DataFrame, target: str) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom import (
     cross_sectional_ic, default_kernel_lags, evaluate_features, ic_summary, newey_west_regression, rolling_ic, target_by_feature_quantile,
@@ -135,3 +136,36 @@ def test_table_ranks_the_signal_first(spark):
     got = evaluate_features(df(spark, pdf), "fwd_target", ["noise", "flat", "empty", "signal"]).toPandas()
     assert got.feature.tolist()[:2] == ["signal", "noise"] and got.observations.tolist() == [400, 400, 0, 0]
     assert got.p_value[0] < 1e-6 and got.quantile_spread[0] > 0 and np.isnan(got.beta[2])
+
+
+def test_percentiles_of_large_and_small_groups(spark, monkeypatch):
+    import numpy as np
+
+    from barloom.evaluate import buckets
+
+    rng = np.random.default_rng(41)
+    groups = {"many": rng.normal(size=4000).round(2), "one": np.array([3.5]), "ties": np.array([1.0] * 900 + [2.0] * 100), "few": rng.normal(size=7)}
+    rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, y double").repartition(5)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
+    for most in (10_000, 50):  # sorted whole, and looked for in narrow spans
+        monkeypatch.setattr(buckets, "WINDOW_ROWS", most)
+        monkeypatch.setattr(buckets, "_SPAN", 0.001 if most > 50 else 0.02)
+        got = {r.g: (r.p, r.n) for r in buckets.percentile_table(rows, ["g"], "y", shares, n=F.count("*")).collect()}
+        assert set(got) == set(groups)
+        for g, x in groups.items():
+            assert got[g][0] == pytest.approx([float(np.quantile(x, q)) for q in shares]) and got[g][1] == len(x)
+
+
+def test_rolling_ranks_across_batches(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    from barloom.evaluate import ic
+
+    rng = np.random.default_rng(42)
+    rows = [(s, i, float(rng.integers(6)), float(rng.normal())) for s in "abc" for i in range({"a": 50, "b": 4, "c": 23}[s])]
+    table = pa.table({"symbol": [r[0] for r in rows], "timestamp": [r[1] for r in rows], "x": [r[2] for r in rows], "y": [r[3] for r in rows]})
+    found = [[(r["symbol"], r["timestamp"], r["ic"]) for b in ic._roll(table.to_batches(max_chunksize=size), 6) for r in b.to_pylist()] for size in (1, 7, 1000)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 45 + 18
+    ranks = ic.window_ranks(np.array([[3.0, 1.0, 3.0, 2.0]]))
+    assert ranks.tolist() == [[2.5, 0.0, 2.5, 1.0]]

@@ -167,3 +167,35 @@ def test_frame_feature_runs_beside_the_others(spark, rows):
     finally:
         del FEATURES["doubled"]
     np.testing.assert_allclose(out.d, [2 * r[5] for r in sorted(rows, key=lambda r: r[:2])])
+
+
+def test_recursions_in_batches_equal_one_bar_at_a_time():
+    import math
+    import random
+
+    import numpy as np
+
+    from barloom.features import recursive
+
+    rng = random.Random(43)
+    groups = [[rng.uniform(1, 9) if rng.random() > 0.2 else math.nan for _ in range(rng.choice([1, 2, 3, 40, 200]))] for _ in range(30)]
+
+    def plain(x, alpha, least):
+        out, mean, weight, seen = [], math.nan, 1.0, 0
+        for v in x:
+            weight *= 1 - alpha
+            if v == v:
+                mean = v if not seen else (weight * mean + alpha * v) / (weight + alpha)
+                weight, seen = 1.0, seen + 1
+            out.append(mean if seen >= least else math.nan)
+        return out
+
+    x = np.array([v for g in groups for v in g])
+    starts = np.zeros(len(x), bool)
+    starts[np.cumsum([0, *(len(g) for g in groups[:-1])])] = True
+    for alpha, least in ((2 / 13, 12), (1 / 14, 14), (1.0, 1), (2 / 3, 2)):
+        want = [v for g in groups for v in plain(g, alpha, least)]
+        for size in (1, 3, 64, len(x)):
+            kernel = recursive.Smoother(alpha, least)
+            got = np.concatenate([kernel.run(x[a : a + size], starts[a : a + size]) for a in range(0, len(x), size)])
+            assert np.allclose(got, want, rtol=1e-9, equal_nan=True)
