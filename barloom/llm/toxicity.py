@@ -2,7 +2,8 @@
 
 Each class, toxic and ordinary, has a model of a character after the five before it in its word. Both back off to one
 interpolated Kneser-Ney model of the two classes' texts (orders 6 to 1, continuation counts below the top), so that
-what a class has not shown often weighs little. A word's evidence is the difference of its two log-likelihoods. A document's score comes
+what a class has not shown often weighs little. A word's evidence is the difference of its two log-likelihoods; a character
+that neither class has shown after what is before it counts only against the toxic class, so that new words are not held against a document. A document's score comes
 from the difference over the whole text, normalised by its length, and over its three most telling words, through
 a logistic curve fitted on labelled documents that the models in question had not seen.
 
@@ -184,7 +185,7 @@ def shared_model(counted: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(key, r): log p(toxic) - log p(ordinary) for n-grams, and for what is unseen after histories.
+    """(key, r): log p(toxic) - log p(ordinary) for n-grams, and for what is unseen after histories, 0 at most.
 
     r holds the ratio by the models of all folds, then by those without each fold. Keys are those of ``gram_keys``.
     """
@@ -210,8 +211,14 @@ def class_ratios(counted: DataFrame, order: int = ORDER) -> DataFrame:
     def rest(m: int, y: int) -> Column:
         return F.when(F.col(f"n{m}{y}") > 0, F.col(f"d{m}{y}") / F.col(f"n{m}{y}")).otherwise(1.0)
 
-    ratio = lambda f: F.array(*((F.log(f(m, 1)) - F.log(f(m, 0))).cast("float") for m in models)).alias("r")
-    return rows.select("key", ratio(p)).union(known.select(F.col("h_key").alias("key"), ratio(rest)))
+    def unseen(m: int) -> Column:
+        return F.least(F.log(rest(m, 1)) - F.log(rest(m, 0)), F.lit(0.0))
+
+    def seen(m: int) -> Column:  # without a fold, what only that fold has shown is unseen
+        return F.when(count(m, 0) + count(m, 1) > 0, F.log(p(m, 1)) - F.log(p(m, 0))).otherwise(unseen(m))
+
+    ratios = lambda f: F.array(*(f(m).cast("float") for m in models)).alias("r")
+    return rows.select("key", ratios(seen)).union(known.select(F.col("h_key").alias("key"), ratios(unseen)))
 
 
 class _Evidence:
