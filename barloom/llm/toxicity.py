@@ -41,7 +41,7 @@ BROADCAST_ROWS = 1_000_000
 #: n-grams and histories of a model up to this many rows are broadcast, 12 bytes each.
 BROADCAST_GRAMS = 1 << 23
 #: Words that a task counts, or a worker remembers, at once.
-_HELD = 300_000
+_HELD = 100_000
 _LEARNT = 20_000
 #: Odd numbers that spread the characters of an n-gram over 64 bits, the last character's first.
 _SPREAD = np.random.default_rng(17).integers(1 << 62, 1 << 63, ORDER, dtype=np.uint64) | np.uint64(1)
