@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity
+from . import lines, manifest, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity
 from .common import materialize, read, word_count
 
 
@@ -57,6 +57,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    claimed = manifest.leaf(*(F.col(n) + 1 if n == "n_chars" else F.col(n) for n in names))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = manifest.manifest(read(spark, sf_dir, "documents"), names, "lang", "doc_id", claims=F.when(tampered, claimed))
+    return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_page_differencing": op8_html_page_differencing,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: DuckDB's edit distance counts bytes: letters of two bytes are made one byte that no text holds.
@@ -82,6 +91,36 @@ near AS (SELECT DISTINCT b.line FROM f a JOIN f b ON a.n BETWEEN b.n - 2 AND b.n
 k AS (SELECT l.*, f.line IS NOT NULL AND (f.first <> {{'d': l.doc_id, 'p': l.pos}} OR near.line IS NOT NULL) AS gone FROM l LEFT JOIN f USING (line) LEFT JOIN near USING (line))
 SELECT doc_id, count(*) AS n_lines, CAST(count_if(gone) AS BIGINT) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id"""
 
+#: Unsigned crc32 of a decimal number, a byte at a time; the constant is the checksum's reversed polynomial.
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda a, c: list_reduce(range(8), lambda b, k: CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END, xor(a, c)), 4294967295::BIGINT))"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ["doc_id", "source", "lang", n_chars, "text"]
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode(CAST({v} AS VARCHAR))) || ':' || CAST({v} AS VARCHAR), '-')" for v in values) + ")"
+
+
+def _tree_sql(name: str, leaves: str, group: str) -> str:
+    """name: nodes (group, level, i, h, n) up to the last one of each group."""
+    return f"""{name} AS (SELECT {group} AS g, 0 AS level, i, h, n FROM {leaves} UNION ALL
+  SELECT g, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM {name} WHERE n > 1 GROUP BY g, level, i // 2)"""
+
+
+OP11_SQL = f"""WITH RECURSIVE d AS (SELECT doc_id, lang, {_leaf_sql('n_chars')} AS h, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf_sql('n_chars + 1')} END AS claim FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM d), {_tree_sql('t', 'l', 'lang')},
+s AS (SELECT g AS lang, h, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1), {_tree_sql('u', 's', '0')},
+f AS (SELECT doc_id, l.i AS leaf_i, l.lang, 0 AS tree, 0 AS level, l.i AS i, l.n AS n, coalesce(claim, h) AS acc, '' AS proof FROM l UNION ALL
+  SELECT f.doc_id, f.leaf_i, f.lang, CASE WHEN f.n > 1 THEN f.tree ELSE 1 END, CASE WHEN f.n > 1 THEN f.level + 1 ELSE 0 END, CASE WHEN f.n > 1 THEN f.i // 2 ELSE s.i END,
+    CASE WHEN f.n > 1 THEN (f.n + 1) // 2 ELSE s.n END, CASE WHEN f.n = 1 THEN f.acc WHEN f.i % 2 = 0 THEN sha256(f.acc || coalesce(x.h, y.h, '')) ELSE sha256(coalesce(x.h, y.h) || f.acc) END,
+    f.proof || CASE WHEN f.n > 1 THEN coalesce(x.h, y.h, '') ELSE '' END
+  FROM f JOIN s ON s.lang IS NOT DISTINCT FROM f.lang
+  LEFT JOIN t x ON f.tree = 0 AND x.g IS NOT DISTINCT FROM f.lang AND x.level = f.level AND x.i = xor(f.i, 1) LEFT JOIN u y ON f.tree = 1 AND y.level = f.level AND y.i = xor(f.i, 1)
+  WHERE f.n > 1 OR f.tree = 0)
+SELECT f.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = r.h AS verified
+FROM f JOIN l ON l.lang IS NOT DISTINCT FROM f.lang AND l.i = f.leaf_i JOIN s ON s.lang IS NOT DISTINCT FROM f.lang JOIN (SELECT h FROM u WHERE n = 1) r ON true WHERE f.tree = 1 AND f.n = 1"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op11_merkle_manifest": OP11_SQL,
 }
