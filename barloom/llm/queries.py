@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, manifest, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity
+from . import importance, lines, manifest, media, mixing, packing, pages, quantise, repair, simhash, substrings, toxicity, warc
 from .common import materialize, read, word_count
 
 
@@ -65,6 +65,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.index(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_warc_archives": op12_warc_archives,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: DuckDB's edit distance counts bytes: letters of two bytes are made one byte that no text holds.
@@ -120,7 +131,15 @@ f AS (SELECT doc_id, l.i AS leaf_i, l.lang, 0 AS tree, 0 AS level, l.i AS i, l.n
 SELECT f.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.acc AS folded_root, f.acc = r.h AS verified
 FROM f JOIN l ON l.lang IS NOT DISTINCT FROM f.lang AND l.i = f.leaf_i JOIN s ON s.lang IS NOT DISTINCT FROM f.lang JOIN (SELECT h FROM u WHERE n = 1) r ON true WHERE f.tree = 1 AND f.n = 1"""
 
+#: Base32 takes five bits of the digest a letter: four letters for each five hex digits.
+OP12_SQL = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(((('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INTEGER), 5))::INTEGER >> CAST(15 - i % 4 * 5 AS INTEGER)) & 31) + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
     "op11_merkle_manifest": OP11_SQL,
+    "op12_warc_archives": OP12_SQL,
 }
