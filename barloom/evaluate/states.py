@@ -11,6 +11,10 @@ from .ic import rolling_ic, time_series_ic
 from .pairs import need_columns, pair_table
 
 
+#: Decimal places of a coefficient that count for its sign.
+SIGN_PLACES = 12
+
+
 def state_rows(df: DataFrame, feature: str, target: str) -> DataFrame:
     """(state, x, y): off and on for features with two values at most (the larger is on), else low, neutral and high by terciles.
 
@@ -64,9 +68,12 @@ def overall_mean(df: DataFrame, target: str) -> DataFrame:
 
 
 def rolling_ic_panels(df: DataFrame, feature: str, target: str, window: int, method: str = "spearman") -> tuple[DataFrame, DataFrame]:
-    """Rolling coefficients, and (symbol, full_ic, windows, share_same_sign): how many windows have the sign of the whole sample."""
+    """Rolling coefficients, and (symbol, full_ic, windows, share_same_sign): how many windows have the sign of the whole sample.
+
+    Signs are those of coefficients rounded to ``SIGN_PLACES``: what is left of a zero by rounding errors has none.
+    """
     rolling = rolling_ic(df, feature, target, window, method)
     full = time_series_ic(df, feature, target, method, 2).withColumnRenamed("ic", "full_ic")
-    same = (F.signum("ic") == F.signum("full_ic")).cast("double")
+    same = (F.signum(F.round("ic", SIGN_PLACES)) == F.signum(F.round("full_ic", SIGN_PLACES))).cast("double")
     share = rolling.join(full, "symbol").groupBy("symbol").agg(F.max("full_ic").alias("full_ic"), F.count("*").alias("windows"), F.avg(same).alias("share_same_sign"))
     return rolling, share

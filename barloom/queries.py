@@ -333,9 +333,9 @@ NUMBERED_PAIRS = f"{PAIRS}, num AS (SELECT *, row_number() OVER ({BY_SYMBOL}) AS
 _query("rolling_ic_pearson", f"WITH {NUMBERED_PAIRS} SELECT symbol, t AS {_T}, round({CORR}, 6) AS ic FROM win GROUP BY symbol, t HAVING {CORR} IS NOT NULL")(
     lambda s, d: rolling_ic(_frame(s, d), X, Y, 20, "pearson")
 )
-ROLLING = f"SELECT symbol, t AS {_T}, {CORR} AS ic FROM {_ranks('win', 'symbol, t')} GROUP BY symbol, t HAVING {CORR} IS NOT NULL"
+ROLLING = f"SELECT symbol, t AS {_T}, round({CORR}, 12) AS ic FROM {_ranks('win', 'symbol, t')} GROUP BY symbol, t HAVING {CORR} IS NOT NULL"
 _query("rolling_ic_spearman", f"WITH {NUMBERED_PAIRS} SELECT symbol, {_T}, round(ic, 6) AS ic FROM ({ROLLING})")(lambda s, d: rolling_ic(_frame(s, d), X, Y, 20))
-_query("rolling_ic_share", f"""WITH {NUMBERED_PAIRS}, roll AS ({ROLLING}), whole AS (SELECT symbol, {CORR} AS full_ic FROM {_ranks('pairs', 'symbol')} GROUP BY 1)
+_query("rolling_ic_share", f"""WITH {NUMBERED_PAIRS}, roll AS ({ROLLING}), whole AS (SELECT symbol, round({CORR}, 12) AS full_ic FROM {_ranks('pairs', 'symbol')} GROUP BY 1)
 SELECT symbol, round(max(full_ic), 6) AS full_ic, count(*) AS windows, round(avg(CASE WHEN sign(ic) = sign(full_ic) THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_same_sign
 FROM roll JOIN whole USING (symbol) GROUP BY 1""")(lambda s, d: rolling_ic_panels(_frame(s, d), X, Y, 20)[1])
 _query("ic_summary", f"""WITH {PAIRS}, ics AS (SELECT round({CORR}, 12) AS ic FROM {_ranks('pairs', _T)} GROUP BY {_T} HAVING count(*) >= 5)
