@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
 from typing import Any
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,20 +49,36 @@ def check_names(names: list[str]) -> None:
         raise ValueError(f"Duplicate feature column name: {twice}")
 
 
-def compute_features(df: DataFrame, config: dict[str, Any] | None, on_infinite: str = "raise") -> DataFrame:
+#: Bars of one symbol that a task holds at most.
+ROWS_PER_TASK = 1 << 20
+#: Bytes of a bar; tables that the planner thinks smaller than a task's bars are not counted.
+_BAR_BYTES = 56
+
+
+def compute_features(df: DataFrame, config: dict[str, Any] | None, on_infinite: str = "raise", rows_per_task: int | None = None) -> DataFrame:
     """(symbol, timestamp, features in config order); one row for each bar.
 
     ``config`` is a whole configuration or its features table. Windows never leave a symbol, nor a
     day with reset_by_session. Infinite values raise when the result is computed, or become null with
     ``on_infinite="null"``. Rows without symbol or timestamp keep null features.
+
+    A symbol with more than ``rows_per_task`` bars (``ROWS_PER_TASK`` by default) is cut into stretches of time that tasks compute each by itself, with
+    the same results; the bars are then sorted by symbol and time and written to the shared folder first, when this is called.
     """
     features = (config or {}).get("features", config) or {}
     resolved = [resolve_feature(item) for item in selected_feature_configs(features)]
-    return apply_features(df, resolved, bool(features.get("reset_by_session", False)), on_infinite)
+    return apply_features(df, resolved, bool(features.get("reset_by_session", False)), on_infinite, rows_per_task)
+
+
+def _has_long_groups(bars: DataFrame, rows: int) -> bool:
+    """Whether a symbol has more bars than ``rows``; counted in a pass of its own where the table may be so large."""
+    if bars._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < rows * _BAR_BYTES:
+        return False
+    return (bars.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > rows
 
 
 def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[str, Any]]], reset_by_session: bool = False,
-                   on_infinite: str = "raise") -> DataFrame:
+                   on_infinite: str = "raise", rows_per_task: int | None = None) -> DataFrame:
     names = [name for name, _, _ in resolved]
     check_names(names)
     missing = [c for c in COLUMNS if c not in df.columns]
@@ -74,22 +88,20 @@ def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[st
     bars = df.select("symbol", "timestamp", *(number(F.col(c)).alias(c) for c in NUMBERS))
     if reset_by_session:
         bars = bars.withColumn("__day", F.to_date("timestamp"))
-    group = Group(keys)
-    columns, streams, frames = {}, {}, {}
+    rows = ROWS_PER_TASK if rows_per_task is None else rows_per_task
+    long = not reset_by_session and any(s.kind != "frame" for _, s, _ in resolved) and _has_long_groups(bars, rows)
+    group = Group(keys, rows if long else None)
+    columns, frames = {}, {}
     for name, spec, params in resolved:
         values = spec.check(params)
-        if spec.kind == "column":
-            columns[name] = spec.function(group, **values)
-        elif spec.kind == "recursive":
-            streams[name] = (spec, values)
-        else:
+        if spec.kind == "frame":
             frames[name] = (spec, params)
+        else:
+            columns[name] = spec.function(group, **values)
     known = F.col("symbol").isNotNull()
     out = group.apply(bars)
-    passed = list(dict.fromkeys(["symbol", "timestamp", *keys, *(NUMBERS if streams or frames else ())]))
+    passed = list(dict.fromkeys(["symbol", "timestamp", *keys, *(NUMBERS if frames else ())]))
     out = out.select(*passed, *(_bounded(F.when(known, c), n, on_infinite).alias(_inner(n)) for n, c in columns.items()))
-    if streams:
-        out = _stream(out, keys, streams)
     if frames:
         out = _frames(out, keys, frames, on_infinite)
     return out.select("symbol", "timestamp", *(F.col(_inner(n)).alias(n) for n in names))
@@ -106,35 +118,6 @@ def _bounded(column, name: str, on_infinite: str):
     return F.when(infinite, bad).otherwise(column)
 
 
-def _stream(df: DataFrame, keys: list[str], streams: dict[str, tuple[FeatureSpec, dict]]) -> DataFrame:
-    """Add the recursive columns: groups pass in time order, a batch of bars at once."""
-    columns = df.columns
-    at = {c: columns.index(c) for c in (*keys, "high", "low", "close")}
-    names = list(streams)
-
-    def run(batches):
-        kernels = [spec.function(**params) for spec, params in streams.values()]
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            starts = np.zeros(batch.num_rows, bool)
-            for k in keys:
-                code = batch.column(at[k]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                starts[1:] |= code[1:] != code[:-1]
-            first, now = ([batch.column(at[k])[i].as_py() for k in keys] for i in (0, batch.num_rows - 1))
-            starts[0], last = first != last, now
-            bars = [batch.column(at[c]).to_numpy(zero_copy_only=False).astype(float) for c in ("high", "low", "close")]
-            none = batch.column(at[keys[0]]).is_null().to_numpy(zero_copy_only=False)
-            rows = [np.where(none, math.nan, k.run(*bars, starts)) for k in kernels]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, mask=np.isnan(c)) for c in rows)], [*columns, *map(_inner, names)])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    added = ", ".join(f"`{_inner(n)}` double" for n in names)
-    bars = df.withColumns({c: F.col(c).cast("double") for c in ("high", "low", "close")})
-    return bars.repartition(*keys).sortWithinPartitions(*keys, "timestamp").mapInArrow(run, f"{fields}, {added}")
-
-
 def check_output(name: str, result: Any, frame: pd.DataFrame) -> pd.Series:
     """A frame feature's result if it keeps the contract, else an error that names the column."""
     if not isinstance(result, pd.Series):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .registry import Group, register
@@ -12,12 +12,12 @@ def _c() -> Column:
     return F.col("close")
 
 
-def _previous(g: Group) -> Column:
-    return g.shared(1, "previous_close", lambda: F.lag("close").over(g.window))
+def previous_close(g: Group) -> Column:
+    return g.shared(1, "previous_close", lambda: g.lag("close", 1))
 
 
 def _log_return(g: Group) -> Column:
-    return g.shared(1, "log_return", lambda: F.ln(F.try_divide(_c(), F.lag("close").over(g.window))))
+    return g.shared(1, "log_return", lambda: F.ln(F.try_divide(_c(), g.lag("close", 1))))
 
 
 def _mean_close(g: Group, window: int) -> Column:
@@ -26,10 +26,9 @@ def _mean_close(g: Group, window: int) -> Column:
 
 def _vwap(g: Group) -> Column:
     def build() -> Column:
-        upto = g.window.rowsBetween(Window.unboundedPreceding, 0)
         traded = (F.col("high") + F.col("low") + F.col("close")) / 3 * F.col("volume")
-        total = F.when(F.col("volume").isNotNull(), F.sum("volume").over(upto))
-        return F.when(traded.isNotNull(), F.try_divide(F.sum(traded).over(upto), total))
+        total = F.when(F.col("volume").isNotNull(), g.running("volume", F.col("volume")))
+        return F.when(traded.isNotNull(), F.try_divide(g.running("traded", traded), total))
 
     return g.shared(1, "vwap", build)
 
@@ -41,12 +40,12 @@ def log_return(g: Group) -> Column:
 
 @register("returns", 1, "Relative change of the close since the bar before.", "close / previous close - 1")
 def simple_return(g: Group) -> Column:
-    return F.try_divide(_c(), _previous(g)) - 1
+    return F.try_divide(_c(), previous_close(g)) - 1
 
 
 @register("target", 0, "Return over the bars to come.", "close in `bars` bars / close - 1", defaults={"bars": 1})
 def next_n_bar_return(g: Group, bars: int) -> Column:
-    ahead = g.shared(1, f"close_in_{bars}", lambda: F.lead("close", bars).over(g.window))
+    ahead = g.shared(1, f"close_in_{bars}", lambda: g.lead("close", bars))
     return F.try_divide(ahead, _c()) - 1
 
 
@@ -68,7 +67,7 @@ def price_vs_moving_average(g: Group, window: int) -> Column:
 
 @register("trend", lambda p: p["periods"], "Relative change of the close over several bars.", "close / close `periods` bars ago - 1", defaults={"periods": 20})
 def rate_of_change(g: Group, periods: int) -> Column:
-    ago = g.shared(1, f"close_{periods}_ago", lambda: F.lag("close", periods).over(g.window))
+    ago = g.shared(1, f"close_{periods}_ago", lambda: g.lag("close", periods))
     return F.try_divide(_c(), ago) - 1
 
 
@@ -97,7 +96,7 @@ def dollar_volume(g: Group) -> Column:
 
 @register("volume", 1, "Relative change of the volume since the bar before; infinite after an empty bar.", "volume / previous volume - 1")
 def volume_change(g: Group) -> Column:
-    before = g.shared(1, "previous_volume", lambda: F.lag("volume").over(g.window))
+    before = g.shared(1, "previous_volume", lambda: g.lag("volume", 1))
     rose = (before == 0) & (F.col("volume") > 0)
     return F.when(rose, F.lit(float("inf"))).otherwise(F.try_divide(F.col("volume"), before) - 1)
 

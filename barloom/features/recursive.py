@@ -1,150 +1,59 @@
-"""The features with a first-order recursion, as kernels that stream over groups in time order.
-
-A kernel takes a batch of bars at once and keeps a few numbers from batch to batch, so a group of any length
-passes in bounded memory. Within a batch the recursion is solved by doubling: y[t] = a[t] y[t-1] + b[t] is put in terms
-of y[t-1], y[t-2], y[t-4] and so on, for all groups of the batch together.
-"""
+"""The features with a first-order recursion: exponential means of columns, put together by row expressions."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-
-from .registry import register
-
-
-def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """y[t] = a[t] y[t-1] + b[t] with y[-1] = 0."""
-    a, y, step = a.copy(), b.copy(), 1
-    while step < len(y):
-        y[step:] += a[step:] * y[:-step]
-        a[step:] *= a[:-step]
-        a[:step] = 0
-        step *= 2
-    return y
-
-
-def before(x: np.ndarray, starts: np.ndarray, last: float) -> np.ndarray:
-    """The value of the row before in the same group, ``last`` that of the batch before."""
-    out = np.concatenate([[last], x[:-1]])
-    out[starts] = math.nan
-    return out
-
-
-class Smoother:
-    """Exponential smoothing: y moves to each value by ``alpha``, missing values fade the weight of what was before.
-
-    Null until ``least`` values have come.
-    """
-
-    def __init__(self, alpha: float, least: int):
-        self.alpha, self.least = alpha, least
-        #: The last mean, rows since its value, values so far.
-        self.mean, self.gap, self.seen = math.nan, 0, 0
-
-    def run(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The means of a batch; ``starts`` marks the first row of each group, rows before one go on from the batch before."""
-        if not len(x):
-            return x
-        group = np.cumsum(starts)
-        if starts[0]:
-            self.mean, self.gap, self.seen = math.nan, 0, 0
-        at = np.flatnonzero(~np.isnan(x))
-        own = group[at]
-        goes_on = np.concatenate([[len(at) > 0 and self.seen > 0 and own[0] == group[0]], own[1:] == own[:-1]])[: len(at)]
-        gaps = np.concatenate([[at[0] + 1 + self.gap], np.diff(at)]) if len(at) else at
-        faded = (1 - self.alpha) ** gaps
-        part = np.where(goes_on, self.alpha / (faded + self.alpha), 1.0)
-        part = np.where(goes_on & (gaps == 1), self.alpha, part)
-        a, b = np.where(goes_on, 1 - part, 0.0), part * x[at]
-        if len(at) and goes_on[0]:
-            b[0] += a[0] * self.mean
-        y = solve(a, b)
-        # each row has the mean of the last value in its group
-        count = np.cumsum(~np.isnan(x))
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        base = np.concatenate([[0], count])[first][np.searchsorted(first, np.arange(len(x)), side="right") - 1]
-        of_group = count - base
-        seen = of_group + np.where(group == group[0], self.seen, 0)
-        out = np.where(of_group > 0, np.concatenate([[math.nan], y])[count], np.where(group == group[0], self.mean, math.nan))
-        last = group == group[-1]
-        if of_group[-1]:
-            self.gap = len(x) - 1 - int(at[-1])
-        else:
-            self.gap = self.gap + len(x) if last[0] else 0
-        self.mean, self.seen = float(out[-1]), int(seen[-1])
-        return np.where(seen >= self.least, out, math.nan)
-
-
-def ema(span: int) -> Smoother:
-    return Smoother(2 / (span + 1), span)
-
-
-def wilder(window: int) -> Smoother:
-    return Smoother(1 / window, window)
-
-
-class _Rsi:
-    def __init__(self, window: int):
-        self.up, self.down, self.last = wilder(window), wilder(window), math.nan
-
-    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        change = close - before(close, starts, self.last)
-        self.last = close[-1]
-        gain, loss = self.up.run(np.maximum(change, 0), starts), self.down.run(np.maximum(-change, 0), starts)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.where(loss == 0, 100.0, 100 - 100 / (1 + gain / loss))
-        return np.where(np.isnan(gain) | np.isnan(loss) | (gain == 0) & (loss == 0), math.nan, out)
-
-
-class _Atr:
-    def __init__(self, window: int):
-        self.mean, self.last = wilder(window), math.nan
-
-    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        previous = before(close, starts, self.last)
-        self.last = close[-1]
-        return self.mean.run(np.fmax(np.fmax(high - low, np.abs(high - previous)), np.abs(low - previous)), starts)
-
-
-class _Macd:
-    def __init__(self, part: str, fast: int, slow: int, signal: int = 1):
-        self.part, self.fast, self.slow, self.signal = part, ema(fast), ema(slow), ema(signal)
-
-    def run(self, high: np.ndarray, low: np.ndarray, close: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        line = self.fast.run(close, starts) - self.slow.run(close, starts)
-        if self.part == "line":
-            return line
-        signal = self.signal.run(line, starts)
-        return signal if self.part == "signal" else line - signal
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+from ..schema import number
+from .columns import previous_close
+from .registry import Group, register
 
 _SPANS = {"fast": 12, "slow": 26}
 
 
+def wilder(g: Group, key: str, value: Column, window: int) -> Column:
+    return g.smoothed(1, f"{key}_{window}", value, 1 / window, window)
+
+
+def ema(g: Group, key: str, value: Column, span: int, stage: int = 1) -> Column:
+    return g.smoothed(stage, f"{key}_{span}", value, 2 / (span + 1), span)
+
+
+def _line(g: Group, fast: int, slow: int) -> Column:
+    return number(ema(g, "ema", F.col("close"), fast) - ema(g, "ema", F.col("close"), slow))
+
+
+def _signal(g: Group, fast: int, slow: int, signal: int) -> Column:
+    return ema(g, f"signal_{fast}_{slow}", _line(g, fast, slow), signal, 2)
+
+
 @register("trend", lambda p: p["window"], "Relative strength index from 0 to 100.", "100 - 100 / (1 + mean gain / mean loss), both smoothed by 1 / `window`",
           "recursive", {"window": 14}, {"window": 2})
-def relative_strength_index(window: int):
-    return _Rsi(window)
+def relative_strength_index(g: Group, window: int) -> Column:
+    change = number(F.col("close") - previous_close(g))
+    up, down = (wilder(g, key, F.when(change.isNotNull(), F.greatest(sign * change, F.lit(0.0))), window) for key, sign in (("gain", F.lit(1)), ("loss", F.lit(-1))))
+    strength = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(up, down))
+    return number(F.when((up == 0) & (down == 0), None).when(down == 0, F.when(up.isNotNull(), 100.0)).otherwise(strength))
 
 
 @register("trend", lambda p: p["slow"], "Fast minus slow exponential mean of the close.", "EMA(`fast`) - EMA(`slow`)", "recursive", _SPANS)
-def macd_line(fast: int, slow: int):
-    return _Macd("line", fast, slow)
+def macd_line(g: Group, fast: int, slow: int) -> Column:
+    return _line(g, fast, slow)
 
 
 @register("trend", lambda p: p["slow"] + p["signal"], "Exponential mean of the MACD line.", "EMA(`signal`) of the MACD line", "recursive", _SPANS | {"signal": 9})
-def macd_signal(fast: int, slow: int, signal: int):
-    return _Macd("signal", fast, slow, signal)
+def macd_signal(g: Group, fast: int, slow: int, signal: int) -> Column:
+    return _signal(g, fast, slow, signal)
 
 
 @register("trend", lambda p: p["slow"] + p["signal"], "MACD line minus its signal.", "MACD line - MACD signal", "recursive", _SPANS | {"signal": 9})
-def macd_histogram(fast: int, slow: int, signal: int):
-    return _Macd("histogram", fast, slow, signal)
+def macd_histogram(g: Group, fast: int, slow: int, signal: int) -> Column:
+    return number(_line(g, fast, slow) - _signal(g, fast, slow, signal))
 
 
 @register("volatility", lambda p: p["window"], "Smoothed true range.", "true range smoothed by 1 / `window`; true range: the largest of high - low and both distances to the previous close",
           "recursive", {"window": 14}, {"window": 2})
-def average_true_range(window: int):
-    return _Atr(window)
+def average_true_range(g: Group, window: int) -> Column:
+    before, high, low = previous_close(g), F.col("high"), F.col("low")
+    return wilder(g, "true_range", F.greatest(number(high - low), number(F.abs(high - before)), number(F.abs(low - before))), window)

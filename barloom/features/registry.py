@@ -1,6 +1,6 @@
 """What a feature is, and the catalogue of all of them.
 
-Column features build a Spark column from a ``Group``. Recursive features name a streaming kernel. Frame
+Column features build a Spark column from a ``Group``, recursive ones from columns that it smooths. Frame
 features are pandas functions of one group's bars, for what neither can express.
 """
 
@@ -13,6 +13,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import placed
+from .smoothing import smooth_columns
+
 Lookback = int | Callable[[dict[str, Any]], int]
 
 
@@ -52,38 +55,105 @@ class FeatureSpec:
 FEATURES: dict[str, FeatureSpec] = {}
 
 
+#: Columns of rows that stand in for a stretch's neighbours.
+HALO, STRETCH = "__halo", "__stretch"
+
+
 class Group:
     """Windows over one isolation group and the columns that several features share.
 
     ``shared`` registers a column under a key; columns of layer 1 use the bars, those of layer 2 the bars and layer
-    1. Each layer is one select, so a value that several features need is computed once.
+    1. Each layer is one select, so a value that several features need is computed once. Smoothed columns come after the layers, those of
+    stage 2 after those of stage 1. With ``length`` a group is cut into stretches of so many bars, each with as many bars of its
+    neighbours as the windows reach, so that a group of any size lies over many tasks.
     """
 
-    def __init__(self, keys: list[str]):
-        self.keys = keys
-        self.window = Window.partitionBy(*keys).orderBy("timestamp")
+    def __init__(self, keys: list[str], length: int | None = None):
+        self.keys = keys if length is None else [*keys, STRETCH]
+        self.window = Window.partitionBy(*self.keys).orderBy("timestamp")
         self.layers: dict[int, dict[str, Column]] = {1: {}, 2: {}}
+        self.smoothers: dict[int, dict[str, tuple[Column, float, int]]] = {1: {}, 2: {}}
+        self.sums: dict[str, Column] = {}
+        self.length, self._layer, self._reach = length, 1, {1: [0, 0], 2: [0, 0]}
+
+    def _reaches(self, first: int, last: int) -> None:
+        reach = self._reach[self._layer]
+        reach[:] = max(reach[0], -first), max(reach[1], last)
 
-    def rows(self, first: int, last: int):
-        return self.window.rowsBetween(first, last)
+    def lag(self, value: str, bars: int) -> Column:
+        self._reaches(-bars, 0)
+        return F.lag(value, bars).over(self.window)
+
+    def lead(self, value: str, bars: int) -> Column:
+        self._reaches(0, bars)
+        return F.lead(value, bars).over(self.window)
 
     def shared(self, layer: int, key: str, build: Callable[[], Column]) -> Column:
         name = f"__{key}"
         if name not in self.layers[layer]:
+            self._layer = layer
             self.layers[layer][name] = build()
         return F.col(name)
 
     def full(self, value: Column, statistic: Column, first: int, last: int) -> Column:
         """A statistic over a row frame, null until every row of the frame has a value."""
-        frame = self.rows(first, last)
+        self._reaches(first, last)
+        frame = self.window.rowsBetween(first, last)
         return F.when(F.count(value).over(frame) == last - first + 1, statistic.over(frame))
 
+    def running(self, key: str, value: Column) -> Column:
+        """The sum of all values so far, null before the first one."""
+        upto = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        if self.length is None:
+            return F.sum(value).over(upto)
+        name = f"__before_{key}"
+        self.sums[name] = value
+        own, before = F.sum(F.when(~F.col(HALO), value)).over(upto), F.col(name)
+        return F.when(own.isNull(), before).otherwise(own + F.coalesce(before, F.lit(0.0)))
+
+    def smoothed(self, stage: int, key: str, value: Column, alpha: float, least: int) -> Column:
+        """The exponential mean of a row expression; of stage 2 if it uses smoothed columns."""
+        self.smoothers[stage].setdefault(f"__smooth_{key}", (value, alpha, least))
+        return F.col(f"__smooth_{key}")
+
     def apply(self, df: DataFrame) -> DataFrame:
+        if self.length is not None:
+            df = self._cut(df)
+        smooth = self.smoothers[1] or self.smoothers[2]
+        if smooth:
+            first = F.row_number().over(self.window) == 1 if self.length is None else F.col("_place") % F.col("__length") == 0
+            self.layers[1]["__start"] = first
         for layer in (1, 2):
             if self.layers[layer]:
                 df = df.select("*", *(c.alias(n) for n, c in self.layers[layer].items()))
+        if self.length is not None:
+            df = df.filter(~F.col(HALO))
+        for stage in (1, 2):
+            if self.smoothers[stage]:
+                df = smooth_columns(df, self.keys, self.smoothers[stage], self.length is not None)
         return df
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        """Bars by stretch: a stretch's own, and as halo those of its neighbours that its windows reach."""
+        back, ahead = (self._reach[1][i] + self._reach[2][i] for i in (0, 1))
+        length = max(self.length, back, ahead)
+        bars = placed(df, self.keys[:-1], ["timestamp"], "bars").withColumn("__length", F.lit(length).cast("long"))
+        own, at = F.call_function("div", F.col("_place"), F.col("__length")), F.col("_place") % length
+        after = F.when((at >= length - back) & ((own + 1) * length < F.col("_count")), own + 1)
+        before = F.when((at < ahead) & (own > 0), own - 1)
+        number = lambda c, halo: F.when(c.isNotNull(), F.struct(c.alias(STRETCH), F.lit(halo).alias(HALO)))
+        bars = bars.select("*", F.inline(F.array_compact(F.array(number(own, False), number(after, True), number(before, True)))))
+        if not self.sums:
+            return bars
+        totals = bars.filter(~F.col(HALO)).groupBy(*self.keys).agg(*(F.sum(v).alias(n) for n, v in self.sums.items()))
+        upto = Window.partitionBy(*self.keys[:-1]).orderBy(STRETCH).rowsBetween(Window.unboundedPreceding, -1)
+        sums = totals.select(*(F.col(k).alias(f"_c{k}") for k in self.keys), *(F.sum(n).over(upto).alias(n) for n in self.sums))
+        same = F.lit(True)
+        for k in self.keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_c{k}"))
+        # a halo at the end of a stretch may be the only bars of it that are left
+        return bars.join(sums, same, "left").drop(*(f"_c{k}" for k in self.keys))
+
 
 def register(category: str, lookback: Lookback, description: str, calculation: str, kind: str = "column",
              defaults: dict[str, int] | None = None, minimum: dict[str, int] | None = None):

@@ -175,7 +175,7 @@ def test_recursions_in_batches_equal_one_bar_at_a_time():
 
     import numpy as np
 
-    from barloom.features import recursive
+    from barloom.features import smoothing
 
     rng = random.Random(43)
     groups = [[rng.uniform(1, 9) if rng.random() > 0.2 else math.nan for _ in range(rng.choice([1, 2, 3, 40, 200]))] for _ in range(30)]
@@ -196,6 +196,68 @@ def test_recursions_in_batches_equal_one_bar_at_a_time():
     for alpha, least in ((2 / 13, 12), (1 / 14, 14), (1.0, 1), (2 / 3, 2)):
         want = [v for g in groups for v in plain(g, alpha, least)]
         for size in (1, 3, 64, len(x)):
-            kernel = recursive.Smoother(alpha, least)
+            kernel = smoothing.Smoother(alpha, least)
             got = np.concatenate([kernel.run(x[a : a + size], starts[a : a + size]) for a in range(0, len(x), size)])
             assert np.allclose(got, want, rtol=1e-9, equal_nan=True)
+
+
+def test_states_between_stretches_equal_one_pass():
+    import math
+
+    from barloom.features import smoothing
+
+    rng = np.random.default_rng(8)
+    for trial in range(40):
+        x = np.where(rng.random(60) < rng.choice([0.05, 0.4, 0.9]), np.nan, rng.normal(size=60))
+        if trial % 4 == 3:
+            x[rng.integers(60, size=3)] = [math.inf, -math.inf, math.inf][trial % 3]
+        starts = np.arange(60) == 0
+        alpha = float(rng.choice([1.0, 0.5, 1 / 14]))
+        want = smoothing.Smoother(alpha, 3).run(x, starts)
+        cuts = [0, *sorted(rng.choice(np.arange(1, 60), 4, replace=False)), 60]
+        state, got = smoothing.BLANK, []
+        for a, b in zip(cuts, cuts[1:]):
+            kernel = smoothing.Smoother(alpha, 3)
+            got.append(kernel.run(x[a:b], np.arange(b - a) == 0, np.array([state])))
+            one = smoothing.Stretch(alpha)
+            for part in np.array_split(x[a:b], 3):
+                one.absorb(part)
+            state = smoothing.after(state, one.numbers(), alpha)
+            assert np.allclose(state, kernel.state, rtol=1e-9, equal_nan=True)
+        assert np.allclose(np.concatenate(got), want, rtol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("length", [7, 40, 10**6])
+def test_one_long_symbol_over_many_tasks(spark, length):
+    rows = walk({"LONG": 500, "SHORT": 3, "MID": 41})
+    rows = [(*r[:5], None if i % 97 == 5 else r[5], None if i % 131 == 7 else r[6]) for i, r in enumerate(rows)]
+    bars = spark.createDataFrame(rows, BAR_SCHEMA).repartition(3)
+    config = {"features": items(*FEATURES)}
+    whole, cut = (
+        compute_features(bars, config, on_infinite="null", rows_per_task=n).toPandas().sort_values(["symbol", "timestamp"], ignore_index=True) for n in (10**6, length)
+    )
+    pd.testing.assert_frame_equal(whole, cut, rtol=1e-9)
+    assert whole.notna().sum().min() > 250
+
+
+@pytest.mark.parametrize("length", [10, 10**6])
+@pytest.mark.parametrize("parts", ["1", "8"])
+def test_infinite_prices_stay_in_their_group(spark, parts, length):
+    rows = walk({"A": 40, "B": 40})
+    rows[3] = (*rows[3][:3], float("inf"), *rows[3][4:])
+    rows[20] = (*rows[20][:5], float("inf"), rows[20][6])
+    names = [n for n, s in FEATURES.items() if s.kind == "recursive"]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        bars = spark.createDataFrame(rows, BAR_SCHEMA)
+        both = compute_features(bars, {"features": items(*names)}, "null", length).toPandas()
+        alone = compute_features(bars.filter("symbol = 'B'"), {"features": items(*names)}, "null", length).toPandas()
+        with pytest.raises(Exception, match="average_true_range: feature produced infinite"):
+            compute_features(bars, {"features": items("average_true_range")}, rows_per_task=length).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    order = ["symbol", "timestamp"]
+    b = both[both.symbol == "B"].sort_values(order, ignore_index=True)
+    pd.testing.assert_frame_equal(b, alone.sort_values(order, ignore_index=True), rtol=1e-12)
+    assert b.average_true_range.notna().sum() == 27 and both[both.symbol == "A"].average_true_range.notna().sum() == 0
