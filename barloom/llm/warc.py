@@ -48,14 +48,17 @@ _CAPTURE = ("run int, key binary, urlkey string, timestamp string, url string, p
 
 def sha1_base32(text: Column) -> Column:
     """The bare upper-case base32 SHA-1 of a text's UTF-8 bytes."""
-    h = F.sha1(text.cast("binary"))
 
-    def letter(i: Column) -> Column:
-        part = F.conv(F.substring(h, F.call_function("div", i, F.lit(4)).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        place = F.call_function("div", part, F.element_at(F.array(*(F.lit(1 << n) for n in (15, 10, 5, 0))), i % 4 + 1)).cast("int") % 32
-        return F.substring(F.lit(BASE32), place + 1, F.lit(1))
+    def letters(h: Column) -> Column:
+        def letter(i: Column) -> Column:
+            part = F.conv(F.substring(h, F.call_function("div", i, F.lit(4)).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
+            place = F.call_function("div", part, F.element_at(F.array(*(F.lit(1 << n) for n in (15, 10, 5, 0))), i % 4 + 1)).cast("int") % 32
+            return F.substring(F.lit(BASE32), place + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+
+    # bound to a variable, or else it would be taken anew for every letter
+    return F.transform(F.array(F.sha1(text.cast("binary"))), letters)[0]
 
 
 def _record_id(page: Column, url: Column, digest: Column) -> Column:
