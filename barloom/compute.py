@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .features import FEATURES, FeatureSpec
 from .features.registry import Group
 from .schema import COLUMNS, IDS, NUMBERS, number
+from .shared import has_long_groups
 
 
 def selected_feature_configs(features: dict[str, Any] | None) -> list[dict[str, Any]]:
@@ -51,8 +52,6 @@ def check_names(names: list[str]) -> None:
 
 #: Bars of one symbol that a task holds at most.
 ROWS_PER_TASK = 1 << 20
-#: Bytes of a bar; tables that the planner thinks smaller than a task's bars are not counted.
-_BAR_BYTES = 56
 
 
 def compute_features(df: DataFrame, config: dict[str, Any] | None, on_infinite: str = "raise", rows_per_task: int | None = None) -> DataFrame:
@@ -70,13 +69,6 @@ def compute_features(df: DataFrame, config: dict[str, Any] | None, on_infinite:
     return apply_features(df, resolved, bool(features.get("reset_by_session", False)), on_infinite, rows_per_task)
 
 
-def _has_long_groups(bars: DataFrame, rows: int) -> bool:
-    """Whether a symbol has more bars than ``rows``; counted in a pass of its own where the table may be so large."""
-    if bars._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < rows * _BAR_BYTES:
-        return False
-    return (bars.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > rows
-
-
 def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[str, Any]]], reset_by_session: bool = False,
                    on_infinite: str = "raise", rows_per_task: int | None = None) -> DataFrame:
     names = [name for name, _, _ in resolved]
@@ -89,7 +81,7 @@ def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[st
     if reset_by_session:
         bars = bars.withColumn("__day", F.to_date("timestamp"))
     rows = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    long = not reset_by_session and any(s.kind != "frame" for _, s, _ in resolved) and _has_long_groups(bars, rows)
+    long = not reset_by_session and any(s.kind != "frame" for _, s, _ in resolved) and has_long_groups(bars, ["symbol"], rows)
     group = Group(keys, rows if long else None)
     columns, frames = {}, {}
     for name, spec, params in resolved:

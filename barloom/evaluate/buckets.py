@@ -7,7 +7,9 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import has_long_groups
 from .pairs import pair_table
+from .places import TASK_ROWS, joined, percentiles
 
 
 def check_quantiles(quantiles: int) -> None:
@@ -15,43 +17,28 @@ def check_quantiles(quantiles: int) -> None:
         raise ValueError("quantiles must be an integer >= 2")
 
 
-#: Groups of more rows have their percentiles looked for in a narrow span of values around each.
-WINDOW_ROWS = 10_000
-_SPAN = 0.001
-
-
 def percentile_table(rows: DataFrame, keys: list[str], value: str, shares: list[float], **more: Column) -> DataFrame:
     """(keys..., more..., p): exact percentiles of each group, by linear interpolation between the sorted values, and other aggregates.
 
-    A percentile aggregate holds a group's values in memory, and a sorted window passes them through one task. Here an approximate
-    percentile, a small sketch, gives a span of values on either side; rows below are counted, and the few values within are
-    sorted. Groups of up to ``WINDOW_ROWS`` rows are sorted whole.
-    """
-    around = [min(1.0, max(0.0, q + side)) for q in shares for side in (-_SPAN, _SPAN)]
-    sketch = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.percentile_approx(value, around, 10_000).alias("_b"), *(c.alias(n) for n, c in more.items()))
-    large = F.col("_n") > WINDOW_ROWS
-    spans = F.array(*(F.struct(
-        F.lit(i).alias("_i"), F.when(large, F.col("_b")[2 * i]).alias("_low"), F.when(large, F.col("_b")[2 * i + 1]).alias("_high"), ((F.col("_n") - 1) * F.lit(q)).alias("_at"),
-    ) for i, q in enumerate(shares)))
-    # one small row a group and percentile; rows below a span count together
-    spread = rows.select(*keys, F.col(value).alias("_v")).join(sketch.select(*keys, *more, spans.alias("_s")), keys).select(*keys, *more, "_v", F.inline("_s"))
-    inside = spread.filter("_high is null or _v <= _high").withColumn("_v", F.when(F.col("_low").isNull() | (F.col("_v") >= F.col("_low")), F.col("_v")))
-    counted = inside.groupBy(*keys, *more, "_i", "_at", "_v").agg(F.count("*").alias("_c"))
-    counted = counted.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy(F.asc_nulls_first("_v"))))
-    low, high = (F.max(F.when((f("_at") < F.col("_upto")) & (f("_at") >= F.col("_upto") - F.col("_c")), F.col("_v"))) for f in (F.floor, F.ceil))
-    found = counted.groupBy(*keys, "_i").agg((low + (high - low) * F.max(F.col("_at") - F.floor("_at"))).alias("_p"), *(F.first(n).alias(n) for n in more))
-    p = F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda x: x["_p"])
-    return found.groupBy(*keys).agg(*(F.first(n).alias(n) for n in more), p.alias("p"))
-
-
-def edge_table(pairs: DataFrame, keys: list[str], quantiles: int) -> DataFrame:
-    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values.
-
-    The values of a symbol are sorted in a window, as its features are; those of all symbols never meet in one task.
+    A percentile aggregate holds a group's values in memory; here equal values are counted first and only places of counts are sorted,
+    over ranges of values where a group has more than ``WINDOW_ROWS`` rows.
     """
+    known = rows.filter(F.col(value).isNotNull())
+    found = percentiles(known, keys, value, shares, has_long_groups(known, keys, WINDOW_ROWS))
+    return joined(rows.groupBy(*keys).agg(*(c.alias(n) for n, c in more.items())), found, keys) if more else found
+
+
+#: Rows of a group whose counted values one task sorts.
+WINDOW_ROWS = TASK_ROWS
+
+
+def edge_table(pairs: DataFrame, keys: list[str], quantiles: int, long: bool | None = None) -> DataFrame:
+    """(keys..., edges): inner quantile edges by linear interpolation between the sorted values."""
     shares = [i / quantiles for i in range(1, quantiles)]
-    if "symbol" not in keys:
-        return percentile_table(pairs, keys, "x", shares).withColumnRenamed("p", "edges")
+    if long is None:
+        long = has_long_groups(pairs, keys, WINDOW_ROWS)
+    if long or "symbol" not in keys:
+        return percentiles(pairs, keys, "x", shares, long).withColumnRenamed("p", "edges")
     place = Window.partitionBy(*keys).orderBy("x")
     ranked = pairs.select(*keys, "x", F.row_number().over(place).alias("rn"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     edges = []
@@ -68,11 +55,12 @@ def bucketed(pairs: DataFrame, quantiles: int, by_symbol: bool = True) -> DataFr
     check_quantiles(quantiles)
     keys = ["feature", "symbol"] if by_symbol else ["feature"]
     number = 1 + F.size(F.filter("edges", lambda e: F.col("x") > e))
-    placed = pairs.join(edge_table(pairs, keys, quantiles), keys).withColumn("_bucket", number).drop("edges")
-    if by_symbol:
+    long = has_long_groups(pairs, keys, WINDOW_ROWS)
+    placed = joined(pairs, edge_table(pairs, keys, quantiles, long), keys).withColumn("_bucket", number).drop("edges")
+    if by_symbol and not long:
         marked = placed.withColumn("_filled", F.size(F.collect_set("_bucket").over(Window.partitionBy(*keys))))
     else:
-        marked = placed.join(placed.groupBy(*keys).agg(F.count_distinct("_bucket").alias("_filled")), keys)
+        marked = joined(placed, placed.groupBy(*keys).agg(F.count_distinct("_bucket").alias("_filled")), keys)
     return marked.select(*pairs.columns, F.when(F.col("_filled") == quantiles, F.col("_bucket")).alias("quantile"))
 
 

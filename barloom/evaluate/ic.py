@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import STRETCH, has_long_groups, stretches
 from .pairs import correlation, pair_table
+from .places import TASK_ROWS, average_ranks
+from .rolling import rolling_correlation, rolling_rank_correlation, window_ranks  # noqa: F401
 
 METHODS = ("spearman", "pearson")
 MIN_OBSERVATIONS, MIN_SYMBOLS = 24, 5
@@ -18,16 +23,9 @@ def check_method(method: str) -> None:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
 
 
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank within ``keys`` where equal values share the mean of their places."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(value)) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / 2
-
-
 def ranked(pairs: DataFrame, keys: list[str], method: str) -> DataFrame:
     check_method(method)
-    if method == "pearson":
-        return pairs
-    return pairs.withColumns({"rx": average_rank("x", keys), "ry": average_rank("y", keys)}).drop("x", "y").withColumnsRenamed({"rx": "x", "ry": "y"})
+    return pairs if method == "pearson" else average_ranks(pairs, keys, "x", "y")
 
 
 def grouped_ic(pairs: DataFrame, keys: list[str], method: str) -> DataFrame:
@@ -59,65 +57,39 @@ def rolling_ic(df: DataFrame, feature: str, target: str, window: int, method: st
     if not isinstance(window, int) or isinstance(window, bool) or window < 2:
         raise ValueError("window must be an integer >= 2")
     pairs = pair_table(df, [feature], target)
-    by_time = Window.partitionBy("symbol").orderBy("timestamp")
-    if method == "pearson":
-        frame = by_time.rowsBetween(1 - window, 0)
-        spread = F.stddev_samp("x").over(frame) * F.stddev_samp("y").over(frame)
-        ic = F.when(F.count("*").over(frame) == window, F.try_divide(F.covar_samp("x", "y").over(frame), spread))
-        return pairs.select("symbol", "timestamp", ic.alias("ic")).filter("ic is not null")
-    dealt = pairs.select("symbol", "timestamp", "x", "y").repartition("symbol").sortWithinPartitions("symbol", "timestamp")
-    kinds = dict(pairs.dtypes)
-    rolled = dealt.mapInArrow(lambda batches: _roll(batches, window), f"symbol {kinds['symbol']}, timestamp {kinds['timestamp']}, ic double")
-    return rolled.filter("ic is not null")
-
-
-#: Values that are ranked at once.
-_BLOCK = 1 << 20
-
-
-def window_ranks(values: np.ndarray) -> np.ndarray:
-    """Average ranks within each row."""
-    order = np.argsort(values, axis=1, kind="stable")
-    ordered, width = np.take_along_axis(values, order, 1), values.shape[1]
-    new = np.concatenate([np.ones((len(values), 1), bool), ordered[:, 1:] != ordered[:, :-1]], 1)
-    place = np.broadcast_to(np.arange(width), values.shape)
-    first = np.maximum.accumulate(np.where(new, place, 0), 1)
-    ends = np.concatenate([new[:, 1:], np.ones((len(values), 1), bool)], 1)
-    last = np.minimum.accumulate(np.where(ends, place, width)[:, ::-1], 1)[:, ::-1]
-    out = np.empty(values.shape)
-    np.put_along_axis(out, order, (first + last) / 2, 1)
-    return out
-
-
-def rolling_rank_correlation(x: np.ndarray, y: np.ndarray, window: int) -> np.ndarray:
-    """The rank correlation of each ``window`` values that follow each other, NaN where one side is constant."""
-    out, rows = [], max(1, _BLOCK // window)
-    xs, ys = (np.lib.stride_tricks.sliding_window_view(v, window) for v in (x, y))
-    for a in range(0, len(xs), rows):
-        u, v = (window_ranks(w[a : a + rows]) - (window - 1) / 2 for w in (xs, ys))
-        spread = np.sqrt((u * u).sum(1) * (v * v).sum(1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out.append(np.where(spread > 0, (u * v).sum(1) / spread, np.nan))
-    return np.concatenate([np.array([]), *out])
-
-
-def _roll(batches, window: int):
-    """(symbol, timestamp, ic) of pairs that come sorted; the last ``window`` - 1 of a symbol are kept from batch to batch."""
-    held = None
+    rows = pairs.select("symbol", "timestamp", "x", "y")
+    if has_long_groups(rows, ["symbol"], TASK_ROWS):
+        cut = stretches(rows, ["symbol"], "timestamp", TASK_ROWS, window - 1, 0, "pairs")
+        keys, rows = ["symbol", STRETCH], cut.select("symbol", STRETCH, "timestamp", "x", "y")
+    else:
+        keys = ["symbol"]
+    kinds = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n not in ("x", "y"))
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "timestamp")
+    rolled = dealt.mapInArrow(lambda batches: _roll(batches, window, keys, method), f"{kinds}, ic double")
+    return rolled.select("symbol", "timestamp", "ic").filter("ic is not null")
+
+
+def _roll(batches: Iterator[pa.RecordBatch], window: int, keys: Sequence[str] = ("symbol",), method: str = "spearman") -> Iterator[pa.RecordBatch]:
+    """(keys..., timestamp, ic) of pairs that come sorted; the last ``window`` - 1 of a group are kept from batch to batch."""
+    correlate = rolling_rank_correlation if method == "spearman" else rolling_correlation
+    held, names = None, [*keys, "timestamp"]
     for batch in batches:
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
         if not table.num_rows:
             continue
-        code = table["symbol"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        marks = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), table.num_rows]
+        new = np.zeros(table.num_rows - 1, bool)
+        for k in keys:
+            code = table[k].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            new |= code[1:] != code[:-1]
+        marks = [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
         x, y = (table[c].to_numpy() for c in "xy")
         places, found = [], []
         for a, b in zip(marks, marks[1:]):
             if b - a >= window:
                 places.append(np.arange(a + window - 1, b))
-                found.append(rolling_rank_correlation(x[a:b], y[a:b], window))
+                found.append(correlate(x[a:b], y[a:b], window))
         at, ic = np.concatenate([np.array([], np.int64), *places]), np.concatenate([np.array([]), *found])
-        out = table.select(["symbol", "timestamp"]).take(pa.array(at)).append_column("ic", pa.array(ic, mask=np.isnan(ic)))
+        out = table.select(names).take(pa.array(at)).append_column("ic", pa.array(ic, mask=np.isnan(ic)))
         yield from out.combine_chunks().to_batches()
         held = table.slice(max(marks[-2], table.num_rows - window + 1)).combine_chunks()
         held = held.to_batches()[0] if held.num_rows else None

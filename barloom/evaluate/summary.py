@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import IDS
+from ..shared import stored
 from .buckets import bucketed, check_quantiles, quantile_spread
 from .ic import time_series_table
 from .pairs import need_columns, pair_table
@@ -27,7 +28,7 @@ def default_features(df: DataFrame, target: str) -> list[str]:
 def evaluate_features(df: DataFrame, target: str, features: list[str] | None = None, target_horizon_bars: int | None = None, quantiles: int = 5) -> DataFrame:
     """(feature, mean_time_series_ic, beta, t_statistic, p_value, r_squared, observations, quantile_spread), strongest |t| first.
 
-    All features go through one long table and three grouped computations. What cannot be tested has nulls and 0 observations.
+    All features go through one long table, written to the shared folder, and three grouped computations. What cannot be tested has nulls and 0 observations.
     """
     need_columns(df, "symbol", "timestamp", target)
     check_lags(None, target_horizon_bars)
@@ -35,7 +36,7 @@ def evaluate_features(df: DataFrame, target: str, features: list[str] | None = N
     names = default_features(df, target) if features is None else list(features)
     if not names:
         raise ValueError("No feature columns to evaluate")
-    pairs = pair_table(df, names, target).persist()
+    pairs = stored(pair_table(df, names, target), "pairs")
     ics = time_series_table(pairs).groupBy("feature").agg(F.avg("ic").alias("mean_time_series_ic"))
     lines = regression_table(pairs, None, target_horizon_bars)
     spreads = quantile_spread(bucketed(pairs, quantiles), ["feature"])

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import placed
+from ..shared import HALO, STRETCH, stretches
 from .smoothing import smooth_columns
 
 Lookback = int | Callable[[dict[str, Any]], int]
@@ -55,10 +55,6 @@ class FeatureSpec:
 FEATURES: dict[str, FeatureSpec] = {}
 
 
-#: Columns of rows that stand in for a stretch's neighbours.
-HALO, STRETCH = "__halo", "__stretch"
-
-
 class Group:
     """Windows over one isolation group and the columns that several features share.
 
@@ -136,13 +132,7 @@ class Group:
     def _cut(self, df: DataFrame) -> DataFrame:
         """Bars by stretch: a stretch's own, and as halo those of its neighbours that its windows reach."""
         back, ahead = (self._reach[1][i] + self._reach[2][i] for i in (0, 1))
-        length = max(self.length, back, ahead)
-        bars = placed(df, self.keys[:-1], ["timestamp"], "bars").withColumn("__length", F.lit(length).cast("long"))
-        own, at = F.call_function("div", F.col("_place"), F.col("__length")), F.col("_place") % length
-        after = F.when((at >= length - back) & ((own + 1) * length < F.col("_count")), own + 1)
-        before = F.when((at < ahead) & (own > 0), own - 1)
-        number = lambda c, halo: F.when(c.isNotNull(), F.struct(c.alias(STRETCH), F.lit(halo).alias(HALO)))
-        bars = bars.select("*", F.inline(F.array_compact(F.array(number(own, False), number(after, True), number(before, True)))))
+        bars = stretches(df, self.keys[:-1], "timestamp", self.length, back, ahead, "bars")
         if not self.sums:
             return bars
         totals = bars.filter(~F.col(HALO)).groupBy(*self.keys).agg(*(F.sum(v).alias(n) for n, v in self.sums.items()))

@@ -62,3 +62,34 @@ def placed(df: DataFrame, groups: list[str], order: list, name: str, weight: str
         rows, own = rows.withColumn("_own", F.coalesce(F.sum(weight).over(upto), F.lit(0))), F.col("_own")
     out = rows.join(shifts, same).withColumn("_place", F.col("_before") + own)
     return out.drop("_at", "_part", "_start", "_before", "_of_part", "_own", *(f"_of_{g}" for g in groups))
+
+
+#: Bytes of a row of bars or pairs; tables that the planner thinks smaller than a task's rows are not counted.
+ROW_BYTES = 56
+#: Columns of ``stretches``.
+HALO, STRETCH = "__halo", "__stretch"
+
+
+def has_long_groups(df: DataFrame, groups: list[str], rows: int) -> bool:
+    """Whether a group has more than ``rows`` rows; counted in a pass of its own where the table may be so large."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < rows * ROW_BYTES:
+        return False
+    return (df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) > rows
+
+
+def stretches(df: DataFrame, groups: list[str], order: str, length: int, back: int, ahead: int, name: str) -> DataFrame:
+    """The rows of each group cut into stretches of ``length`` rows in order, or of ``back`` or ``ahead`` if these are more.
+
+    ``STRETCH`` numbers them; a stretch also gets, with ``HALO`` set, the last ``back`` rows before it and the first ``ahead`` rows after it. Also
+    added are ``_place``, ``_count`` and ``__length``.
+    """
+    length = max(length, back, ahead)
+    rows = placed(df, groups, [order], name).withColumn("__length", F.lit(length).cast("long"))
+    own, at = F.call_function("div", F.col("_place"), F.col("__length")), F.col("_place") % length
+    after = F.when((at >= length - back) & ((own + 1) * length < F.col("_count")), own + 1)
+    before = F.when((at < ahead) & (own > 0), own - 1)
+
+    def copy(number, halo: bool):
+        return F.when(number.isNotNull(), F.struct(number.alias(STRETCH), F.lit(halo).alias(HALO)))
+
+    return rows.select("*", F.inline(F.array_compact(F.array(copy(own, False), copy(after, True), copy(before, True)))))

@@ -147,9 +147,8 @@ def test_percentiles_of_large_and_small_groups(spark, monkeypatch):
     groups = {"many": rng.normal(size=4000).round(2), "one": np.array([3.5]), "ties": np.array([1.0] * 900 + [2.0] * 100), "few": rng.normal(size=7)}
     rows = spark.createDataFrame([(g, float(v)) for g, x in groups.items() for v in x], "g string, y double").repartition(5)
     shares = [0.0, 0.1, 1 / 3, 0.5, 0.9, 1.0]
-    for most in (10_000, 50):  # sorted whole, and looked for in narrow spans
+    for most in (10_000, 50):  # sorted by one task, and over ranges of values
         monkeypatch.setattr(buckets, "WINDOW_ROWS", most)
-        monkeypatch.setattr(buckets, "_SPAN", 0.001 if most > 50 else 0.02)
         got = {r.g: (r.p, r.n) for r in buckets.percentile_table(rows, ["g"], "y", shares, n=F.count("*")).collect()}
         assert set(got) == set(groups)
         for g, x in groups.items():
@@ -169,3 +168,85 @@ def test_rolling_ranks_across_batches(spark):
     assert found[0] == found[1] == found[2] and len(found[0]) == 45 + 18
     ranks = ic.window_ranks(np.array([[3.0, 1.0, 3.0, 2.0]]))
     assert ranks.tolist() == [[2.5, 0.0, 2.5, 1.0]]
+
+
+@pytest.mark.parametrize("rows", [10**6, 20])
+def test_long_symbols_over_many_tasks(spark, monkeypatch, rows):
+    from barloom.evaluate import buckets, ic, places
+
+    for module, name in ((ic, "TASK_ROWS"), (places, "TASK_ROWS"), (buckets, "WINDOW_ROWS")):
+        monkeypatch.setattr(module, name, rows)
+    pdf = panel(("A", "B", "C"), n=90).round(1)
+    pdf = pd.concat([pdf, panel(("D",), n=7)], ignore_index=True)
+    pdf.loc[pdf.symbol == "C", "signal"] = [1.0, 2.0, 3.0] * 30
+    d = df(spark, pdf)
+    for method in ("spearman", "pearson"):
+        for window in (5, 30):
+            got = {(r.symbol, r.timestamp.toordinal()): r.ic for r in rolling_ic(d, "signal", "fwd_target", window, method).collect()}
+            want = {}
+            for s, g in pdf.groupby("symbol"):
+                for i in range(window - 1, len(g)):
+                    part = g.iloc[i - window + 1 : i + 1]
+                    a, b = (part.signal.rank(), part.fwd_target.rank()) if method == "spearman" else (part.signal, part.fwd_target)
+                    if a.std() > 0 and b.std() > 0:
+                        want[s, part.timestamp.iloc[-1].toordinal()] = a.corr(b)
+            assert got == pytest.approx(want)
+    ts = {r.symbol: r.ic for r in time_series_ic(d, "signal", "fwd_target", min_observations=2).collect()}
+    assert ts == pytest.approx({s: g.signal.rank().corr(g.fwd_target.rank()) for s, g in pdf.groupby("symbol")})
+    with pytest.warns(UserWarning, match="C"):
+        found = target_by_feature_quantile(d, "signal", "fwd_target").toPandas()
+    ok = pdf[pdf.symbol != "C"]
+    k = ok.groupby("symbol").signal.transform(lambda v: pd.qcut(v, 5, labels=False) + 1)
+    want = ok.fwd_target.groupby(k).agg(["count", "mean", "median", "std"])
+    np.testing.assert_allclose(found[["observations", "mean", "median", "standard_deviation"]].astype(float), want)
+
+
+def test_rolling_kernels_equal_plain_ones(monkeypatch):
+    from barloom.evaluate import rolling
+
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(rolling, "SMALL", 1)
+    for n, window, kinds in ((300, 70, 10**6), (200, 100, 4), (130, 129, 9), (129, 129, 9), (100, 2, 3), (50, 65, 3), (90, 30, 2)):
+        x, y = (rng.integers(0, kinds, n).astype(float) for _ in "xy")
+        x[n // 2 :] = 1.0
+        pairs = [(x[i : i + window], y[i : i + window]) for i in range(n - window + 1)]
+
+        def corr(a, b):
+            return np.corrcoef(a, b)[0, 1] if a.std() > 0 and b.std() > 0 else math.nan
+
+        np.testing.assert_allclose(rolling.rolling_rank_correlation(x, y, window), [corr(pd.Series(a).rank(), pd.Series(b).rank()) for a, b in pairs], atol=1e-12)
+        np.testing.assert_allclose(rolling.rolling_correlation(x, y, window), [corr(a, b) for a, b in pairs], atol=1e-12)
+
+
+def test_rolling_correlation_of_windows_that_hardly_vary():
+    from barloom.evaluate import rolling
+
+    rng = np.random.default_rng(13)
+    small = rng.integers(-9, 9, 300) * 2.0**-30
+    x, y = np.concatenate([rng.normal(size=50) * 1e6, 2.0**20 + small]), rng.normal(size=350)
+    got = rolling.rolling_correlation(x, y, 20)
+    np.testing.assert_allclose(got[50:], [np.corrcoef(small[i : i + 20], y[50 + i : 70 + i])[0, 1] for i in range(281)], rtol=1e-9)
+
+
+@pytest.mark.parametrize("standardize", [True, False])
+@pytest.mark.parametrize("lags", [0, 1, 7, 500])
+def test_kernel_sums_for_any_number_of_lags(spark, lags, standardize):
+    pdf = pd.concat([panel(("A", "B"), n=60), panel(("C",), n=25), panel(("FLAT",), n=10).assign(signal=3.0)], ignore_index=True)
+    got = newey_west_regression(df(spark, pdf), "signal", "fwd_target", kernel_lags=lags, standardize=standardize)
+    used = pdf[pdf.symbol != "FLAT"] if standardize else pdf
+    x = used.groupby("symbol").signal.transform(lambda v: (v - v.mean()) / v.std()) if standardize else used.signal
+    b, se = driscoll_kraay(x.to_numpy(), used.fwd_target.to_numpy(), used.timestamp.to_numpy(), min(lags, 59))
+    assert got.beta == pytest.approx(b[1]) and got.alpha == pytest.approx(b[0]) and got.beta_standard_error == pytest.approx(se[1])
+    assert got.effective_lags == min(lags, 59) and got.observations == len(used)
+    assert got.r_squared == pytest.approx(np.corrcoef(x, used.fwd_target)[0, 1] ** 2)
+
+
+def test_streams_in_small_batches_give_the_same(spark):
+    d = df(spark, panel(("A", "B"), n=80))
+    whole = newey_west_regression(d, "signal", "fwd_target", kernel_lags=9), rolling_ic(d, "signal", "fwd_target", 12).orderBy("symbol", "timestamp").collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        cut = newey_west_regression(d, "signal", "fwd_target", kernel_lags=9), rolling_ic(d, "signal", "fwd_target", 12).orderBy("symbol", "timestamp").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cut[0].beta_standard_error == pytest.approx(whole[0].beta_standard_error) and cut[1] == whole[1]
