@@ -51,9 +51,10 @@ def table(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
 
 
-@pytest.mark.parametrize("nodes", [400_000, 50])
-def test_equals_plain_python(spark, monkeypatch, nodes):
-    monkeypatch.setattr(importance, "TRIE_NODES", nodes)
+@pytest.mark.parametrize("size", [1 << 20, 50])
+def test_equals_plain_python(spark, monkeypatch, size):
+    monkeypatch.setattr(importance, "TRIE_WORDS", size)
+    monkeypatch.setattr(importance, "KNOWN_WORDS", size)
     rows = [(i, f"Ärger {words(i % 60, i % 7)} Über-all C3PO x{i % 5}" if i % 11 else words(30), f"s{i % 3}") for i in range(300)]
     target = [words(40, 3), "C3PO über all x4", None, ""]
     plain = [(i, t) for i, t, _ in rows]
