@@ -187,6 +187,11 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", pa
     for the first time, by key and then place. Null and empty texts have no passages; what repeats within one document only is none; rows
     equal in key and text are one document. Other columns play no part.
     """
+    return _passages(df, text, key, passage_words, seed_words).drop("row")
+
+
+def _passages(df: DataFrame, text: str, key: str, passage_words: int, seed_words: int = SEED_WORDS) -> DataFrame:
+    """The passages of ``repeated_passages``, after the number of their document, row."""
     table = materialize(twos(df, text, key), "twos")
     other = F.when(F.col("first.row") == F.col("row"), F.col("final")).otherwise(F.col("first"))
     sizes = [F.shiftright("size", low).bitwiseAND((1 << bits) - 1).cast("int").alias(n) for n, (low, bits) in SIZES.items()]
@@ -206,7 +211,7 @@ def repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", pa
     ).filter(F.col("words") >= seed_words).withColumn("id", F.xxhash64("row", "begin")), "runs")
     short = found.filter(F.col("words") < passage_words)
     grown = _carried(df, short, text, key)
-    columns = [F.col("key").alias(key), "begin", "end", "words", "occurrences", "first_key", "kept"]
+    columns = ["row", F.col("key").alias(key), "begin", "end", "words", "occurrences", "first_key", "kept"]
     return found.filter(F.col("words") >= passage_words).select(*columns).union(grown.filter(F.col("words") >= passage_words).select(*columns))
 
 
@@ -241,12 +246,12 @@ def _carried(df: DataFrame, short: DataFrame, text: str, key: str) -> DataFrame:
 def drop_repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id", passage_words: int = PASSAGE_WORDS) -> DataFrame:
     """``df`` with the passages taken out of its texts that are not ``kept``; every row stays, null texts stay null.
 
-    Characters that a passage's ends would cut stay whole. Other columns, whatever their names, stay as they are.
+    Characters that a passage's ends would cut stay whole. Rows that share a key and differ in text are documents each. Other columns, whatever their names, stay as they are.
     """
-    gone = repeated_passages(df, text, key, passage_words).filter("not kept").withColumnRenamed(key, "_key")
-    spans = gone.groupBy("_key").agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
-    names, kind = df.columns, df.schema[key].dataType.simpleString()
-    rows = df.select(boxed(df, text), F.col(key).alias("_own"), F.col(text).alias("_text"))
+    gone = _passages(df, text, key, passage_words).filter("not kept")
+    spans = gone.groupBy(F.col("row").alias("_of")).agg(F.collect_set(F.struct("begin", "end")).alias("_spans"))
+    names = df.columns
+    rows = df.select(boxed(df, text), _row(key, text).alias("_own"), F.col(text).alias("_text"))
 
     def run(batches):
         for batch in batches:
@@ -255,14 +260,14 @@ def drop_repeated_passages(df: DataFrame, text: str = "text", key: str = "doc_id
                 out.append(t if t is None or not spans else without(t, [(s["begin"], s["end"]) for s in spans]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["_row", "_own", "_text"])
 
-    joined = rows.join(spans, F.col("_own").eqNullSafe(F.col("_key")), "left").select("_row", "_own", "_text", "_spans")
+    joined = rows.join(spans, F.col("_own") == F.col("_of"), "left").select("_row", "_own", "_text", "_spans")
     fields = joined.schema["_row"].dataType.simpleString()
-    done = joined.mapInArrow(run, f"_row {fields}, _own {kind}, _text string")
+    done = joined.mapInArrow(run, f"_row {fields}, _own long, _text string")
     return done.select(*(F.col("_text").alias(text) if c == text else F.col(f"_row.`{c}`").alias(c) for c in names))
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """A text without some spans of its bytes; spans that another row's longer text made are passed over beyond its end."""
+    """A text without some spans of its bytes; what lies beyond its end is passed over."""
     data, out, at = text.encode(), [], 0
     for begin, end in sorted(spans):
         begin, end = max(begin, at), min(end, len(data))

@@ -310,6 +310,16 @@ def test_texts_without_repeated_passages(spark):
     assert substrings.drop_repeated_passages(empty(spark)).count() == 0
 
 
+def test_rows_with_one_key_and_different_texts_keep_their_own(spark):
+    passage = words(120, 5000)
+    clean = words(150, 9000)
+    rows = [(1, f"{words(20)} {passage} {words(20, 300)}", "a"), (2, f"{words(30, 600)} {passage} {words(9, 700)}", "a"), (2, clean, "a"), (None, words(90, 20_000), "a")]
+    rows.append((None, f"{words(25, 800)} {passage} {words(25, 900)}", "a"))
+    kept = sorted(r.text for r in substrings.drop_repeated_passages(documents(spark, rows)).collect())
+    assert len(kept) == 5 and clean in kept and words(90, 20_000) in kept
+    assert sum("word5060 word5061" in t for t in kept) == 1
+
+
 def test_a_chunk_in_every_document_is_joined_by_broadcast(spark, monkeypatch):
     monkeypatch.setattr(substrings, "HOT_ROWS", 10)
     passage, rng = words(80, 5000), random.Random(33)
