@@ -12,9 +12,9 @@ from pyspark.sql import SparkSession
 
 from .compute import compute_features
 from .config import validate_config
-from .quality import clean_ohlcv
+from .quality import clean_rows
 from .sinks import save_features
-from .sources import load_ohlcv
+from .sources import land_bars
 
 log = logging.getLogger("barloom")
 
@@ -32,8 +32,8 @@ def run_pipeline(config: dict[str, Any], spark: SparkSession | None = None) -> d
     """Validate, load, clean, compute and store; the paths of what was written."""
     validate_config(config)
     spark = spark or session()
-    bars = load_ohlcv(spark, config)
-    clean, report = clean_ohlcv(bars, config.get("data_quality"))
+    bars, report = land_bars(spark, config)
+    clean = clean_rows(bars, config.get("data_quality"))
     if not report["initial_rows"]:
         raise ValueError("no bars were loaded for this configuration")
     if not report["final_rows"]:

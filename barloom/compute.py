@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .features import FEATURES, FeatureSpec
 from .features.registry import Group
 from .schema import COLUMNS, IDS, NUMBERS, number
-from .shared import has_long_groups
+from .shared import HALO, STRETCH, has_long_groups, stretches
 
 
 def selected_feature_configs(features: dict[str, Any] | None) -> list[dict[str, Any]]:
@@ -81,8 +81,8 @@ def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[st
     if reset_by_session:
         bars = bars.withColumn("__day", F.to_date("timestamp"))
     rows = ROWS_PER_TASK if rows_per_task is None else rows_per_task
-    long = not reset_by_session and any(s.kind != "frame" for _, s, _ in resolved) and has_long_groups(bars, ["symbol"], rows)
-    group = Group(keys, rows if long else None)
+    long = not reset_by_session and any(s.kind != "frame" or s.bounded for _, s, _ in resolved) and has_long_groups(bars, ["symbol"], rows)
+    group = Group(keys, rows if long and any(s.kind != "frame" for _, s, _ in resolved) else None)
     columns, frames = {}, {}
     for name, spec, params in resolved:
         values = spec.check(params)
@@ -94,8 +94,13 @@ def apply_features(df: DataFrame, resolved: list[tuple[str, FeatureSpec, dict[st
     out = group.apply(bars)
     passed = list(dict.fromkeys(["symbol", "timestamp", *keys, *(NUMBERS if frames else ())]))
     out = out.select(*passed, *(_bounded(F.when(known, c), n, on_infinite).alias(_inner(n)) for n, c in columns.items()))
-    if frames:
-        out = _frames(out, keys, frames, on_infinite)
+    cut = {n: f for n, f in frames.items() if long and f[0].bounded}
+    if cut:
+        back = max(spec.resolve_lookback(params) for spec, params in cut.values())
+        out = _frames(stretches(out, keys, "timestamp", rows, back, 0, "frames"), [*keys, STRETCH], cut, on_infinite).drop("_place", "_count", "__length", STRETCH, HALO)
+    whole = {n: f for n, f in frames.items() if n not in cut}
+    if whole:
+        out = _frames(out, keys, whole, on_infinite)
     return out.select("symbol", "timestamp", *(F.col(_inner(n)).alias(n) for n in names))
 
 
@@ -110,8 +115,8 @@ def _bounded(column, name: str, on_infinite: str):
     return F.when(infinite, bad).otherwise(column)
 
 
-def check_output(name: str, result: Any, frame: pd.DataFrame) -> pd.Series:
-    """A frame feature's result if it keeps the contract, else an error that names the column."""
+def check_output(name: str, result: Any, frame: pd.DataFrame, own: pd.Series | None = None) -> pd.Series:
+    """A frame feature's result if it keeps the contract, else an error that names the column; ``own`` marks the rows whose values are used."""
     if not isinstance(result, pd.Series):
         raise TypeError(f"{name}: feature must return a pandas Series")
     if len(result) != len(frame):
@@ -120,24 +125,25 @@ def check_output(name: str, result: Any, frame: pd.DataFrame) -> pd.Series:
         raise ValueError(f"{name}: feature must have the same index as its bars")
     if not pd.api.types.is_numeric_dtype(result):
         raise TypeError(f"{name}: feature must be numeric")
-    if np.isinf(result.to_numpy(dtype=float, na_value=np.nan)).any():
+    used = result if own is None else result[own]
+    if np.isinf(used.to_numpy(dtype=float, na_value=np.nan)).any():
         raise ValueError(f"{name}: feature produced infinite values")
     return result.astype(float)
 
 
 def _frames(df: DataFrame, keys: list[str], frames: dict[str, tuple[FeatureSpec, dict]], on_infinite: str) -> DataFrame:
-    """Add the pandas columns; the functions see one group's bars at a time, as their contract says."""
+    """Add the pandas columns; the functions see one group's bars at a time, as their contract says, or a stretch of them with those before it."""
     columns = df.columns
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("timestamp", ignore_index=True)
-        bars = pdf[list(COLUMNS)]
+        bars, own = pdf[list(COLUMNS)], ~pdf[HALO].astype(bool) if HALO in pdf else None
         for name, (spec, params) in frames.items():
             result = spec.function(bars.copy(), **params)
             if on_infinite == "null" and isinstance(result, pd.Series) and pd.api.types.is_numeric_dtype(result):
                 result = result.replace([np.inf, -np.inf], np.nan)
-            pdf[_inner(name)] = check_output(name, result, bars)
-        return pdf
+            pdf[_inner(name)] = check_output(name, result, bars, own)
+        return pdf if own is None else pdf[own]
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     added = ", ".join(f"`{_inner(n)}` double" for n in frames)

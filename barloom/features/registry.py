@@ -30,6 +30,8 @@ class FeatureSpec:
     kind: str = "column"
     defaults: dict[str, int] = field(default_factory=dict)
     minimum: dict[str, int] = field(default_factory=dict)
+    #: A frame feature that only sees its lookback: its groups may be cut.
+    bounded: bool = False
 
     def resolve_lookback(self, params: dict[str, Any] | None = None) -> int:
         values = self.defaults | (params or {})
@@ -117,13 +119,15 @@ class Group:
             df = self._cut(df)
         smooth = self.smoothers[1] or self.smoothers[2]
         if smooth:
-            first = F.row_number().over(self.window) == 1 if self.length is None else F.col("_place") % F.col("__length") == 0
-            self.layers[1]["__start"] = first
+            # numbered by a window, which is what sorts the bars
+            self.layers[1]["__order"] = F.row_number().over(self.window)
         for layer in (1, 2):
             if self.layers[layer]:
                 df = df.select("*", *(c.alias(n) for n, c in self.layers[layer].items()))
         if self.length is not None:
             df = df.filter(~F.col(HALO))
+        if smooth:
+            df = df.withColumn("__start", F.col("__order") == 1 if self.length is None else F.col("_place") % F.col("__length") == 0)
         for stage in (1, 2):
             if self.smoothers[stage]:
                 df = smooth_columns(df, self.keys, self.smoothers[stage], self.length is not None)
@@ -146,18 +150,22 @@ class Group:
 
 
 def register(category: str, lookback: Lookback, description: str, calculation: str, kind: str = "column",
-             defaults: dict[str, int] | None = None, minimum: dict[str, int] | None = None):
+             defaults: dict[str, int] | None = None, minimum: dict[str, int] | None = None, bounded: bool = False):
     """Add a feature under its function's name."""
 
     def add(function: Callable) -> Callable:
         FEATURES[function.__name__] = FeatureSpec(
-            function.__name__, function, category, lookback, description, calculation, kind, defaults or {}, minimum or {}
+            function.__name__, function, category, lookback, description, calculation, kind, defaults or {}, minimum or {}, bounded
         )
         return function
 
     return add
 
 
-def register_frame(category: str, lookback: Lookback, description: str, calculation: str):
-    """Add a pandas feature: a function of one group's bars that returns a Series along the same index."""
-    return register(category, lookback, description, calculation, kind="frame")
+def register_frame(category: str, lookback: Lookback, description: str, calculation: str, bounded: bool = False):
+    """Add a pandas feature: a function of one group's bars that returns a Series along the same index.
+
+    A ``bounded`` one promises that a row's value follows from the row and the ``lookback`` bars before it: it may be given a stretch of a long
+    group with as many bars before it, so that no task holds the group.
+    """
+    return register(category, lookback, description, calculation, kind="frame", bounded=bounded)

@@ -136,7 +136,7 @@ def after(state: tuple[float, float, float], stretch: list[float], alpha: float)
 def smooth_columns(df: DataFrame, keys: list[str], smoothers: dict[str, tuple[Column, float, int]], cut: bool = False) -> DataFrame:
     """Add a column for each (value, alpha, least) to rows that come sorted by ``keys`` and time within their partitions.
 
-    ``__start`` marks the first row of each group or, with ``cut``, of each stretch of one (the last of ``keys`` numbers the stretches).
+    ``__order`` numbers them; ``__start`` marks the first row of each group or, with ``cut``, of each stretch of one (the last of ``keys`` numbers the stretches).
     """
     names, alphas, leasts = list(smoothers), [s[1] for s in smoothers.values()], [s[2] for s in smoothers.values()]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
@@ -146,7 +146,7 @@ def smooth_columns(df: DataFrame, keys: list[str], smoothers: dict[str, tuple[Co
         df = _with_states(df, keys, names, alphas)
 
     def run(batches):
-        each, held = [Smoother(a, n) for a, n in zip(alphas, leasts)], None
+        each, held = [Smoother(a, n) for a, n in zip(alphas, leasts)], -1
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -167,16 +167,12 @@ def smooth_columns(df: DataFrame, keys: list[str], smoothers: dict[str, tuple[Co
     return df.mapInArrow(run, kinds + "".join(f", `{n}` double" for n in names))
 
 
-def in_order(batch: pa.RecordBatch, starts: np.ndarray, held: int | None) -> int | None:
-    """The last time of the batch; an error if the bars of a group do not ascend, as a recursion would silently be wrong then."""
-    times = batch.column("timestamp")
-    if not pa.types.is_timestamp(times.type):
-        return None
-    t = times.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-    before = np.concatenate([[t[0] if held is None else held], t[:-1]])
-    if ((t < before) & ~starts).any():
+def in_order(batch: pa.RecordBatch, starts: np.ndarray, held: int) -> int:
+    """The last number of the batch; an error if bars of a group do not follow each other, as a recursion would silently be wrong then."""
+    order = batch.column("__order").to_numpy(zero_copy_only=False)
+    if ((np.diff(order, prepend=held) != 1) & ~starts).any():
         raise RuntimeError("bars of a group came out of order")
-    return int(t[-1])
+    return int(order[-1])
 
 
 def _with_states(df: DataFrame, keys: list[str], names: list[str], alphas: list[float]) -> DataFrame:
@@ -186,14 +182,16 @@ def _with_states(df: DataFrame, keys: list[str], names: list[str], alphas: list[
     long = df.filter(F.col("_count") > F.col("__length"))  # groups of one stretch need no state
 
     def sum_up(batches) -> Iterator[pa.RecordBatch]:
-        own, label = None, None
+        own, label, held = None, None, -1
 
         def done():
             return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(label, types)), pa.array([[x for s in own for x in s.numbers()]])], [*keys, "_map"])
 
         for batch in batches:
             starts = batch.column("__start").to_numpy(zero_copy_only=False)
-            types = [batch.schema.field(k).type for k in keys]
+            if not batch.num_rows:
+                continue
+            held, types = in_order(batch, starts, held), [batch.schema.field(k).type for k in keys]
             marks = sorted({0, *np.flatnonzero(starts).tolist(), batch.num_rows})
             for a, b in zip(marks, marks[1:]):
                 if starts[a]:

@@ -57,12 +57,10 @@ def clean_rows(df: DataFrame, enabled: dict[str, bool] | None = None) -> DataFra
     return df.filter(first_broken(enabled).isNull())
 
 
-def clean_ohlcv(df: DataFrame, data_quality: dict[str, bool] | None = None) -> tuple[DataFrame, dict]:
-    """(clean bars, report); the report takes one pass over the bars, the bars themselves stay lazy."""
-    enabled = data_quality or {}
-    counts = {r["rule"]: r["bars"] for r in rule_counts(df, enabled).collect()}
+def cleaning_report(counts: dict[str | None, int], enabled: dict[str, bool]) -> dict:
+    """The report from the bars charged to each rule; clean ones under None."""
     total = sum(counts.values())
-    report = {
+    return {
         "initial_rows": total,
         "rules": {
             name: {"enabled": bool(enabled.get(name, True)), "dropped": counts.get(name, 0), "reason": reason}
@@ -70,5 +68,11 @@ def clean_ohlcv(df: DataFrame, data_quality: dict[str, bool] | None = None) -> t
         },
         "final_rows": counts.get(None, 0),
         "total_dropped": total - counts.get(None, 0),
-    }
-    return clean_rows(df, enabled), report
+    }
+
+
+def clean_ohlcv(df: DataFrame, data_quality: dict[str, bool] | None = None) -> tuple[DataFrame, dict]:
+    """(clean bars, report); the report takes one pass over the bars, the bars themselves stay lazy."""
+    enabled = data_quality or {}
+    counts = {r["rule"]: r["bars"] for r in rule_counts(df, enabled).collect()}
+    return clean_rows(df, enabled), cleaning_report(counts, enabled)

@@ -6,21 +6,24 @@ places on both sides where sums are taken in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .cli import run_pipeline
 from .compute import apply_features, compute_features
-from .evaluate import buckets, cross_sectional_ic, evaluate_features, ic_summary, rolling_ic, time_series_ic
+from .evaluate import buckets, cross_sectional_ic, evaluate_features, ic_summary, rolling_ic, target_by_feature_quantile, time_series_ic
 from .evaluate.pairs import pair_table
 from .evaluate.regression import regression_table, zscored
 from .evaluate.states import overall_mean, rolling_ic_panels, spread_by_state, state_rows, violin_marks
 from .features import FeatureSpec
 from .quality import clean_rows, rule_counts
 from .schema import bars_from_events, in_session
-from .sinks import feature_health, rows_per_symbol
+from .shared import shared_dir
+from .sinks import feature_health, load_features, rows_per_symbol, save_features
 from .sources import duplicate_bars, filter_bars, finalize_bars, normalize_timestamp, to_number
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,6 +305,62 @@ _query("feature_health", f"WITH {FRAME} " + " UNION ALL ".join(
     f"round(avg({n}), 6) AS mean, round(max({n}), 6) AS max FROM frame" for n in (*FRAME_COLUMNS, "fwd")
 ))(lambda s, d: feature_health(_frame(s, d)))
 
+# Runs: stored and read back
+
+RUN_ITEMS = [i for i in ITEMS if i["name"] in FRAME_COLUMNS]
+_CELLS = ", ".join(f"round({n}, 6) AS {n}" for n in FRAME_COLUMNS)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/barloom/runs-{uuid.uuid4().hex}"
+
+
+def _saved(spark: SparkSession, sf_dir: str, kind: str = "parquet") -> dict[str, str]:
+    config = {"run": {"output_dir": _run_dir(spark), "output_formats": [kind]}, "features": {"parameters": RUN_ITEMS}}
+    return save_features(compute_features(_bars(spark, sf_dir), config), config)
+
+
+def _read_back(spark: SparkSession, paths: dict[str, str], kind: str = "parquet") -> DataFrame:
+    return load_features(spark, paths["summary_json"].rpartition("/")[0], file_format=kind)
+
+
+def _summary(spark: SparkSession, paths: dict[str, str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", True).json(paths["summary_json"])
+
+
+def _whole_run(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Hourly bars as CSV files, through a whole run: landed, cleaned, computed and stored."""
+    folder = _run_dir(spark)
+    _text_bars(spark, sf_dir).write.option("header", True).option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/bars")
+    run = {"source": "csv", "input_path": f"{folder}/bars", "output_dir": f"{folder}/out", "output_formats": ["parquet"], "exchange_timezone": "America/New_York"}
+    return run_pipeline({"run": run, "features": {"parameters": [i for i in ITEMS if i["name"] in ("log_return", "moving_average")]}}, spark)
+
+
+_query("save_and_read", f'WITH {FRAME} SELECT symbol, "timestamp", {_CELLS} FROM frame')(lambda s, d: _read_back(s, _saved(s, d)))
+_query("save_and_read_csv", f'WITH {FRAME} SELECT symbol, "timestamp", {_CELLS} FROM frame')(lambda s, d: _read_back(s, _saved(s, d, "csv"), "csv"))
+_query("run_counts", f"WITH {FRAME} SELECT symbol, count(*) AS rows FROM frame GROUP BY 1")(
+    lambda s, d: _summary(s, _saved(s, d), "rows_per_symbol map<string, long>").select(F.explode("rows_per_symbol").alias("symbol", "rows"))
+)
+_HEALTH = "null_count long, null_pct double, min double, mean double, max double"
+_query("run_health", f"WITH {FRAME} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS feature, count(*) - count({n}) AS null_count, round((count(*) - count({n})) / count(*), 4) AS null_pct, round(min({n}), 6) AS min, "
+    f"round(avg({n}), 6) AS mean, round(max({n}), 6) AS max FROM frame" for n in FRAME_COLUMNS
+))(lambda s, d: _summary(s, _saved(s, d), f"feature_health map<string, struct<{_HEALTH}>>").select(F.explode("feature_health").alias("feature", "h")).select("feature", "h.*"))
+# the run's time zone moves all bars by as much, so their order and what they give stay; bars without a close are dropped
+_query("run_features", f"""WITH {_bars_cte()}, kept AS (SELECT symbol, "timestamp" - INTERVAL 5 HOUR AS "timestamp", close FROM bars WHERE hour("timestamp") <> 3),
+b AS (SELECT *, ln(close / nullif(lag(close) OVER ({BY_SYMBOL}), 0)) AS r FROM kept)
+SELECT symbol, "timestamp", round(r, 6) AS log_return, round({_full('avg', 'close', -19, 0)}, 6) AS moving_average FROM b""")(lambda s, d: _read_back(s, _whole_run(s, d)))
+_query("run_report", f"""WITH {_bars_cte()} SELECT count(*) AS initial_rows, count_if(hour("timestamp") = 3) AS drop_missing_numeric_values, count_if(hour("timestamp") = 3) AS total_dropped,
+count_if(hour("timestamp") <> 3) AS final_rows FROM bars""")(
+    lambda s, d: _summary(s, _whole_run(s, d), "cleaning struct<initial_rows long, rules map<string, struct<dropped long>>, final_rows long, total_dropped long>").select(
+        "cleaning.initial_rows", F.col("cleaning.rules")["drop_missing_numeric_values"]["dropped"].alias("drop_missing_numeric_values"), "cleaning.total_dropped", "cleaning.final_rows"
+    )
+)
+# every symbol cut into stretches that tasks compute each by itself
+_query("features_by_stretch", ORACLE_SQL["features_all"])(
+    lambda s, d: compute_features(_bars(s, d), {"features": {"parameters": EVERY}}, rows_per_task=100)
+)
+
 # Information coefficients
 
 X, Y = "log_return", "fwd"
@@ -435,5 +494,19 @@ _query("p_values", f"""WITH {LONG}, {_regression_ctes('long')}, t AS (SELECT fea
 SELECT feature, round(u * exp(-z * z + {_HORNER}), 4) AS p_value FROM (SELECT feature, z, 1 / (1 + z / 2) AS u FROM t)""", exact=True)(
     lambda s, d: evaluate_features(_frame(s, d), Y, list(FRAME_COLUMNS)).select("feature", F.round("p_value", 4).alias("p_value"))
 )
+_query("evaluate_order", f"""SELECT feature, row_number() OVER (ORDER BY abs(t_statistic) DESC NULLS LAST) AS position FROM ({EVALUATE_SQL})""")(
+    lambda s, d: _positions(evaluate_features(_frame(s, d), Y, list(FRAME_COLUMNS)), "feature")
+)
+_query("quantile_order", f"WITH {PAIRS}, {_bucket_ctes(5)} SELECT CAST(quantile AS INTEGER) AS quantile, row_number() OVER (ORDER BY quantile) AS position FROM marked WHERE quantile IS NOT NULL GROUP BY quantile")(
+    lambda s, d: _positions(target_by_feature_quantile(_frame(s, d), X, Y), "quantile")
+)
+
+
+def _positions(df: DataFrame, column: str) -> DataFrame:
+    """A column of an ordered table, a few rows, with the places at which they come."""
+    numbered = df.select(column, F.monotonically_increasing_id().alias("_at"))
+    return numbered.select(column, F.row_number().over(Window.orderBy("_at")).cast("long").alias("position"))
+
+
 # p-values are compared by themselves, to fewer places
 _query("evaluate_features", EVALUATE_SQL)(lambda s, d: evaluate_features(_frame(s, d), Y, list(FRAME_COLUMNS)).drop("p_value"))

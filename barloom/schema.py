@@ -37,11 +37,16 @@ def minute_of_day(timestamp: Column) -> Column:
     return F.hour(timestamp) * 60 + F.minute(timestamp)
 
 
-def in_session(df: DataFrame, session: str) -> DataFrame:
+def session_condition(session: str) -> Column:
+    """Whether a bar lies in a trading session."""
     if session not in SESSIONS:
         raise ValueError(f"unknown session {session!r}; known: {', '.join(SESSIONS)}")
     span = SESSIONS[session]
-    return df if span is None else df.filter(minute_of_day(F.col("timestamp")).between(*span))
+    return F.lit(True) if span is None else minute_of_day(F.col("timestamp")).between(*span)
+
+
+def in_session(df: DataFrame, session: str) -> DataFrame:
+    return df.filter(session_condition(session))
 
 
 def bars_from_events(events: DataFrame, unit: str = "hour") -> DataFrame:

@@ -7,10 +7,12 @@ import os
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import COLUMNS, DEFAULT_SESSION, NUMBERS, SESSIONS, in_session
+from .quality import RULES, cleaning_report, first_broken
+from .schema import COLUMNS, DEFAULT_SESSION, NUMBERS, SESSIONS, session_condition
+from .shared import stored
 
 #: Tasks that a database table is read by, at most.
 MOST_PARTS = 1000
@@ -33,19 +35,54 @@ def load_ohlcv(spark: SparkSession, config: dict[str, Any]) -> DataFrame:
 
 def load_csv(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
     """Read all columns as text, validate the whole file, then filter by symbol, date and session."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(run["input_path"])
-    return filter_bars(finalize_bars(raw, run.get("exchange_timezone") or "America/New_York"), run)
+    return filter_bars(finalize_bars(read_csv(spark, run), zone_of(run)), run)
+
+
+def read_csv(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(run["input_path"])
+
+
+def zone_of(run: dict[str, Any]) -> str:
+    return run.get("exchange_timezone") or "America/New_York"
+
+
+def land_bars(spark: SparkSession, config: dict[str, Any]) -> tuple[DataFrame, dict]:
+    """(bars, cleaning report) of a run from one scan of its source: what ``load_ohlcv`` gives, with the report of ``clean_ohlcv`` on it.
+
+    The bars are normalised and written to the shared folder once, so all that follows sees the same rows; faults, and the bars charged to each
+    rule among those that the run's filters keep, are counted by the tasks that write. Only the search for duplicates reads two columns of what
+    was written.
+    """
+    run, enabled = config["run"], config.get("data_quality") or {}
+    if run["source"] not in ("csv", "clickhouse"):
+        raise ValueError(f"unsupported source {run['source']!r}; known: csv, clickhouse")
+    from_csv = run["source"] == "csv"
+    bars = normalized_bars(read_csv(spark, run) if from_csv else read_clickhouse(spark, run), zone_of(run))
+    kept, broken = filter_condition(run) if from_csv else F.lit(True), first_broken(enabled)
+    seen, faults = Observation(), fault_counts()
+    charged = [F.count_if(kept & broken.eqNullSafe(F.lit(name))).alias(f"rule_{i}") for i, name in enumerate(RULES)]
+    stored_bars = stored(bars.observe(seen, *faults, F.count_if(kept).alias("bars"), *charged), "landed")
+    found = seen.get
+    check_faults(found["symbols"], found["times"], bool(duplicate_bars(stored_bars).limit(1).count()))
+    counts = {name: found[f"rule_{i}"] for i, name in enumerate(RULES)} | {None: found["bars"] - sum(found[f"rule_{i}"] for i in range(len(RULES)))}
+    return stored_bars.filter(kept), cleaning_report(counts, enabled)
 
 
 def filter_bars(df: DataFrame, run: dict[str, Any]) -> DataFrame:
     """Symbols (if any are listed), inclusive local dates (each bound optional) and trading session."""
+    return df.filter(filter_condition(run))
+
+
+def filter_condition(run: dict[str, Any]) -> Column:
+    """Whether a run's filters keep a bar."""
+    out = session_condition(run.get("session") or DEFAULT_SESSION["csv"])
     if run.get("symbols"):
-        df = df.filter(F.col("symbol").isin(list(run["symbols"])))
+        out &= F.col("symbol").isin(list(run["symbols"]))
     if run.get("start_date"):
-        df = df.filter(F.col("timestamp") >= F.to_date(F.lit(str(run["start_date"]))).cast("timestamp_ntz"))
+        out &= F.col("timestamp") >= F.to_date(F.lit(str(run["start_date"]))).cast("timestamp_ntz")
     if run.get("end_date"):
-        df = df.filter(F.col("timestamp") < F.date_add(F.to_date(F.lit(str(run["end_date"]))), 1).cast("timestamp_ntz"))
-    return in_session(df, run.get("session") or DEFAULT_SESSION["csv"])
+        out &= F.col("timestamp") < F.date_add(F.to_date(F.lit(str(run["end_date"]))), 1).cast("timestamp_ntz")
+    return F.coalesce(out, F.lit(False))
 
 
 def normalize_timestamp(column: Column, kind: str, zone: str) -> Column:
@@ -70,11 +107,8 @@ def to_number(column: Column, kind: str) -> Column:
     return F.when(~F.isnan(value), value)
 
 
-def finalize_bars(df: DataFrame, zone: str) -> DataFrame:
-    """Project to the bar columns, normalise, and refuse blank symbols, bad timestamps and duplicate bars.
-
-    One job counts all faults over all rows before any filter. Extra columns are dropped.
-    """
+def normalized_bars(df: DataFrame, zone: str) -> DataFrame:
+    """The bar columns, normalised; a KeyError if one is missing. Extra columns are dropped."""
     missing = [c for c in COLUMNS if c not in df.columns]
     if missing:
         raise KeyError(f"missing required columns: {missing}")
@@ -82,22 +116,39 @@ def finalize_bars(df: DataFrame, zone: str) -> DataFrame:
         raise ValueError("set spark.sql.session.timeZone to UTC: bars carry wall-clock times")
     kinds = dict(df.dtypes)
     symbol = F.regexp_replace(F.regexp_replace(F.col("symbol").cast("string"), r"^\s+", ""), r"\s+$", "")
-    out = df.select(
+    return df.select(
         symbol.alias("symbol"),
         normalize_timestamp(F.col("timestamp"), kinds["timestamp"], zone).alias("timestamp"),
         *(to_number(F.col(c), kinds[c]).alias(c) for c in NUMBERS),
     )
-    bars, known = F.col("bars"), F.col("symbol").isNotNull() & F.col("timestamp").isNotNull()
-    faults = out.groupBy("symbol", "timestamp").agg(F.count("*").alias("bars")).agg(
-        F.sum(F.when(F.col("symbol").isNull() | (F.col("symbol") == ""), bars)).alias("symbols"), F.sum(F.when(F.col("timestamp").isNull(), bars)).alias("times"),
-        F.max(F.when(known, bars)).alias("most"),
-    ).first()
-    if faults["symbols"]:
+
+
+def fault_counts(bars: Column | None = None) -> list[Column]:
+    """Bars without a symbol and without a time; ``bars`` has how many a row stands for."""
+    one = F.lit(1) if bars is None else bars
+    blank = F.col("symbol").isNull() | (F.col("symbol") == "")
+    return [F.coalesce(F.sum(F.when(c, one)), F.lit(0)).alias(n) for c, n in ((blank, "symbols"), (F.col("timestamp").isNull(), "times"))]
+
+
+def check_faults(symbols: int, times: int, duplicates: bool) -> None:
+    if symbols:
         raise ValueError("symbol values must be present and non-empty")
-    if faults["times"]:
+    if times:
         raise ValueError("timestamps must be present and valid")
-    if (faults["most"] or 0) > 1:
+    if duplicates:
         raise ValueError("Duplicate OHLCV bars found for symbol/timestamp pairs")
+
+
+def finalize_bars(df: DataFrame, zone: str) -> DataFrame:
+    """Project to the bar columns, normalise, and refuse blank symbols, bad timestamps and duplicate bars.
+
+    One job counts all faults over all rows before any filter. Extra columns are dropped.
+    """
+    out = normalized_bars(df, zone)
+    bars, known = F.col("bars"), F.col("symbol").isNotNull() & F.col("timestamp").isNotNull()
+    counted = out.groupBy("symbol", "timestamp").agg(F.count("*").alias("bars"))
+    faults = counted.agg(*fault_counts(bars), F.max(F.when(known, bars)).alias("most")).first()
+    check_faults(faults["symbols"], faults["times"], (faults["most"] or 0) > 1)
     return out
 
 
@@ -196,6 +247,9 @@ def clickhouse_options(env: dict[str, str] | None = None) -> dict[str, str]:
 
 def load_clickhouse(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
     """Read over JDBC (the driver jar is the caller's), a symbol and month a task, and validate what comes back."""
+    return finalize_bars(read_clickhouse(spark, run), zone_of(run))
+
+
+def read_clickhouse(spark: SparkSession, run: dict[str, Any]) -> DataFrame:
     options = clickhouse_options()
-    raw = spark.read.jdbc(options.pop("url"), f"({clickhouse_query(run)}) AS bars", predicates=clickhouse_parts(run), properties=options)
-    return finalize_bars(raw, run.get("exchange_timezone") or "America/New_York")
+    return spark.read.jdbc(options.pop("url"), f"({clickhouse_query(run)}) AS bars", predicates=clickhouse_parts(run), properties=options)

@@ -261,3 +261,28 @@ def test_infinite_prices_stay_in_their_group(spark, parts, length):
     b = both[both.symbol == "B"].sort_values(order, ignore_index=True)
     pd.testing.assert_frame_equal(b, alone.sort_values(order, ignore_index=True), rtol=1e-12)
     assert b.average_true_range.notna().sum() == 27 and both[both.symbol == "A"].average_true_range.notna().sum() == 0
+
+
+def test_bounded_frame_features_over_stretches(spark):
+    @register_frame("trend", lambda p: p.get("window", 5), "a frame feature", "-", bounded=True)
+    def own_midrange(bars, window=5, most=10**6):
+        if len(bars) > most:
+            raise MemoryError("more bars than a stretch has")
+        return (bars["high"].rolling(window).max() + bars["low"].rolling(window).min()) / 2
+
+    @register_frame("trend", 0, "a frame feature of all bars", "-")
+    def own_rank(bars):
+        return bars["close"].rank()
+
+    bars = spark.createDataFrame(walk({"LONG": 300, "SHORT": 3}), BAR_SCHEMA)
+    config = {"features": {"parameters": [{"name": "timestamp_", "function": "own_rank"}, {"name": "m", "function": "own_midrange", "window": 9}, {"name": "r", "function": "macd_line"}]}}
+    try:
+        whole, cut = (compute_features(bars, config, rows_per_task=n).toPandas().sort_values(["symbol", "timestamp"], ignore_index=True) for n in (10**6, 50))
+        alone = {"features": {"parameters": [{"name": "m", "function": "own_midrange", "window": 9, "most": 59}]}}
+        assert compute_features(bars, alone, rows_per_task=50).filter("m is not null").count() == 292
+        with pytest.raises(Exception, match="more bars than a stretch has"):
+            compute_features(bars, alone).collect()
+    finally:
+        del FEATURES["own_midrange"], FEATURES["own_rank"]
+    pd.testing.assert_frame_equal(whole, cut, rtol=1e-12)
+    assert whole.m.notna().sum() == 292

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import re
 
 import pytest
@@ -123,6 +124,41 @@ def test_whole_run(spark, tmp_path):
     assert main(["--config", str(tmp_path / "absent.toml")]) == 1
 
 
+def test_a_run_without_its_record_is_passed_over(spark, tmp_path):
+    csv(tmp_path, *(f"A,2024-01-{d:02},1,3,1,{1 + d / 10},5" for d in range(1, 6)))
+    first = run_pipeline(config(tmp_path), spark)
+    second = run_pipeline(config(tmp_path, version="2", symbols=["A"], end_date="2024-01-03"), spark)
+    assert load_features(spark, str(tmp_path / "out")).count() == 3
+    os.remove(second["summary_json"])  # as if the run had died before it
+    assert load_features(spark, str(tmp_path / "out")).count() == 5
+    assert load_features(spark, str(tmp_path / "out"), second["parquet"].split("/")[-1].removesuffix(".parquet")).count() == 3
+    os.remove(first["summary_json"])
+    with pytest.raises(FileNotFoundError, match="no stored parquet features"):
+        load_features(spark, str(tmp_path / "out"))
+    assert not [n for n in os.listdir(tmp_path / "out") if n.endswith(".part")]
+
+
+def test_a_run_scans_its_source_once_and_counts_as_the_parts_do(spark, tmp_path):
+    days = [f"A,2024-01-{d:02} 10:00:00,1,3,1,{1 + d / 10},5" for d in range(1, 20)]
+    bad = ["A,2024-02-01 10:00:00,1,x,1,1,5", "A,2024-02-02 10:00:00,1,1,2,1,5", "B,2024-02-03 10:00:00,-1,3,1,1,5", "B,2024-02-03 20:00:00,1,3,1,1,-5", "B,2024-01-03 10:00:00,1,3,1,2,5"]
+    csv(tmp_path, *days, *bad)
+    run = config(tmp_path, session="regular", start_date="2024-01-02")
+    paths = run_pipeline(run, spark)
+    summary = json.loads(open(paths["summary_json"]).read())
+    bars = load_ohlcv(spark, run)
+    clean, report = clean_ohlcv(bars)
+    assert summary["cleaning"] == report and report["total_dropped"] == 3 and report["initial_rows"] == 22
+    stored = load_features(spark, str(tmp_path / "out"))
+    from barloom.sinks import feature_health
+
+    health = {r["feature"]: {k: r[k] for k in ("null_count", "null_pct", "min", "mean", "max")} for r in feature_health(stored).collect()}
+    assert {n: {k: pytest.approx(v) for k, v in h.items()} for n, h in health.items()} == summary["feature_health"]
+    assert summary["rows"] == stored.count() == 19 and summary["rows_per_symbol"] == {"A": 18, "B": 1}
+    with pytest.raises(ValueError, match="Duplicate OHLCV"):
+        csv(tmp_path, *days, "A,2024-01-01 10:00:00,1,3,1,1,5")
+        run_pipeline(run, spark)
+
+
 @pytest.mark.parametrize(
     ("change", "message"),
     [
