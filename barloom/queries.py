@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from .cli import run_pipeline
 from .compute import apply_features, compute_features
 from .evaluate import buckets, cross_sectional_ic, evaluate_features, ic_summary, rolling_ic, target_by_feature_quantile, time_series_ic
+from .evaluate.figures import violin_outline
 from .evaluate.pairs import pair_table
 from .evaluate.regression import regression_table, zscored
-from .evaluate.states import overall_mean, rolling_ic_panels, spread_by_state, state_rows, violin_marks
+from .evaluate.states import overall_mean, panel_share, rolling_ic_panels, spread_by_state, state_rows, violin_marks
 from .features import FeatureSpec
 from .quality import clean_rows, rule_counts
 from .schema import bars_from_events, in_session
@@ -446,6 +447,20 @@ MARKS = "count(*) AS observations, round(avg(y), 6) AS mean, " + ", ".join(f"rou
 _query("state_spread", f"WITH {STATES} SELECT '{X}' AS feature, state, {MARKS} FROM states GROUP BY 2")(lambda s, d: spread_by_state(_frame(s, d), [X], Y))
 _query("violin_marks", f"""WITH {PAIRS}, {_bucket_ctes(5)} SELECT CAST(quantile AS INTEGER) AS quantile, {MARKS}, round(median(y), 6) AS median,
 round((SELECT avg(y) FROM pairs), 6) AS overall_mean FROM marked WHERE quantile IS NOT NULL GROUP BY 1""")(lambda s, d: violin_marks(_frame(s, d), X, Y))
+# states of each symbol by its own values, as the figure of states has them
+STATES_BY_SYMBOL = f"{PAIRS}, {_bucket_ctes(3)}, states AS (SELECT CASE k WHEN 1 THEN 'low' WHEN 2 THEN 'neutral' ELSE 'high' END AS state, x, y FROM placed)"
+_query("tercile_states_by_symbol", f"WITH {STATES_BY_SYMBOL} SELECT state, round(x, 6) AS x, round(y, 6) AS y FROM states")(lambda s, d: state_rows(_frame(s, d), X, Y, True))
+_query("state_spread_by_symbol", f"WITH {STATES_BY_SYMBOL} SELECT '{X}' AS feature, state, {MARKS} FROM states GROUP BY 2")(lambda s, d: spread_by_state(_frame(s, d), [X], Y, True))
+_query("violin_outline", f"""WITH {PAIRS}, {_bucket_ctes(5)}, v AS (SELECT quantile, y FROM marked WHERE quantile IS NOT NULL),
+ends AS (SELECT quantile, min(y) AS low, max(y) AS high, count(*) AS n, stddev_samp(y) * pow(count(*), -0.2) AS width FROM v GROUP BY 1),
+bins AS (SELECT quantile, least(floor((y - low) / ((high - low) / 512)), 511) AS bin, count(*) AS c FROM v JOIN ends USING (quantile) GROUP BY 1, 2),
+grid AS (SELECT ends.*, low + (high - low) * i / 99.0::DOUBLE AS value FROM ends, range(100) r(i))
+SELECT CAST(quantile AS INTEGER) AS quantile, round(value, 6) AS value, round(sum(c * exp(-pow((value - low - (bin + 0.5::DOUBLE) * (high - low) / 512) / width, 2) / 2)) / (any_value(n) * any_value(width) * sqrt(2 * pi())), 6) AS density
+FROM grid JOIN bins USING (quantile) GROUP BY quantile, value""")(lambda s, d: violin_outline(_frame(s, d), X, Y))
+_query("rolling_panel_share", f"""WITH {NUMBERED_PAIRS}, roll AS ({ROLLING}), whole AS (SELECT round(avg(ic), 12) AS full_ic FROM (SELECT CASE WHEN count(*) >= 24 THEN {CORR} END AS ic FROM {_ranks('pairs', 'symbol')} GROUP BY symbol))
+SELECT round(any_value(full_ic), 6) AS full_ic, count(*) AS windows, round(avg(CASE WHEN sign(ic) = sign(full_ic) THEN 1.0::DOUBLE ELSE 0 END), 6) AS share_same_sign FROM roll, whole""")(
+    lambda s, d: panel_share(_frame(s, d), X, Y, 20)
+)
 _query("target_overall_mean", f"WITH {FRAME} SELECT round(avg({Y}), 6) AS overall_mean FROM frame")(lambda s, d: overall_mean(_frame(s, d), Y))
 
 # Regression
