@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no shared folder, as in tests on one machine.
-LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+from ..shared import placed, shared_dir
+from ..shared import stored as materialize
+
+__all__ = ["boxed", "materialize", "placed", "read", "shared_dir", "unboxed", "uniform", "word_count"]
 
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, or the one set by setCheckpointDir."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if path:
-        return path
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_CHECKPOINT_DIR
-
-
-def materialize(df: DataFrame, name: str, path: str | None = None, options: dict | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder, or to ``path``, and read it back.
-
-    Cuts the lineage so that a lost executor costs a re-read and not a recomputation, and keeps
-    a table that several later jobs read from being computed several times.
-    """
-    spark = df.sparkSession
-    path = path or f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -58,25 +35,3 @@ def boxed(df: DataFrame, *leave_out: str) -> Column:
 
 def unboxed(names: list[str]) -> list[Column]:
     return [F.col(f"_row.`{n}`").alias(n) for n in names]
-
-
-def placed(df: DataFrame, groups: list[str], order: list, name: str) -> DataFrame:
-    """The table, stored, with ``_place`` (from 0) in the order of its group and ``_count``, the rows of the group.
-
-    Rows are dealt and sorted by ranges, so a group of any size lies over many tasks; what is added up is one number
-    for each group and range. Nulls are a group; rows that tie in all of ``order`` stand in any order.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*groups, *order]
-    dealt = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    stored = materialize(dealt, name).withColumn("_part", F.shiftright("_at", 33))
-    runs = stored.groupBy(*groups, "_part").agg(F.min("_at").alias("_from"), F.count("*").alias("_n"))
-    of_group = Window.partitionBy(*(groups or [F.lit(0)]))
-    before = F.coalesce(F.sum("_n").over(of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = runs.select(
-        *(F.col(g).alias(f"_of_{g}") for g in groups), F.col("_part").alias("_of_part"), (before - F.col("_from")).alias("_shift"), F.sum("_n").over(of_group).alias("_count")
-    )
-    same = F.col("_part") == F.col("_of_part")
-    for g in groups:
-        same &= F.col(g).eqNullSafe(F.col(f"_of_{g}"))
-    return stored.join(shifts, same).withColumn("_place", F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift", "_of_part", *(f"_of_{g}" for g in groups))
