@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .pairs import pair_table
 from .places import joined
 
@@ -136,7 +137,7 @@ def regression_table(pairs: DataFrame, kernel_lags: int | None = None, target_ho
     pairs or one predictor value have null results. The pairs are read twice: for the moments of each series, and for the scores.
     """
     check_lags(kernel_lags, target_horizon_bars)
-    series = symbol_moments(pairs)
+    series = stored(symbol_moments(pairs), "series")  # a row a series, needed three times
     line = (
         pooled_moments(series, standardize).withColumn("beta", F.when(F.col("identified"), F.try_divide("cxy", "vx")))
         .withColumn("alpha", F.col("my") - F.col("beta") * F.col("mx"))

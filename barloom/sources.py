@@ -74,7 +74,7 @@ def filter_bars(df: DataFrame, run: dict[str, Any]) -> DataFrame:
 
 
 def filter_condition(run: dict[str, Any]) -> Column:
-    """Whether a run's filters keep a bar."""
+    """Whether a run's filters keep a bar; null, which does not, where its time is unknown."""
     out = session_condition(run.get("session") or DEFAULT_SESSION["csv"])
     if run.get("symbols"):
         out &= F.col("symbol").isin(list(run["symbols"]))
@@ -82,7 +82,7 @@ def filter_condition(run: dict[str, Any]) -> Column:
         out &= F.col("timestamp") >= F.to_date(F.lit(str(run["start_date"]))).cast("timestamp_ntz")
     if run.get("end_date"):
         out &= F.col("timestamp") < F.date_add(F.to_date(F.lit(str(run["end_date"]))), 1).cast("timestamp_ntz")
-    return F.coalesce(out, F.lit(False))
+    return out
 
 
 def normalize_timestamp(column: Column, kind: str, zone: str) -> Column:
