@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shared import placed, shared_dir
 from ..shared import stored as materialize
 
-__all__ = ["boxed", "materialize", "placed", "read", "shared_dir", "unboxed", "uniform", "word_count"]
+__all__ = ["boxed", "materialize", "placed", "read", "shared_dir", "sliced", "unboxed", "uniform", "word_count"]
 
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -35,3 +38,10 @@ def boxed(df: DataFrame, *leave_out: str) -> Column:
 
 def unboxed(names: list[str]) -> list[Column]:
     return [F.col(f"_row.`{n}`").alias(n) for n in names]
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, without a copy: what Python makes of a batch of texts, and holds, is a small part of it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, uniform
+from .common import materialize, sliced, uniform
 
 ORDER = 6
 #: Discounts of the shared model and of a class: a class must show an n-gram over twice before it counts.
@@ -124,7 +124,7 @@ def count_words(labelled: DataFrame, text: str = "text", label: str = "_label",
                 c.clear()
             return out
 
-        for batch in batches:
+        for batch in sliced(batches):
             for t, y, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 held[y * FOLDS + f].update(words(t))
                 if sum(map(len, held)) > _HELD:
@@ -312,7 +312,7 @@ class Model:
         at, evidence, w = names.index(text), self.evidence, np.array(self.weights)
 
         def run(batches):
-            for batch in batches:
+            for batch in sliced(batches, 1024):
                 x = np.array(evidence.value[-1].features(batch.column(at).to_pylist())).reshape(-1, len(w))
                 score = 1 / (1 + np.exp(-np.clip((x * w).sum(1), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
@@ -342,7 +342,7 @@ def _send(spark, ratios: DataFrame, models: range):
 
 def _curve(sample: DataFrame, evidence) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             label, fold, texts = (batch.column(i).to_pylist() for i in range(3))
             x: list = [None] * len(texts)
             for f in set(fold):
