@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 
 MAX_EDITS, CHARS_PER_EDIT = 2, 20
 #: Groups above so many lines are compared in blocks; those with more than DENSE candidates a line by their texts.
@@ -245,7 +245,7 @@ def _meet(batches, most: int | None):
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in sliced(batches, 1024):
         a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
         keep = [edit_distance_within(s, t, edits_allowed(min(len(s), len(t)))) for s, t in zip(x, y)]
         yield pa.RecordBatch.from_pydict({"a": pa.array([i for i, k in zip(a, keep) if k], pa.int64()), "b": pa.array([i for i, k in zip(b, keep) if k], pa.int64())})
@@ -279,7 +279,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
     kind = df.schema[key].dataType.simpleString()
 
     def place(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             at, number, ids, halves = [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 for k, (_, h) in enumerate(_digests(t)):
@@ -296,7 +296,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     def file(batches):
         seen: set[int] = set()  # lines this task has filed lately
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids, signs = [], [], []
             for t in batch.column(0).to_pylist():
                 for line, h in _split(t):
@@ -313,7 +313,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     places = materialize(rows.mapInArrow(place, f"id long, half long, key {kind}, row long, line int"), "places")
     def refile(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1024):
             keys, ids, signs = [], [], []
             for k, h, line in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 own, sign = refile_line(k, line), signature(line)
@@ -341,7 +341,7 @@ def repeated_lines(df: DataFrame, text: str = "text", key: str = "doc_id", most:
 
     def texts(batches):
         filter_ = shared.value
-        for batch in batches:
+        for batch in sliced(batches):
             ids, out = [], []
             for t in batch.column(0).to_pylist():
                 for line, h in _split(t):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize, unboxed
+from .common import boxed, materialize, sliced, unboxed
 from .components import connected_components
 from .simhash import SEED, fingerprint, link_table
 
@@ -127,7 +127,7 @@ def _crowded(batches):
 
 
 def _verify(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         a, b, x, y = (batch.column(i) for i in range(4))
         keep = []
         for s, t in zip(x.to_pylist(), y.to_pylist()):
@@ -141,7 +141,7 @@ def common_shingles(texts: DataFrame, n_rows: int) -> tuple[np.ndarray, np.ndarr
     """(shingles in ascending order, their counts): the most frequent ones of about ORDER_ROWS texts, chosen by their hash."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array([], np.int64), *found]))], ["key"])
 
@@ -179,7 +179,7 @@ def similar_pairs(texts: DataFrame, rows: DataFrame, reach: int = REACH) -> Data
     def file(batches):
         common, ranks = shared.value
         seen: set[int] = set()  # sets this task has filed lately
-        for batch in batches:
+        for batch in sliced(batches):
             found, ids = [], []
             for t in batch.column(0).to_pylist():
                 own = shingles(t)
@@ -232,7 +232,7 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", reach: int
     kind = df.schema[key].dataType.simpleString()
 
     def read_sets(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(2).to_pylist()
             sets = [shingles(t) for t in texts]
             ids = np.array([set_id(x) for x in sets], np.int64)
