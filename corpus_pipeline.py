@@ -23,7 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Null and empty texts are scored as texts without evidence; equal texts go or stay together.
     """
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return model.score(docs.select(boxed(docs), "text")).filter("predicted = 0").select(*unboxed(docs.columns))
+    kept = model.score(docs.select(boxed(docs, "text"), "text")).filter("predicted = 0")
+    return kept.select(*(F.col(c) if c == "text" else unboxed([c])[0] for c in docs.columns))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
