@@ -41,3 +41,24 @@ def test_query(spark, con, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.fixture(scope="module")
+def zeros(tmp_path_factory):
+    """Events of one type, some of them zero: the least value of some hours, never their last."""
+    folder = tmp_path_factory.mktemp("zeros")
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-02 00:00:00' + INTERVAL 20 MINUTE * i AS ts, 1 AS user_id, 'click' AS event_type,
+    CASE WHEN i % 30 = 1 THEN 0.0 ELSE 1 + i % 7 END::DOUBLE AS value, '' AS props FROM range(180) r(i)) TO '{folder}/events.parquet'""")
+    c.execute(f"create view events as select * from '{folder}/events.parquet'")
+    return str(folder), c
+
+
+def agrees(spark, zeros, name):
+    want = zeros[1].execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    return plain(queries.QUERIES[name](spark, zeros[0]).select(*names).collect()) == plain(want.fetchall())
+
+
+def test_a_run_keeps_bars_with_zeros(spark, zeros):
+    assert agrees(spark, zeros, "run_features")
