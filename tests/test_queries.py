@@ -62,3 +62,7 @@ def agrees(spark, zeros, name):
 
 def test_a_run_keeps_bars_with_zeros(spark, zeros):
     assert agrees(spark, zeros, "run_features")
+
+
+def test_the_report_of_a_run_counts_bars_with_zeros_as_kept(spark, zeros):
+    assert agrees(spark, zeros, "run_report")
