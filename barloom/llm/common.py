@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import placed, shared_dir
+from ..shared import drop_stored, placed, scratch, shared_dir
 from ..shared import stored as materialize
 
-__all__ = ["boxed", "materialize", "placed", "read", "shared_dir", "sliced", "unboxed", "uniform", "word_count"]
+__all__ = ["boxed", "drop_stored", "materialize", "placed", "read", "scratch", "shared_dir", "sliced", "unboxed", "uniform", "word_count"]
 
 #: A word is a maximal run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_stored, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old = pairs
         pairs = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).union(least).distinct(), "edges")
+        drop_stored(old)
         mark = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, materialize, sliced, unboxed
+from .common import boxed, drop_stored, materialize, scratch, sliced, unboxed
 from .components import connected_components
 from .simhash import SEED, fingerprint, link_table
 
@@ -166,7 +166,9 @@ def similar_pairs(texts: DataFrame, rows: DataFrame, reach: int = REACH) -> Data
         known = materialize(texts.join(chosen, "row").select("id", "row", "text").dropDuplicates(["row"]).drop("row"), "members")
         x, y = (known.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "text_a", "text_b")
-        return materialize(both.mapInArrow(_verify, "a long, b long"), "similar")
+        found = materialize(both.mapInArrow(_verify, "a long, b long"), "similar")
+        drop_stored(known)
+        return found
 
     by_print = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "prints")
     one = link_table(by_print.select("fp"), DISTANCE, SEGMENTS)
@@ -211,6 +213,7 @@ def similar_pairs(texts: DataFrame, rows: DataFrame, reach: int = REACH) -> Data
         signed = named.join(mixed, "key", "left_semi").join(one_row.select("id", "sign"), "id").select("key", "id", "label", "n", "place", "sign")
         dealt = signed.repartition("key").sortWithinPartitions("key", "n", "id")
         met = materialize(dealt.mapInArrow(lambda batches, reach=reach: _pairs(batches, reach), "a long, b long").distinct(), f"met-{reach}")
+        drop_stored(named)
         pairs = met.filter("b is not null")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -242,14 +245,15 @@ def keep_one(df: DataFrame, text: str = "text", key: str = "doc_id", reach: int
             )
 
     found = df.select(row.alias("row"), F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(read_sets, f"row long, _key {kind}, id long, fp long, sign binary")
-    rows = materialize(found, "shingles")
-    texts = df.select(row.alias("row"), F.col(text).alias("text"))
-    distinct = rows.groupBy("id").agg(F.min(F.struct("_key", "row")).alias("_least"))
-    label = connected_components(similar_pairs(texts, rows, reach))
-    named = distinct.join(label, F.col("id") == F.col("node"), "left").select("_least", F.coalesce("component", "id").alias("_label"))
-    least = named.groupBy("_label").agg(F.min("_least").alias("_least")).select(F.col("_least.row").alias("_id")).distinct()
-    times = rows.groupBy(F.col("row").alias("_id")).agg(F.count("*").alias("_times"))
-    kept = materialize(least.join(times, "_id"), "kept")
+    with scratch(df.sparkSession) as keep:
+        rows = materialize(found, "shingles")
+        texts = df.select(row.alias("row"), F.col(text).alias("text"))
+        distinct = rows.groupBy("id").agg(F.min(F.struct("_key", "row")).alias("_least"))
+        label = connected_components(similar_pairs(texts, rows, reach))
+        named = distinct.join(label, F.col("id") == F.col("node"), "left").select("_least", F.coalesce("component", "id").alias("_label"))
+        least = named.groupBy("_label").agg(F.min("_least").alias("_least")).select(F.col("_least.row").alias("_id")).distinct()
+        times = rows.groupBy(F.col("row").alias("_id")).agg(F.count("*").alias("_times"))
+        kept = keep(materialize(least.join(times, "_id"), "kept"))
     marked = df.select(boxed(df), row.alias("_id")).join(kept, "_id")
     # texts are dealt out again only for the few rows that stand several times
     twice = marked.filter("_times > 1").dropDuplicates(["_id"])

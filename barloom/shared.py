@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,10 +31,59 @@ def stored(df: DataFrame, name: str, path: str | None = None, options: dict | No
     Cuts the lineage so that a lost executor costs a re-read and not a recomputation, and keeps
     a table that several later jobs read from being computed several times.
     """
-    spark = df.sparkSession
+    spark, own = df.sparkSession, path is None
     path = path or f"{shared_dir(spark).rstrip('/')}/barloom/{name}-{uuid.uuid4().hex}"
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**(options or {})).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    if own and (paths := _in_scratch.get()) is not None:
+        paths[path] = out
+    return out
+
+
+#: Shuffle files of a table go when it is written: it is read back from the shared folder, never computed again.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_in_scratch: ContextVar[dict[str, DataFrame] | None] = ContextVar("_in_scratch", default=None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote within a ``scratch``; nothing that is still to be computed may read them."""
+    paths = _in_scratch.get() or {}
+    for path in [p for p, t in paths.items() if any(t is x for x in tables)]:
+        _delete(paths.pop(path).sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``stored`` writes in the shared folder within the block are deleted at its end, but for those given to what it yields.
+
+    These fall to a scratch around this one, if there is any. What leaves the block may read no other table of it.
+    """
+    outer, paths, kept = _in_scratch.get(), {}, []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    token = _in_scratch.set(paths)
+    try:
+        yield keep
+    finally:
+        _in_scratch.reset(token)
+        for path, table in paths.items():
+            if not any(table is x for x in kept):
+                _delete(spark, path)
+            elif outer is not None:
+                outer[path] = table
 
 
 def placed(df: DataFrame, groups: list[str], order: list, name: str, weight: str | None = None) -> DataFrame:
