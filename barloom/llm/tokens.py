@@ -91,3 +91,8 @@ def encoder(vocabulary: str) -> WordEncoder:
     if vocabulary not in _encoders:
         _encoders[vocabulary] = WordEncoder(vocabulary)
     return _encoders[vocabulary]
+
+
+def release() -> None:
+    """Forget what this Python process has kept: workers go on to the tasks of other operators, which need the memory."""
+    _encoders.clear()

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, uniform
+from .common import materialize, scratch, sliced, uniform
+from .tokens import release
 
 ORDER = 6
 #: Discounts of the shared model and of a class: a class must show an n-gram over twice before it counts.
@@ -112,6 +113,7 @@ def count_words(labelled: DataFrame, text: str = "text", label: str = "_label",
     """(word, c): how often each word stands in the labelled texts, c an array of counts by label * FOLDS + fold."""
 
     def run(batches):
+        release()
         held = [Counter() for _ in range(2 * FOLDS)]
 
         def flush():
@@ -312,7 +314,8 @@ class Model:
         at, evidence, w = names.index(text), self.evidence, np.array(self.weights)
 
         def run(batches):
-            for batch in sliced(batches, 1024):
+            release()
+            for batch in sliced(batches):
                 x = np.array(evidence.value[-1].features(batch.column(at).to_pylist())).reshape(-1, len(w))
                 score = 1 / (1 + np.exp(-np.clip((x * w).sum(1), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], [*names, "score", "predicted"])
@@ -337,12 +340,14 @@ def _send(spark, ratios: DataFrame, models: range):
     table = ratios.select("key", *(F.col("r")[m].alias(f"r{m}") for m in models)).toArrow()
     keys = table["key"].to_numpy()
     order = np.argsort(keys, kind="stable")
-    return spark.sparkContext.broadcast([_Evidence(keys[order], table[f"r{m}"].to_numpy()[order]) for m in models])
+    keys = keys[order]  # the same array in all of them, sent and held once
+    return spark.sparkContext.broadcast([_Evidence(keys, table[f"r{m}"].to_numpy()[order]) for m in models])
 
 
 def _curve(sample: DataFrame, evidence) -> DataFrame:
     def run(batches):
-        for batch in sliced(batches, 1024):
+        release()
+        for batch in sliced(batches):
             label, fold, texts = (batch.column(i).to_pylist() for i in range(3))
             x: list = [None] * len(texts)
             for f in set(fold):
@@ -372,18 +377,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
         share = n.get(1, 0) / max(1, sum(n.values()))
         none = spark.sparkContext.broadcast([_Evidence(np.zeros(0, np.int64), np.zeros(0, np.float32))])
         return Model(np.array([np.log(max(share, 1e-9) / max(1 - share, 1e-9)), *[0.0] * (1 + TELLING)]), none)
-    counted = materialize(count_grams(count_words(labelled)), "grams")
-    ratios = materialize(class_ratios(counted), "ratios")
-    small = ratios.count() <= broadcast_grams
-    sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / sum(n.values()))
-    if small:
-        parts = _send(spark, ratios, range(1, FOLDS + 1))
-        curve = _curve(sample, parts).collect()
-        parts.unpersist()
-    else:
-        rows = materialize(sample.select("text", "_label", (F.col("_fold") + 1).cast("int").alias("model"), F.monotonically_increasing_id().alias("_id")), "curve-rows")
-        curve = joined_features(rows, ratios).join(rows, "_id").select("_label", "x").collect()
+    with scratch(spark) as keep:
+        counted = materialize(count_grams(count_words(labelled)), "grams")
+        ratios = materialize(class_ratios(counted), "ratios")
+        small = ratios.count() <= broadcast_grams
+        sample = labelled.filter(uniform(seed, F.col(key)) < CURVE_ROWS / sum(n.values()))
+        if small:
+            parts = _send(spark, ratios, range(1, FOLDS + 1))
+            curve = _curve(sample, parts).collect()
+            parts.destroy()
+            whole = _send(spark, ratios, range(1))
+        else:
+            rows = materialize(sample.select("text", "_label", (F.col("_fold") + 1).cast("int").alias("model"), F.monotonically_increasing_id().alias("_id")), "curve-rows")
+            curve = joined_features(rows, ratios).join(rows, "_id").select("_label", "x").collect()
+            keep(ratios)
     x, y = np.array([r["x"] for r in curve]).reshape(-1, 2 + TELLING), np.array([r["_label"] for r in curve], float)
     weights = _logistic(x, y) if len(y) else np.array([0.0, 1.0, *[0.0] * TELLING])
     weights[0] += np.log(THRESHOLD / (1 - THRESHOLD)) - _best_cut((x * weights).sum(1), y)
-    return Model(weights, _send(spark, ratios, range(1))) if small else Model(weights, None, ratios)
+    return Model(weights, whole) if small else Model(weights, None, ratios)

@@ -3,7 +3,9 @@
 import os
 import time
 
-from barloom.llm import resemblance
+import numpy as np
+
+from barloom.llm import resemblance, tokens, toxicity
 from barloom.llm.common import drop_stored, materialize, scratch, shared_dir
 
 from .helpers import documents, words
@@ -50,3 +52,22 @@ def test_shuffle_files_go_when_a_table_is_stored(spark):
     assert files() <= before
     assert stored.count() == 1000
     assert table.count() == 1000 and spark.conf.get(name, None) == was
+
+
+def test_models_share_their_keys_and_fitting_leaves_no_table(spark):
+    ratios = spark.createDataFrame([(k, [0.1 * k] * 4) for k in (5, 3, 9)], "key long, r array<float>")
+    sent = toxicity._send(spark, ratios, range(1, 4)).value
+    assert all(e.keys is sent[0].keys for e in sent) and sent[0].keys.tolist() == [3, 5, 9]
+    assert np.allclose(sent[2].ratios, [0.3, 0.5, 0.9])
+    before = stored_tables(spark)
+    docs = documents(spark, [(i, words(30, 7 * i) + (" vile" if i % 3 == 0 else ""), "s") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert stored_tables(spark) == before
+    assert model.score(docs).count() == 60
+
+
+def test_workers_release_their_encoders():
+    tokens.encoder(tokens.default_vocabulary()).encode("some words")
+    tokens.release()
+    assert not tokens._encoders
