@@ -46,41 +46,36 @@ class WordEncoder:
             part = "".join([self.letters[b] for b in part.encode()])
         return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
 
+    def _known(self, part: bytes) -> bytes:
+        """The ids of letters in lower case or of marks."""
+        ids = self.words.get(part)
+        if ids is None:
+            ids = self.words[part] = self._part(part.decode())
+        return ids
+
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # ASCII letters
+            return self._known(word.lower())
         text = word.decode()
         plain = PLAIN.fullmatch(text)
         if not plain:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         letters, marks = plain.groups()
-        letters = letters.lower()
-        out = b""
-        if letters:
-            key = letters.encode()
-            out = self.words.get(key)
-            if out is None:
-                out = self.words[key] = self._part(letters)
-        if marks:
-            key = marks.encode()
-            tail = self.words.get(key)
-            if tail is None:
-                tail = self.words[key] = self._part(marks)
-            out += tail
-        return out
+        return (self._known(letters.lower().encode()) if letters else b"") + (self._known(marks.encode()) if marks else b"")
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         words, known = text.encode().split(), self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        return b"".join([known[w] for w in words])
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    ids = known.get(w)
+                    found[i] = known[w] = self._word(w) if ids is None else ids
+        return b"".join(found)
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -71,3 +71,22 @@ def test_workers_release_their_encoders():
     tokens.encoder(tokens.default_vocabulary()).encode("some words")
     tokens.release()
     assert not tokens._encoders
+
+
+def test_a_text_with_a_new_word_is_gone_through_once():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counting.asked += 1
+            return super().get(key, default)
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    coder = tokens.WordEncoder(tokens.default_vocabulary())
+    known = coder.encode(words(50))
+    coder.words = Counting(coder.words)
+    assert coder.encode(words(50) + " unmet") == known + coder.encode("unmet")
+    assert Counting.asked < 60
