@@ -66,3 +66,19 @@ def test_a_run_keeps_bars_with_zeros(spark, zeros):
 
 def test_the_report_of_a_run_counts_bars_with_zeros_as_kept(spark, zeros):
     assert agrees(spark, zeros, "run_report")
+
+
+@pytest.fixture(scope="module")
+def autumn(tmp_path_factory):
+    """Events of one type around the end of summer time in New York."""
+    folder = tmp_path_factory.mktemp("autumn")
+    c = duckdb.connect()
+    c.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-11-02 12:00:00' + INTERVAL 20 MINUTE * i AS ts, 1 AS user_id, 'click' AS event_type,
+    (1 + i % 7)::DOUBLE AS value, '' AS props FROM range(180) r(i)) TO '{folder}/events.parquet'""")
+    c.execute(f"create view events as select * from '{folder}/events.parquet'")
+    return str(folder), c
+
+
+@pytest.mark.parametrize("name", ["run_report", "run_features"])
+def test_a_run_takes_bars_of_all_seasons(spark, autumn, name):
+    assert agrees(spark, autumn, name)
