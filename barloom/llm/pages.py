@@ -3,16 +3,17 @@
 Pages of a host are ordered by URL path, and each is compared with a neighbour of other content, that whose path shares
 the longest prefix first: their text lines are aligned by longest common subsequence, and lines that both pages hold are
 template text and go. This decides all lines outside an article element, and those inside one that stand in an element
-with a doubtful class name. Elements that are never main text (navigation, scripts, forms and the like) go in
-any case; the other lines inside an article are the page's own and stay even where two pages share them.
+with a doubtful class name. Two articles may well share a sentence, so the other lines inside an article go only if the alignment with
+each of ``WITNESSES`` pages nearby shows them. Elements that are never main text (navigation, scripts, forms and the like) go in any case.
 """
 
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Sequence
 from html import unescape
-from itertools import chain
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 BLOCK_PAGES = 256
 #: A near page that has more than this share of a page's text is a near-copy, which says little about the template.
 COPY_SHARE = 0.8
+#: A line of an article is template text if so many pages nearby have it, all that were asked.
+WITNESSES = 8
+#: A page that has more than this share of an article's text is another version of it, which is not asked about the article's lines.
+VERSION_SHARE = 0.5
 #: Names of large hosts and directories up to this many are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>", re.S)
@@ -200,22 +205,40 @@ def shared_share(own: list[tuple[str, int]], shared: set[int]) -> float:
     return sum(sizes[i] for i in shared) / max(1, sum(sizes))
 
 
-def main_text(own: list[tuple[str, int]], near: Sequence[list[str]]) -> str:
-    """The blocks of a page that are left after differencing with a page nearby, of which ``near`` gives the nearest first.
+def attested(own: list[tuple[str, int]], around: Sequence[list[str]]) -> set[int]:
+    """Places of article lines that the first ``WITNESSES`` pages of ``around`` all share, other versions of the article left out.
 
-    The first one that has at most ``COPY_SHARE`` of the page's text decides; if all have more, as near-copies have, the one with
-    least. Template elements go, and so do loose and doubtful lines that the near page has too. What is left of the
-    article is the text if there is any, else what is left of the loose lines. If that is nothing, all loose lines stay.
+    None if there are fewer such pages: what few pages share may be a sentence that they have in common.
     """
-    if any(k in (LOOSE, DOUBTFUL) for _, k in own):
-        found = [common([t for t, _ in own], x) for x in near]
-        shares = [shared_share(own, x) for x in found]
-        best = next((i for i, x in enumerate(shares) if x <= COPY_SHARE), None)
-        shared = found[best] if best is not None else min(zip(shares, range(len(found)), found))[2] if found else set()
-    else:
-        shared = set()
-    inside = [t for i, (t, k) in enumerate(own) if k == ARTICLE or k == DOUBTFUL and i not in shared]
-    kept = inside or [t for i, (t, k) in enumerate(own) if k == LOOSE and i not in shared] or [t for t, k in own if k in (LOOSE, DOUBTFUL)]
+    texts = [t for t, _ in own]
+    body = {i for i, (_, k) in enumerate(own) if k == ARTICLE}
+    size, left, asked = sum(len(texts[i]) for i in body), body, 0
+    for x in around:
+        if not left or asked == WITNESSES:
+            break
+        held = common(texts, x) & body
+        if sum(len(texts[i]) for i in held) <= VERSION_SHARE * size:
+            left, asked = left & held, asked + 1
+    return left if asked == WITNESSES else set()
+
+
+def main_text(own: list[tuple[str, int]], near: Sequence[list[str]], around: Sequence[list[str]] = ()) -> str:
+    """The blocks of a page that are left after differencing with pages nearby, of which ``near`` gives the neighbours and ``around`` those
+    in a wider circle, the nearest first.
+
+    The neighbour that has at most ``COPY_SHARE`` of the page's text decides; if all have more, as near-copies have, the one with
+    least. Template elements go, and so do loose and doubtful lines that this page has too, and lines of the article that all pages around
+    have (see ``attested``). What is left of the article is the text if there is any, else what is left of the loose lines. If that is
+    nothing, all loose lines stay.
+    """
+    found = [common([t for t, _ in own], x) for x in near]
+    shares = [shared_share(own, x) for x in found]
+    best = next((i for i, x in enumerate(shares) if x <= COPY_SHARE), None)
+    shared = found[best] if best is not None else min(zip(shares, range(len(found)), found))[2] if found else set()
+    gone = attested(own, around) | {i for i in shared if own[i][1] in (LOOSE, DOUBTFUL)}
+    left = [(t, k) for i, (t, k) in enumerate(own) if i not in gone]
+    inside = [t for t, k in left if k in (ARTICLE, DOUBTFUL)]
+    kept = inside or [t for t, k in left if k == LOOSE] or [t for t, k in own if k in (LOOSE, DOUBTFUL)]
     return "\n\n".join(kept)
 
 
@@ -262,7 +285,7 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
     """(key, url, text, n_chars): the main text of every page, blocks joined by an empty line.
 
     Null and empty pages have the empty text. A page's near pages are its neighbours by path, URL and key with other lines
-    in its block (see ``blocks``): copies of a page side by side count as one. Pages with one URL, equal keys or equal
+    in its block (see ``blocks``), ``WITNESSES`` on either side where an article's lines are at stake: copies of a page side by side count as one. Pages with one URL, equal keys or equal
     contents are rows of their own; other columns, whatever their names, play no part. An empty table gives an empty one.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -295,19 +318,27 @@ def extract(df: DataFrame, html: str = "html", url: str = "url", key: str = "pag
         if run is not None:
             yield run
 
+    def texts(before, ahead):
+        """(key, url, text) of the first run ahead, which then stands before the next."""
+        _, text, kinds, held = run = ahead.popleft()
+        own, solved = list(zip(text, kinds)), None
+        others = [(i, r[3][side][2], r[1]) for runs_, side in ((reversed(before), -1), (ahead, 0)) for i, r in enumerate(runs_)]
+        for k, link, path in held:
+            order = sorted(range(len(others)), key=lambda i: (-_prefix(others[i][1], path), others[i][0], i))  # the one before wins a tie
+            if solved is None or order != solved[0]:
+                solved = order, main_text(own, [others[i][2] for i in order if not others[i][0]], [others[i][2] for i in order])
+            yield k, link, solved[1]
+        before.append(run)
+
     def solve(batches):
-        before = run = None
-        for after in chain(runs(batches), [None]):
-            if run is not None:
-                own, text = list(zip(run[1], run[2])), None
-                for at, (k, link, path) in enumerate(run[3]):
-                    near = [(x[3][side][2], x[1]) for x, side in ((before, -1), (after, 0)) if x is not None and x[0] == run[0]]
-                    near.sort(key=lambda x: -_prefix(x[0], path))  # stable: the one before wins a tie
-                    order = [id(x) for _, x in near]
-                    if text is None or order != text[0]:
-                        text = order, main_text(own, [x for _, x in near])
-                    yield k, link, text[1]
-            before, run = run, after
+        for _, found in groupby(runs(batches), key=lambda x: x[0]):
+            before, ahead = deque(maxlen=WITNESSES), deque()
+            for run in found:
+                ahead.append(run)
+                if len(ahead) > WITNESSES:
+                    yield from texts(before, ahead)
+            while ahead:
+                yield from texts(before, ahead)
 
     def pack(held):
         cols = list(zip(*held)) if held else ((), (), ())

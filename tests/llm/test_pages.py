@@ -127,3 +127,44 @@ def test_large_hosts_are_split_the_same_way_whatever_the_parts(spark):
         found.append({r.page_id: r.text for r in out.collect()})
     assert found[0] == found[1]
     assert all(found[0][i] == f"Own {i} text of the page" for i in range(200)) and all(found[0][1000 + i] == f"Text {i} below a folder" for i in range(100))
+
+
+def articles(rng):
+    """Pages of three hosts with an article each: unmarked template lines in it, sentences that some pages share, other versions and copies of a page."""
+    rows, key = [], 0
+    for host, n in enumerate((3, 9, 60)):
+        common = [f"Sentence {i} that articles share" for i in range(3)]
+        for page in range(n):
+            own = [f"Own text {host}.{page}.{i} " + "x" * rng.randint(60, 90) for i in range(rng.randint(3, 6))]
+            for version in range(rng.choice([1, 1, 1, 3])):
+                text = [f"Title {host}.{page}.{version}", "By our editors", *own, *(t for t in common if rng.random() < 0.3), "Read more in our letter"]
+                html = "<nav>Home</nav><article>" + "".join(f"<p>{t}</p>" for t in text) + "</article>"
+                for _ in range(rng.choice([1, 1, 2])):
+                    rows.append((key, f"http://h{host}.example/{page % 3}/{page:02}/{version}", html))
+                    key += 1
+    return rows
+
+
+def plain_articles(rows):
+    """{key: text} of such pages, whose lines are all different and stand in one order."""
+    out = {}
+    place = lambda r: (urlsplit(r[1]).netloc, urlsplit(r[1]).path, r[1], r[0])
+    share = lambda own, x: sum(len(t) for t in own if t in x) / sum(map(len, own))
+    for _, found in groupby(sorted(rows, key=place), key=lambda r: place(r)[0]):
+        runs = [(x, list(g)) for x, g in groupby(found, key=lambda r: [t for t, k in pages.lines(r[2]) if k == pages.ARTICLE])]
+        for i, (own, same) in enumerate(runs):
+            for r in same:
+                others = [(j, runs[j][1][-1 if j < i else 0][1]) for j in range(max(0, i - 8), min(len(runs), i + 9)) if j != i]
+                others.sort(key=lambda x: (-next((k for k, (a, b) in enumerate(zip(x[1], r[1])) if a != b), min(len(x[1]), len(r[1]))), abs(x[0] - i), x[0]))
+                asked = [runs[j][0] for j, _ in others if share(own, runs[j][0]) <= 0.5][:8]
+                out[r[0]] = "\n\n".join(t for t in own if len(asked) < 8 or not all(t in x for x in asked))
+    return out
+
+
+def test_differencing_decides_the_lines_of_articles(spark):
+    rows = articles(random.Random(4))
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    assert got == plain_articles(rows)
+    large = [got[k] for k, url, _ in rows if "h2." in url and "/0/00/" not in url]  # the first page has versions among the eight after it
+    assert not any("editors" in t or "letter" in t for t in large) and any("that articles share" in t for t in large)
+    assert all("editors" in got[k] and "letter" in got[k] for k, url, _ in rows if "h0." in url)  # six other pages at most are too few
