@@ -3,12 +3,13 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import mixing
-from barloom.llm.common import word_count
+from barloom.llm.common import materialize, word_count
 
 from .helpers import awkward, documents, empty, with_clashes
 from .test_dedup import expected_lines
@@ -114,3 +115,17 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_hand_texts_over_in_small_batches(spark, monkeypatch):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", lambda docs: materialize(docs.select("text").mapInArrow(sizes, "n long, bytes long"), "sizes"))
+    before = {k: spark.conf.get(k) for k in corpus_pipeline.BATCHES}
+    docs = documents(spark, [(0, "", "s")]).select("doc_id", F.repeat(F.lit("many words "), 2_000).alias("text")).crossJoin(spark.range(0, 1_000, numPartitions=1))
+    found = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(r.n for r in found) == 1_000
+    assert max(r.bytes for r in found) < 5_000_000
+    assert {k: spark.conf.get(k) for k in corpus_pipeline.BATCHES} == before

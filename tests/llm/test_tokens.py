@@ -4,6 +4,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barloom.llm import packing, repair
@@ -145,3 +146,12 @@ def test_packing_places_every_piece_once(spark):
     total = sum(r.length for r in rows)
     assert len(bins) <= 1.1 * total / 4096
     assert packing.pack_documents(empty(spark)).count() == 0
+
+
+def test_a_batch_of_texts_is_cut_in_slices(spark, monkeypatch):
+    docs = documents(spark, [(i, words(i % 7), "s") for i in range(600)])
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = packing.pieces(docs)
+    out = list(run([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(600), pa.int64()), "text": [words(i % 7) for i in range(600)]})]))
+    assert [b.num_rows for b in out] == [256, 256, 88]
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(600))
