@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sliced
 from .tokens import default_vocabulary, encoder
 
 MAGIC = b"RPG1"
@@ -42,6 +42,30 @@ def symbol_bytes(symbols: int) -> int:
     return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
 
 
+def _bin(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return ((first * np.uint32(0x9E3779B1)) ^ (second * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BINS)
+
+
+def _ranks(pairs: np.ndarray, bins: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Each pair's place among the chosen ones, or their number if it is none of them; ``bins`` are the pairs' bins."""
+    places = np.arange(len(chosen), dtype=np.int32)
+    own = _bin((chosen >> np.uint64(32)).astype(np.uint32), chosen.astype(np.uint32))
+    table = np.full((1 << _BINS) + 1, len(chosen), np.int32)
+    table[own] = places
+    rank = table[bins]
+    rank[np.append(chosen, chosen[:1])[rank] != pairs] = len(chosen)
+    rest = np.flatnonzero(table[own] != places)  # those that share the bin of another chosen one
+    if len(rest):
+        shared = np.zeros((1 << _BINS) + 1, bool)
+        shared[own[rest]] = True
+        at = np.flatnonzero(shared[bins])
+        rest = rest[np.argsort(chosen[rest])]
+        near = np.minimum(np.searchsorted(chosen[rest], pairs[at]), len(rest) - 1)
+        same = chosen[rest[near]] == pairs[at]
+        rank[at[same]] = rest[near[same]]
+    return rank
+
+
 def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, pairs_per_round: int = PAIRS_PER_ROUND, least: int = LEAST_COUNT):
     """(symbols, rules): rule k, a row of two symbols, defines symbol ``vocabulary + k``."""
     seq = ids.astype(np.uint32)
@@ -51,25 +75,33 @@ def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, pairs_
     while len(seq) > 1:
         # symbols take two bytes as long as they can
         pairs_per_round = min(most, (1 << 16) - size) if size < 1 << 16 else most
-        inner = (seq[:-1] != end_id) & (seq[1:] != end_id)
-        bins = ((seq[:-1] * np.uint32(0x9E3779B1)) ^ (seq[1:] * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BINS)
-        counts = np.bincount(bins[inner], minlength=1 << _BINS)
+        bins = _bin(seq[:-1], seq[1:])
+        ends = seq == end_id
+        bins[ends[:-1] | ends[1:]] = 1 << _BINS  # a bin of no count for what no rule may hold
+        counts = np.bincount(bins, minlength=(1 << _BINS) + 1)
+        counts[-1] = 0
         # bins' counts bound their pairs' counts from above: only well-filled bins can hold frequent pairs
-        floor = max(least, int(np.partition(counts, -pairs_per_round)[-pairs_per_round]))
-        at = np.flatnonzero(inner & (counts[bins] >= floor))
-        pairs, back, n = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
-        order = np.lexsort((pairs, -n))
-        order = order[n[order] >= least][:pairs_per_round]
+        filled = counts[counts >= least]
+        floor = max(least, int(np.partition(filled, -pairs_per_round)[-pairs_per_round])) if len(filled) > pairs_per_round else least
+        at = np.flatnonzero((counts >= floor)[bins])
+        here = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        ordered = np.sort(here)
+        begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+        pairs, n = ordered[begins], np.diff(begins, append=len(ordered))
+        order = np.flatnonzero(n >= least)
+        order = order[np.argsort(-n[order], kind="stable")][:pairs_per_round]
         if not len(order):
             break
-        rank_of = np.full(len(pairs), len(order), np.int32)
-        rank_of[order] = np.arange(len(order), dtype=np.int32)
+        new_size = size + len(order)
+        new_cost = (len(seq) - int(n[order].sum())) * symbol_bytes(new_size) + _RULE_BYTES * (new_size - vocabulary)
+        if new_cost > (1 - LEAST_GAIN) * cost:  # even if none of the pairs overlapped
+            break
         rank = np.full(len(seq) + 1, len(order), np.int32)  # one place in front
-        rank[at + 1] = rank_of[back]
+        rank[at + 1] = _ranks(here, bins[at], pairs[order])
         # where chosen pairs overlap, the more frequent one wins, then the one to the left
         here, after = rank[1:], np.append(rank[2:], len(order))
         taken = np.flatnonzero((here < len(order)) & (here < rank[:-1]) & (here <= after))
-        new_cost = (len(seq) - len(taken)) * symbol_bytes(size + len(order)) + _RULE_BYTES * (size + len(order) - vocabulary)
+        new_cost = (len(seq) - len(taken)) * symbol_bytes(new_size) + _RULE_BYTES * (new_size - vocabulary)
         if new_cost > (1 - LEAST_GAIN) * cost:
             break
         rules.append(np.stack([pairs[order] >> np.uint64(32), pairs[order] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
@@ -77,7 +109,7 @@ def build_grammar(ids: np.ndarray, vocabulary: int, end_id: int = END_ID, pairs_
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
         seq = seq[keep]
-        size, cost = size + len(order), new_cost
+        size, cost = new_size, new_cost
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
 
 
@@ -180,12 +212,12 @@ def write_shards(df: DataFrame, text: str = "text", key: str = "doc_id", vocabul
                 "image": pa.array([write_shard(docs, top)], pa.binary()),
             })
 
-        for batch in batches:
+        for batch in sliced(batches):
             key_type = batch.schema.field(0).type
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k, ids in zip(batch.column(0).to_pylist(), coder.encode_all(batch.column(1).to_pylist())):
                 keys.append(k)
-                docs.append(coder.encode(t))
-                size += len(docs[-1]) // 4 + 1
+                docs.append(ids)
+                size += len(ids) // 4 + 1
                 if size >= shard_ids:
                     yield close()
                     keys, docs, size, before = [], [], 0, before + size

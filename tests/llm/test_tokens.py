@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from barloom.llm import packing, repair
-from barloom.llm.tokens import default_vocabulary, encoder
+from barloom.llm.tokens import WordEncoder, default_vocabulary, encoder
 
 from .helpers import awkward, documents, empty, with_clashes, words
 
@@ -32,6 +32,35 @@ def test_word_by_word_equals_the_library(text):
     assert list(array("I", encoder(default_vocabulary()).encode(text))) == library_ids(text)
 
 
+def test_capitals_and_marks_make_no_new_words():
+    coder = WordEncoder(default_vocabulary())
+    texts = ["Tree, tree. TREE; tree", None, "(x) Übung! übung's", "Tree"]
+    assert [list(array("I", x)) for x in coder.encode_all(texts)] == [library_ids(t) for t in texts]
+    assert {b"tree", b",", b".", b";", "übung".encode()} <= set(coder.words)
+    assert not {b"Tree", b"tree,", b"tree.", b"Tree,", b"TREE;"} & set(coder.words)
+    # small h and t compose with these marks, H and T do not; tokens of the vocabulary's own stand in capitals nowhere
+    texts = ["H\u0331, h\u0331, T\u0308. t\u0308.", "<|endoftext|> <|ENDOFTEXT|>", "a,\u0301 a\u0301, e\u0323\u0302;", "É, É. ×, ÷. x\u037e y, \u2014z\u2014, 1st, it's,'tis('s"] * 3
+    assert [list(array("I", x)) for x in coder.encode_all(texts)] == [library_ids(t) for t in texts]
+
+
+def test_texts_are_encoded_in_blocks():
+    coder = WordEncoder(default_vocabulary())
+    texts = [words(i % 50, i) + ("," * (i % 3)) for i in range(3000)] + [words(60_000), "", None]
+    taken = []
+    got = coder.encode_all(taken.append(t) or t for t in texts)
+    first = next(got)
+    assert 1 < len(taken) < len(texts) / 2
+    assert [first, *got] == [coder.encode(t) for t in texts]
+
+
+def test_pairs_are_ranked_in_a_full_bin(monkeypatch):
+    monkeypatch.setattr(repair, "_BINS", 3)
+    rng = np.random.default_rng(5)
+    pairs = rng.permutation(np.arange(1000, dtype=np.uint64) * np.uint64(0x100000007))
+    chosen, bins = pairs[:300], repair._bin((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))
+    assert repair._ranks(pairs, bins, chosen).tolist() == [*range(300), *[300] * 700]
+
+
 def test_grammar_round_trip():
     rng = random.Random(1)
     for _ in range(40):
