@@ -202,8 +202,8 @@ def pieces(df: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: s
         coder = encoder(path)
         for batch in sliced(batches):
             keys, out = batch.column(0), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                ids = coder.encode(t) + end
+            for i, ids in enumerate(coder.encode_all(batch.column(1).to_pylist())):
+                ids += end
                 for p, a in enumerate(range(0, len(ids), 4 * capacity)):
                     b = min(len(ids), a + 4 * capacity)
                     out.append((i, p, a // 4, (b - a) // 4, zlib.crc32(ids[a:b])))

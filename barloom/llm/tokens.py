@@ -102,10 +102,10 @@ class WordEncoder:
         if None in found:
             if len(known) > CACHE_WORDS:
                 known.clear()
-            for i, w in enumerate(words):
-                if found[i] is None:
-                    ids = known.get(w)
-                    found[i] = known[w] = self._word(w) if ids is None else ids
+            for i in [i for i, ids in enumerate(found) if ids is None]:
+                w = words[i]
+                ids = known.get(w)
+                found[i] = known[w] = self._word(w) if ids is None else ids
         return b"".join(found)
 
     def encode(self, text: str | None) -> bytes:
